@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trawl.llm import oracles, quality, urlfilter
+from trawl.llm import langid, oracles, quality, simhash, toxicity, urlfilter
 from trawl.llm.base import read
 
 
@@ -19,5 +20,25 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(read(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op6_url_filters": op6_url_filters}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"), spark)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
+    "op4_language_id": op4_language_id,
+    "op6_url_filters": op6_url_filters,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+}
 ORACLES = {"op1_quality_rules": oracles.QUALITY, "op6_url_filters": oracles.URLS}
