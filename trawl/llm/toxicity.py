@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives, documents whatever their label the
-unlabelled. A linear classifier over hashed character 5-grams (letters and word bounds,
-lower case; presence only) minimises the class-prior-corrected risk
+unlabelled. A linear classifier over hashed words (runs of letters in lower case, presence
+only) minimises the class-prior-corrected risk
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
@@ -30,12 +30,12 @@ from trawl.shipping import ship
 ship(__name__)
 
 #: Expected numbers of positives and of unlabelled documents that are learnt from.
-POSITIVES, UNLABELLED = 2000, 4000
-GRAM, BITS, FEATURES, SEED = 5, 20, 512, 11
+POSITIVES, UNLABELLED = 4000, 8000
+BITS, FEATURES, SEED = 20, 512, 11
 #: A feature occurs in this share of the positives at least, and is this many times as frequent as in the unlabelled.
-SUPPORT, ENRICHED = 0.02, 4
+SUPPORT, ENRICHED = 0.01, 4
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
 _memo: dict[str, np.ndarray] = {}
@@ -48,20 +48,21 @@ def _letters() -> np.ndarray:
     return _memo["letters"]
 
 
-def grams(text: str | None) -> np.ndarray:
-    """Hashed 5-grams of a whole text, in order, with repeats."""
+def features(text: str | None) -> np.ndarray:
+    """Hashed words (runs of letters, lower case) of a whole text, in order, with repeats."""
     c = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    c = np.where(_letters()[c], c, np.uint32(32))
-    c = np.concatenate([[np.uint32(32)], c, [np.uint32(32)]])
-    c = c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]].astype(np.uint64)
-    if len(c) < GRAM:
+    letter = np.r_[False, _letters()[c], False]
+    starts = np.flatnonzero(letter[1:] & ~letter[:-1])
+    ends = np.flatnonzero(~letter[1:] & letter[:-1])
+    if not len(starts):
         return np.zeros(0, dtype=np.int64)
-    n = len(c) - GRAM + 1
-    h = c[:n] * _FACTORS[0]
-    for i in range(1, GRAM):
-        h += c[i : i + n] * _FACTORS[i]
+    place = np.arange(len(c)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(c)]))
+    h = c.astype(np.uint64) * _FACTORS[0] + place.astype(np.uint64) * _FACTORS[1]
     h ^= h >> np.uint64(29)
-    h *= _FACTORS[1]
+    h *= _FACTORS[2]
+    h ^= h >> np.uint64(32)
+    sums = np.r_[np.uint64(0), np.cumsum(h, dtype=np.uint64)]  # wraps around, as differences may
+    h = (sums[ends] - sums[starts]) * _FACTORS[0]
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -108,7 +109,7 @@ def _presence(docs: list[np.ndarray], table: np.ndarray, n: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model from a bounded sample; ``table`` maps a hashed gram to its weight."""
+    """The model from a bounded sample; ``weights`` holds the weight of each hashed word."""
     known = (
         labels.filter(remainder(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
     )
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     unl = texts.filter(dice < min(1.0, UNLABELLED / max(total, 1))).toPandas().sort_values(["doc_id", "text"])
     if not len(pos) or not len(unl):
         return model
-    p, u = ([np.unique(grams(t)) for t in x["text"]] for x in (pos, unl))
+    p, u = ([np.unique(features(t)) for t in x["text"]] for x in (pos, unl))
     top = _select(p, u)
     table = np.full(1 << BITS, -1, np.int32)
     table[top] = np.arange(len(top))
@@ -152,7 +153,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 part = batch.slice(at, 256)
                 g = []
                 for t in part.column(1).to_pylist():
-                    f = table[grams(t)]
+                    f = table[features(t)]
                     g.append(bias + weight[np.unique(f[f >= 0])].sum())
                 s = _sigmoid(np.array(g))
                 yield pa.RecordBatch.from_arrays(
