@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import langid, oracles, quality, simhash, toxicity, urlfilter
+from trawl.llm import htmlmain, langid, oracles, quality, simhash, toxicity, urlfilter
 from trawl.llm.base import read
 
 
@@ -29,6 +29,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"), spark)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,6 +43,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_language_id": op4_language_id,
     "op6_url_filters": op6_url_filters,
+    "op7_html_extraction": op7_html_extraction,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 ORACLES = {"op1_quality_rules": oracles.QUALITY, "op6_url_filters": oracles.URLS}
