@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import htmlmain, langid, oracles, quality, simhash, toxicity, urlfilter
+from trawl.llm import htmlmain, langid, linededup, oracles, quality, simhash, toxicity, urlfilter
 from trawl.llm.base import read
 
 
@@ -38,6 +38,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(read(spark, sf_dir, "documents"), spark)
+    return out.select("doc_id", "n_lines", "n_kept", "text")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -45,5 +50,6 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op7_html_extraction": op7_html_extraction,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {"op1_quality_rules": oracles.QUALITY, "op6_url_filters": oracles.URLS}
