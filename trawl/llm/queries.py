@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import htmlmain, langid, linededup, oracles, quality, simhash, toxicity, urlfilter
+from trawl.llm import decontaminate, htmlmain, langid, linededup, oracles, quality, simhash, toxicity, urlfilter
 from trawl.llm.base import read
 
 
@@ -33,6 +33,11 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(read(spark, sf_dir, "pages"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), spark)
+    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"), spark)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,6 +54,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_url_filters": op6_url_filters,
     "op7_html_extraction": op7_html_extraction,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
