@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import decontaminate, htmlmain, langid, linededup, oracles, quality, simhash, toxicity, urlfilter
+from trawl.llm import decontaminate, htmlmain, langid, linededup, mixing, oracles, quality, simhash, toxicity, urlfilter
 from trawl.llm.base import read
 
 
@@ -15,6 +15,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(read(spark, sf_dir, "documents"), spark)
+    rounded = [F.round(c, 6).alias(c) for c in ("weight", "probability")]
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", *rounded, "kept")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
     return urlfilter.filter_urls(read(spark, sf_dir, "pages"), rules)
@@ -52,10 +58,11 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
     "op4_language_id": op4_language_id,
+    "op5_source_mixing": op5_source_mixing,
     "op6_url_filters": op6_url_filters,
     "op7_html_extraction": op7_html_extraction,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op1_quality_rules": oracles.QUALITY, "op6_url_filters": oracles.URLS}
+ORACLES = {"op1_quality_rules": oracles.QUALITY, "op5_source_mixing": oracles.MIXING, "op6_url_filters": oracles.URLS}
