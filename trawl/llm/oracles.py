@@ -120,3 +120,18 @@ select doc_id, source, lang, topic, n_tokens, round(weight, 6) as weight, round(
 
 
 MIXING = _mixing()
+
+
+BACKOFF = rf"""
+with d as (select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w from documents),
+t as (select r, unnest(w) as w, unnest(range(len(w))) as i from d),
+p as (select r, i, w, lag(w) over (partition by r order by i) as v from t),
+c1 as (select w, count(*) as n from t group by w),
+c2 as (select v, w, count(*) as n from p where v is not null group by v, w),
+total as (select count(*)::double as n from t),
+s as (select p.r, ln(case when p.v is null then b.n / total.n when c2.n >= 2 then c2.n / a.n::double else 0.4 * b.n / total.n end) as s
+    from p join c1 b on p.w = b.w left join c1 a on p.v = a.w left join c2 on p.v = c2.v and p.w = c2.w, total)
+select doc_id, len(w)::bigint as n_words, round(coalesce(sum(s), 0), 5) as score, round(sum(s) / len(w), 5) as mean_score
+from d left join s on d.r = s.r group by d.r, doc_id, w
+"""

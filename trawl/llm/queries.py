@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import decontaminate, htmlmain, langid, linededup, mixing, oracles, quality, simhash, toxicity, urlfilter
+from trawl.llm import backoff, decontaminate, htmlmain, langid, linededup, mixing, oracles, quality, simhash, toxicity, urlfilter
 from trawl.llm.base import read
 
 
@@ -30,6 +30,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backoff.score(read(spark, sf_dir, "documents"), spark)
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("score") / F.col("n_words"), 5))
+    return out.select("doc_id", "n_words", F.round("score", 5).alias("score"), mean.alias("mean_score"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
@@ -57,6 +63,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_language_id": op4_language_id,
     "op5_source_mixing": op5_source_mixing,
     "op6_url_filters": op6_url_filters,
@@ -65,4 +72,4 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op1_quality_rules": oracles.QUALITY, "op5_source_mixing": oracles.MIXING, "op6_url_filters": oracles.URLS}
+ORACLES = {"op1_quality_rules": oracles.QUALITY, "op3_lm_scoring": oracles.BACKOFF, "op5_source_mixing": oracles.MIXING, "op6_url_filters": oracles.URLS}
