@@ -60,6 +60,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_kept", "text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -71,5 +77,6 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": pipeline,
 }
 ORACLES = {"op1_quality_rules": oracles.QUALITY, "op3_lm_scoring": oracles.BACKOFF, "op5_source_mixing": oracles.MIXING, "op6_url_filters": oracles.URLS}

@@ -67,8 +67,8 @@ def _fingerprints(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            fps = [fingerprint(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64())], ["doc_id", "th", "fp"])
 
 
 def masks(groups: int, radius: int) -> list[int]:
@@ -172,13 +172,27 @@ def near_links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable), one row per row of ``docs``."""
+    """doc_id, th (digest of the text), fp and component_id (smallest doc_id reachable), one row per row of ``docs``."""
     scratch = Scratch(spark)
-    prints = scratch.save(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "prints")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    prints = scratch.save(texts.mapInArrow(_fingerprints, "doc_id long, th long, fp long"), "prints")
     fps = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     links = scratch.save(near_links(fps.select("fp"), fps.count(), radius), "links")
     roots = components(links, scratch)
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "th", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, spark: SparkSession, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, one for each component: the smallest id's (null ids last, ties by the text's digest)."""
+    scratch = Scratch(spark)
+    found = scratch.save(near_duplicates(docs, spark, radius), "found")
+    # components without any id are told apart by their fingerprints' root, so group those by fingerprint
+    own = F.when(F.col("component_id").isNull(), F.col("fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("first")
+    winners = found.groupBy("component_id", own.alias("own")).agg(first).select(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t"))
+    kept = docs.join(winners, docs["doc_id"].eqNullSafe(winners["_d"]) & F.xxhash64(docs["text"]).eqNullSafe(winners["_t"]), "left_semi")
+    repeated = found.groupBy("doc_id", "th").count().filter("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
