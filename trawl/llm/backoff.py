@@ -337,12 +337,14 @@ def score_pairs(packed: DataFrame, hot: Hot, total: int) -> DataFrame:
             value[hit] = np.log(n[hit]) - ln_v[hit]
             out += _sums(k, names, d, value)
             miss = np.flatnonzero(~hit & ~known)
-            miss = miss[np.lexsort((w[miss], k[miss]))]
-            for c, s in _split(k[miss]):
+            where = _bucket_of(w[miss], buckets)
+            order = np.lexsort((k[miss], where))
+            miss, where = miss[order], where[order]
+            for b, s in _split(where):
                 pick = miss[s]
-                where = _bucket_of(w[pick], buckets)
-                for b, t in _split(where):
-                    out.append(_row(b, MISSES, names[c], w[pick][t].tobytes(), d[pick][t].tobytes()))
+                number, runs = np.unique(k[pick], return_counts=True)
+                own = np.array([names[i] for i in number], np.int64).tobytes() + runs.astype(np.uint32).tobytes()
+                out.append(_row(b, MISSES, 0, w[pick].tobytes(), d[pick].tobytes(), own))
         return pa.Table.from_batches([_batch(out)])
 
     buckets = _buckets(total)
@@ -360,9 +362,10 @@ def score_misses(rows: DataFrame) -> DataFrame:
         k, w, d = [], [], []
         for r in rows:
             if r["kind"] == MISSES:
-                h = np.frombuffer(r["a"], np.uint64)
-                k.append(np.full(len(h), number.setdefault(r["chunk"], len(number))))
-                w.append(h)
+                n = len(r["c"]) // 12
+                own = [number.setdefault(int(c), len(number)) for c in np.frombuffer(r["c"][: 8 * n], np.int64)]
+                k.append(np.repeat(np.array(own, np.int64), np.frombuffer(r["c"][8 * n :], np.uint32)))
+                w.append(np.frombuffer(r["a"], np.uint64))
                 d.append(np.frombuffer(r["b"], np.uint16))
         if not k:
             return pa.Table.from_batches([_batch([])])
