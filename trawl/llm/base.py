@@ -49,10 +49,10 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
         self.paths[name] = path = f"{self.root}/{name}"
         schema = df.schema
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
         self._fs(path, lambda fs, p: fs.deleteOnExit(p))
         return self.spark.read.schema(schema).parquet(path)
 

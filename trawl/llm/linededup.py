@@ -1,19 +1,19 @@
 """Fuzzy line deduplication by MinHash, keeping one line of each component.
 
-A line's shingles are the runs of 8 characters that begin at its word starts; lines of few
-words use the runs at every position instead (both kinds where the counts overlap, so no
-pair falls between them). One hash per shingle is dealt into 12 bins by its high bits; a
-band key combines the 3 smallest hashes from a bin's first onwards, which agrees for two
-lines with a chance of about J^3, so that pairs of similarity 0.8 share at least one of
-the 12 keys in over 99.9 %. Lines that meet are verified by their exact Jaccard similarity
-and linked; a distributed union-find gives the components. Equal lines are one line from
-the start.
+A line's shingles are the runs of characters from each word's start to the next word's end
+(words as cut by spaces); lines of few words use the runs of 10 characters at every
+position instead (both kinds where the counts overlap, so no pair falls between them). One hash per shingle serves all bands: the sorted hashes are cut
+at 3 fixed points, and a band key combines the 3 hashes that follow or precede a cut or an
+end, which agrees for two lines with a chance of about J^3, so that pairs of similarity 0.8
+share at least one of the 8 keys in 99.7 %. Lines that meet are verified by their exact Jaccard
+similarity and linked; a distributed union-find gives the components. Equal lines are one
+line from the start.
 
 In a bucket every line is compared with the commonest; buckets up to ``ALL_PAIRS`` lines
-compare all pairs. In larger ones, lines still outside the component of the commonest are
-compared with every line of the bucket that the triangle inequality of the Jaccard
-distance doesn't exclude, so large groups of copies cost as many comparisons as they have
-lines and no candidate link between components is lost.
+compare all pairs. In larger ones, lines still outside the component of the commonest meet
+the bucket's other lines by prefix filtering: similar sets share one of their rarest
+shingles. Large groups of copies thus cost about as many comparisons as they have lines,
+and no link between components is lost.
 
 Of a component the line that comes first, by (doc_id, text digest, line number), stays.
 Lines without a word are never touched. Defined cases: null texts stay null and have no
@@ -29,59 +29,93 @@ from pyspark.sql import functions as F
 from trawl.llm.base import WORD, Scratch, let
 from trawl.llm.components import components
 
-SHINGLE, BINS, ROWS = 8, 12, 3
+SHINGLE, CUTS, ROWS = 10, 3, 3
 #: Similarity as a fraction: shared / union >= NUM / DEN.
 NUM, DEN = 4, 5
 #: Lines with fewer word-start shingles than MANY also use all positions; with fewer than FEW only those.
-FEW, MANY = 8, 16
+FEW, MANY = 6, 8
 ALL_PAIRS = 16
-#: Rows of 16 to 24 bytes that may be broadcast; beyond it the join shuffles.
+#: Rows of some 16 bytes that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
-_AT_WORDS = rf"(?s)(?=(.{{{SHINGLE}}}))\S+"
+BLANKS = " \t\n\x0b\x0c\r"
 _EVERYWHERE = rf"(?s)(?=(.{{{SHINGLE}}}))"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (digest of the text), line_no, line, id (128-bit digest of the line)."""
+    """doc_id, th (digest of the text), line_no, line, id (two digests of the line, 128 bits)."""
     return (
         docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .filter(F.col("line").rlike(WORD))
-        .withColumn("id", F.unhex(F.md5("line")))
+        .filter(F.btrim("line", F.lit(BLANKS)) != "")
+        .withColumn("id", F.struct(F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(1), F.col("line")).alias("d2")))
     )
 
 
-def _hashes(pattern: str, line: Column) -> Column:
-    """Sorted distinct shingle hashes; a line shorter than a shingle is its own shingle."""
-    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+def _runs(line: Column) -> Column:
+    """Distinct digests of the runs from a word's start to the next word's end (the last word: its own)."""
+    runs = let(F.split(line, " "), lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b)))
+    return F.array_distinct(runs)
+
+
+def _everywhere(line: Column) -> Column:
+    """Distinct digests of the runs of SHINGLE characters; a shorter line is its own."""
+    found = F.regexp_extract_all(line, F.lit(_EVERYWHERE), F.lit(1))
     own = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
-    return F.sort_array(F.array_distinct(F.transform(own, lambda x: F.xxhash64(x))))
+    return F.array_distinct(F.transform(own, lambda x: F.xxhash64(x)))
 
 
 def _sets(lines: DataFrame) -> DataFrame:
     """Adds ``at_words`` and ``everywhere``, each null where it doesn't apply."""
     return (
-        lines.withColumn("s", let(_hashes(_AT_WORDS, F.col("line")), lambda s: F.struct(s.alias("s"))))
-        .withColumn("at_words", F.when(F.size("s.s") >= FEW, F.col("s.s")))
-        .withColumn("everywhere", F.when(F.size("s.s") < MANY, _hashes(_EVERYWHERE, F.col("line"))))
+        lines.withColumn("s", _runs(F.col("line")))
+        .withColumn("at_words", F.when(F.size("s") >= FEW, F.col("s")))
+        .withColumn("everywhere", F.when(F.size("s") < MANY, _everywhere(F.col("line"))))
         .drop("s")
     )
 
 
-def _keys(s: Column, kind: int) -> Column:
-    """Band keys of a sorted array of hashes."""
+def _band_keys(s: Column, kind: int) -> Column:
+    """Band keys of an array of distinct digests: ROWS of them after and before every cut, and at both ends.
+
+    The cuts are sorted along with the digests, so that a native search finds them. Where
+    there are few digests, other cuts would come between them and are taken out (a cut's
+    place less the cuts before it is the next digest's).
+    """
+    cuts = [-(1 << 63) + (i + 1) * ((1 << 64) // (CUTS + 1)) for i in range(CUTS)]
+    all_cuts = F.array(*[F.lit(c).cast("long") for c in cuts])
+
+    def dense(m: Column, places: Column) -> Column:
+        n, at = F.size(m), [F.get(places, i) for i in range(CUTS)]
+        firsts = [[F.get(m, r) for r in range(ROWS)], [F.get(m, n - 1 - r) for r in range(ROWS)]]
+        firsts += [[F.get(m, p + r) for r in range(ROWS)] for p in at] + [[F.get(m, p - 2 - r) for r in range(ROWS)] for p in at]
+        return F.array(*[F.xxhash64(F.lit(kind), *f) for f in firsts])
+
+    def sparse(s: Column, places: Column) -> Column:
+        last = F.greatest(F.size(s) - ROWS, F.lit(0))
+        after = [F.least(F.get(places, i) - i - 1, last) for i in range(CUTS)]
+        before = [F.greatest(F.get(places, i) - i - 2, F.lit(ROWS - 1)) for i in range(CUTS)]
+        starts = [(F.lit(0), 1), (F.greatest(F.size(s) - 1, F.lit(ROWS - 1)), -1), *[(x, 1) for x in after], *[(x, -1) for x in before]]
+        return F.array(*[F.xxhash64(F.lit(kind), *[F.get(s, x + step * r) for r in range(ROWS)]) for x, step in starts])
+
+    def of(m: Column) -> Column:
+        places = F.array(*[F.array_position(m, F.lit(c)).cast("int") for c in cuts])
+        thin = F.size(m) - CUTS < 2 * ROWS * (CUTS + 1)
+        return let(
+            places, lambda p: F.when(thin, let(F.array_except(m, all_cuts), lambda s: sparse(s, p))).otherwise(dense(m, p))
+        )
+
+    return let(F.sort_array(F.concat(s, all_cuts)), of)
 
-    def band(h: Column) -> Column:
-        return F.shiftrightunsigned(h, 52) * BINS
+
+def _keys(line: Column) -> Column:
+    none = F.array().cast("array<bigint>")
 
     def of(s: Column) -> Column:
-        first = F.filter(
-            F.transform(s, lambda h, i: F.struct(i.alias("i"), F.shiftright(band(h), 12).alias("b"))),
-            lambda x: (x["i"] == 0) | (x["b"] != F.shiftright(band(F.get(s, x["i"] - 1)), 12)),
-        )
-        return F.transform(first, lambda x: F.xxhash64(F.lit(kind), F.slice(s, x["i"] + 1, ROWS)))
+        by_runs = F.when(F.size(s) >= FEW, _band_keys(s, 0)).otherwise(none)
+        everywhere = F.when(F.size(s) < MANY, let(_everywhere(line), lambda e: _band_keys(e, 1))).otherwise(none)
+        return F.array_distinct(F.concat(by_runs, everywhere))
 
-    return F.when(s.isNull(), F.array().cast("array<bigint>")).otherwise(let(s, of))
+    return let(_runs(line), of)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -110,23 +144,23 @@ def _similar() -> Column:
     return DEN * F.col("shared") >= NUM * F.col("union")
 
 
-def line_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, keep) for lines that occur more than once or are linked; keep: the occurrence that stays."""
-    occurrence = F.struct("doc_id", "th", "line_no")
-    distinct = scratch.save(
-        _lines(docs)
-        .transform(_sets)
-        .select("id", occurrence.alias("at"), F.concat(_keys(F.col("at_words"), 0), _keys(F.col("everywhere"), 1)).alias("keys"))
-        .groupBy("id")
-        .agg(F.count("*").alias("n"), F.min("at").alias("first"), F.first("keys").alias("keys")),
-        "distinct",
-    )
-    shared = scratch.save(
-        distinct.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared"
-    )
-    met = scratch.save(distinct.select("id", "n", F.explode("keys").alias("key")).join(_small(shared), "key"), "met")
+def _signed(docs: DataFrame) -> DataFrame:
+    """Every line with a word: its place, id and band keys."""
+    return _lines(docs).select(F.struct("doc_id", "th", "line_no").alias("at"), "id", _keys(F.col("line")).alias("keys"))
+
+
+def line_components(docs: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, root) for linked lines other than the roots of their components."""
+    exploded = signed.select("id", F.explode("keys").alias("key"))
+    shared = exploded.groupBy("key").agg(F.min("id.d1").alias("x"), F.max("id.d1").alias("y")).filter("x <> y").select("key")
+    shared = scratch.save(shared, "shared")
+    met = exploded.join(_small(shared), "key").groupBy("key", "id").agg(F.count("*").alias("n"))
+    met = scratch.save(met, "met")
+    sizes = met.groupBy("key").agg(F.count("*").alias("size"))
+    met = scratch.save(met.join(sizes, "key"), "sized")
     ids = scratch.save(met.select("id").distinct(), "ids")
-    sets = scratch.save(_lines(docs).join(_small(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")).transform(_sets).drop("line"), "sets")
+    sets = _lines(docs).select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    sets = scratch.save(sets.transform(_sets).drop("line"), "sets")
 
     commonest = met.groupBy("key").agg(F.max(F.struct("n", "id"))["id"].alias("rep"))
     starred = scratch.save(met.join(commonest, "key"), "starred")
@@ -139,56 +173,70 @@ def line_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     roots = components(links, scratch, "first")
 
     # large buckets whose lines aren't in one component yet
-    large = starred.filter(F.col("size") > ALL_PAIRS)
+    large = starred.filter(F.col("size") > ALL_PAIRS).select("key", "id", "rep")
     named = (
         large.join(roots.select(F.col("node").alias("id"), F.col("root").alias("own")), "id", "left")
         .join(roots.select(F.col("node").alias("rep"), F.col("root").alias("reps")), "rep", "left")
-        .select("key", "id", "rep", F.coalesce("own", "id").alias("own"), F.coalesce("reps", "rep").alias("reps"))
+        .select("key", "id", F.coalesce("own", "id").alias("own"), F.coalesce("reps", "rep").alias("reps"))
     )
-    outside = scratch.save(named.filter("own <> reps"), "outside")
+    named = scratch.save(named, "named")
+    outside = named.filter("own <> reps")
     if outside.isEmpty():
-        return _kept(distinct, roots)
-    far = verified.select("a", "b", (1 - F.col("shared") / F.col("union")).alias("d"))
-    far = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    buckets = named.join(outside.select("key").distinct(), "key", "left_semi")
-    placed = buckets.join(far, (buckets["id"] == far["a"]) & (buckets["rep"] == far["b"]), "left").select(
-        "key", "id", "own", "reps", F.when(F.col("id") == F.col("rep"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("d")
-    )
-    placed = scratch.save(placed, "placed")
-    x = placed.filter("own <> reps").select("key", F.col("id").alias("a"), F.col("own").alias("oa"), F.col("d").alias("da"))
-    y = placed.select("key", F.col("id").alias("b"), F.col("own").alias("ob"), F.col("d").alias("db"))
-    limit = 1 - NUM / DEN + 1e-9
-    more = x.join(y, "key").filter((F.col("oa") != F.col("ob")) & (F.abs(F.col("da") - F.col("db")) <= limit))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return roots
+    about = named.join(outside.select("key").distinct(), "key", "left_semi").groupBy("id", "own").agg(F.max(F.col("own") != F.col("reps")).alias("out"))
+    more = _prefix_pairs(sets.join(about, "id"), scratch)
     extra = scratch.save(_verify(more, sets).filter(_similar()).select("a", "b"), "extra")
     if extra.isEmpty():
-        return _kept(distinct, roots)
+        return roots
     all_links = extra.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return _kept(distinct, components(all_links, scratch, "second"))
-
-
-def _kept(distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    tied = roots.select(F.col("node").alias("id"), "root")
-    ends = roots.select(F.col("root").alias("id")).distinct().withColumn("root", F.col("id"))
-    linked = distinct.select("id", "first").join(tied.union(ends), "id")
-    keep = linked.groupBy("root").agg(F.min("first").alias("keep"))
-    linked = linked.join(keep, "root").select("id", "keep")
-    alone = distinct.filter("n > 1").join(linked.select("id"), "id", "left_anti").select("id", F.col("first").alias("keep"))
-    return linked.union(alone)
+    return components(all_links, scratch, "second")
+
+
+def _prefix_pairs(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components, one of them ``out``, that may be similar.
+
+    Two sets of n and m shingles and similarity t share at least o = t / (1 + t) * (n + m);
+    with shingles ordered from rare to frequent, the first one they share is thus among the
+    first n - o + 1 of one and the first m - o + 1 of the other.
+    """
+    kinds = F.array(*[F.struct(F.lit(i).cast("byte").alias("kind"), F.col(c).alias("s")) for i, c in enumerate(("at_words", "everywhere"))])
+    flat = lines.select("id", "own", "out", F.explode(kinds).alias("k")).filter("k.s is not null")
+    flat = flat.select("id", "own", "out", "k.kind", F.size("k.s").alias("n"), F.explode("k.s").alias("h"))
+    spread = flat.groupBy("kind", "h").agg(F.count("*").alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", "h")))
+    length = F.col("n") - F.ceil(NUM * F.col("n") / DEN).cast("int") + 1
+    ranked = flat.join(spread, ["kind", "h"]).groupBy("id", "own", "out", "kind", "n").agg(order.alias("all"))
+    prefix = ranked.select("id", "own", "out", "kind", "n", F.posexplode(F.slice("all", F.lit(1), length)).alias("pos", "x"))
+    prefix = scratch.save(prefix.select("id", "own", "out", "kind", "n", "pos", "x.h"), "prefix")
+    x = prefix.filter("out").select("kind", "h", *[F.col(c).alias(f"{c}_a") for c in ("id", "own", "n", "pos")])
+    y = prefix.select("kind", "h", *[F.col(c).alias(f"{c}_b") for c in ("id", "own", "n", "pos")])
+    shared = F.ceil(NUM * (F.col("n_a") + F.col("n_b")) / (NUM + DEN))
+    near = (F.col("pos_a") + shared <= F.col("n_a")) & (F.col("pos_b") + shared <= F.col("n_b")) & (F.col("own_a") != F.col("own_b"))
+    met = x.join(y, ["kind", "h"]).filter(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _dropped(signed: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """Places of the lines that go: all of a component but the first."""
+    linked = roots.select(F.col("node").alias("id"), "root").union(roots.select(F.col("root").alias("id"), "root").distinct())
+    repeated = signed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    alone = repeated.join(linked.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))
+    tied = scratch.save(linked.union(alone), "tied")
+    places = scratch.save(signed.select("at", "id").join(_small(tied), "id").select("at", "root"), "places")
+    first = places.groupBy("root").agg(F.min("at").alias("keep"))
+    return places.join(first, "root").filter("at <> keep").select("at")
 
 
 def dedup_lines(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """The rows of ``docs`` with deduplicated texts, and n_lines, n_kept (lines with a word)."""
     scratch = Scratch(spark)
-    keep = scratch.save(line_components(docs, scratch), "keep")
-    dropped = (
-        _lines(docs)
-        .select("id", F.struct("doc_id", "th", "line_no").alias("at"))
-        .join(_small(keep), "id")
-        .filter(F.col("at") != F.col("keep"))
-        .groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.th").alias("_th"))
-        .agg(F.collect_set("at.line_no").alias("_gone"))
-    )
+    # digests don't repeat enough for dictionaries
+    signed = scratch.save(_signed(docs), "signed", {"parquet.enable.dictionary": "false"})
+    roots = scratch.save(line_components(docs, signed, scratch), "roots")
+    dropped = _dropped(signed, roots, scratch).groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.th").alias("_th"))
+    dropped = scratch.save(dropped.agg(F.collect_set("at.line_no").alias("_gone")), "dropped")
+    n, most = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
+    dropped = F.broadcast(dropped) if n + most <= BROADCAST_ROWS else dropped
     names = [c for c in docs.columns if c not in ("n_lines", "n_kept", "_doc", "_th", "_gone")]
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
     rest = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
