@@ -25,7 +25,8 @@ ship(__name__)
 PER_LANGUAGE = 3000
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
 WIDEST = max(WIDTHS)
-EPOCHS, BATCH, RATE, SEED = 5, 64, 0.01, 7
+#: Passes over the sample; small samples are passed over more often, up to LEAST_STEPS batches.
+EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 5, 500, 64, 0.01, 7
 UNDETERMINED = "und"
 
 
@@ -77,7 +78,7 @@ def train(x: np.ndarray, y: np.ndarray, n_classes: int) -> dict[str, np.ndarray]
     m1 = {k: np.zeros_like(model[k]) for k in learnt}
     m2 = {k: np.zeros_like(model[k]) for k in learnt}
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(len(x), BATCH)))):
         order = rng.permutation(len(x))
         for at in range(0, len(x), BATCH):
             pick = order[at : at + BATCH]
