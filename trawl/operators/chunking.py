@@ -72,8 +72,9 @@ def truncate(content: Column, max_tokens: int = MAX_TOKENS) -> Column:
     most = int(max_tokens * SAFE_BYTES_PER_TOKEN)
     head = F.substring(F.encode(content, "UTF-8"), 1, most)
     # cut before the last line end that isn't the first byte; without one, before a broken character
-    at_line = F.regexp_extract(F.decode(head, "UTF-8"), r"(?s)^(.+)\n", 1)
-    whole = F.regexp_replace(F.decode(head, "UTF-8"), "�+$", "")
+    text = F.make_valid_utf8(head.cast("string"))
+    at_line = F.regexp_extract(text, r"(?s)^(.+)\n", 1)
+    whole = F.regexp_replace(text, "\ufffd+$", "")
     return F.concat(F.when(at_line != "", at_line).otherwise(whole), F.lit(TRUNCATED))
 
 

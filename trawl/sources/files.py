@@ -32,7 +32,7 @@ def indexable(files: DataFrame, include: Iterable[str], exclude: Iterable[str] =
 
 def decoded(files: DataFrame) -> DataFrame:
     """Binary content as text (UTF-8, broken characters replaced) with language and hash."""
-    return files.withColumn("content_hash", F.sha2("content", 256)).withColumn("content", F.expr("decode(content, 'UTF-8')")).withColumn("language", paths.language(F.col("path")))
+    return files.withColumn("content_hash", F.sha2("content", 256)).withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))).withColumn("language", paths.language(F.col("path")))
 
 
 def detect_extensions(files: DataFrame) -> DataFrame:
