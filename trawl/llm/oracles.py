@@ -135,3 +135,19 @@ s as (select p.r, ln(case when p.v is null then b.n / total.n when c2.n >= 2 the
 select doc_id, len(w)::bigint as n_words, round(coalesce(sum(s), 0), 5) as score, round(sum(s) / len(w), 5) as mean_score
 from d left join s on d.r = s.r group by d.r, doc_id, w
 """
+
+
+#: Every window of an item's length that shares a shingle with it, compared exactly; items have 5 words or more.
+DECONTAMINATION = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g'), '{WORD}') as w from documents),
+i as (select item_id, regexp_extract_all(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g'), '{WORD}') as w from benchmark),
+ds as (select r, doc_id, len(w) - 4 as nd, unnest(range(0, len(w) - 4)) as pos, w from d where len(w) > 4),
+dg as (select r, doc_id, nd, pos, array_to_string(w[pos + 1:pos + 5], ' ') as g from ds),
+ig as (select item_id, len(w) - 4 as n, array_to_string(w[q + 1:q + 5], ' ') as g from (select *, unnest(range(0, len(w) - 4)) as q from i)),
+ic as (select item_id, n, g, count(*) as c from ig group by all),
+win as (select distinct r, doc_id, nd, item_id, n, unnest(range(greatest(0, pos - n + 1), greatest(0, least(pos, nd - n)) + 1)) as s from dg join ic using (g)),
+wc as (select win.r, win.doc_id, win.nd, win.item_id, win.n, s, dg.g, count(*) as c from win join dg on dg.r = win.r and dg.pos between s and s + win.n - 1 group by all),
+m as (select wc.r, wc.doc_id, wc.item_id, s, any_value(wc.n) as n, least(any_value(wc.n), any_value(wc.nd)) as wn, sum(least(wc.c, ic.c)) as shared
+    from wc join ic on ic.item_id = wc.item_id and ic.g = wc.g group by wc.r, wc.doc_id, wc.item_id, s)
+select doc_id, item_id, round(max(shared / (n + wn - shared)), 9) as similarity from m where 5 * shared >= 4 * (n + wn - shared) group by doc_id, item_id
+"""

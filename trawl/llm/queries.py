@@ -47,7 +47,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), spark)
-    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 9).alias("similarity"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "pipeline": pipeline,
 }
-ORACLES = {"op1_quality_rules": oracles.QUALITY, "op3_lm_scoring": oracles.BACKOFF, "op5_source_mixing": oracles.MIXING, "op6_url_filters": oracles.URLS}
+ORACLES = {"op1_quality_rules": oracles.QUALITY, "op3_lm_scoring": oracles.BACKOFF, "op5_source_mixing": oracles.MIXING, "op6_url_filters": oracles.URLS, "op8_benchmark_decontamination": oracles.DECONTAMINATION}
