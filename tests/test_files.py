@@ -190,7 +190,7 @@ def test_debounce(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("user_id").cast("string").alias("path"), F.lit("modify").alias("op"), F.col("ts").cast("timestamp").alias("ts"))
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("user_id").cast("string").alias("path"), F.lit("modify").alias("op"), F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"))
     events.write.json(str(tmp_path / "in"))
     stream = changes.debounce(changes.read_events(spark, str(tmp_path / "in")), "1 hour", "1 hour")
     q = stream.writeStream.outputMode("complete").format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
