@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.base import WORD, Scratch, let
+from trawl.llm.base import Scratch, let
 from trawl.llm.components import components
 
 SHINGLE, CUTS, ROWS = 10, 3, 3
@@ -35,7 +35,7 @@ NUM, DEN = 4, 5
 #: Lines with fewer word-start shingles than MANY also use all positions; with fewer than FEW only those.
 FEW, MANY = 6, 8
 ALL_PAIRS = 16
-#: Rows of some 16 bytes that may be broadcast; beyond it the join shuffles.
+#: Rows of some 16 to 60 bytes that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -144,52 +144,57 @@ def _similar() -> Column:
     return DEN * F.col("shared") >= NUM * F.col("union")
 
 
+FLAT = 8
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place, id and band keys."""
-    return _lines(docs).select(F.struct("doc_id", "th", "line_no").alias("at"), "id", _keys(F.col("line")).alias("keys"))
+    """Every line with a word: its place, id and band keys, in flat columns and a rest."""
+
+    def flat(k: Column) -> Column:
+        rest = F.when(F.size(k) > FLAT, F.slice(k, FLAT + 1, 2 * FLAT))
+        return F.struct(*[F.get(k, i).alias(f"k{i}") for i in range(FLAT)], rest.alias("rest"))
+
+    at = F.struct("doc_id", "th", "line_no").alias("at")
+    return _lines(docs).select(at, "id", let(_keys(F.col("line")), flat).alias("k")).select("at", "id", "k.*")
 
 
 def line_components(docs: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) for linked lines other than the roots of their components."""
-    exploded = signed.select("id", F.explode("keys").alias("key"))
+    rest = F.coalesce("rest", F.array().cast("array<bigint>"))
+    keys = F.concat(F.array(*[F.col(f"k{i}") for i in range(FLAT)]), rest)
+    exploded = signed.select("id", F.explode(keys).alias("key")).filter("key is not null")
     shared = exploded.groupBy("key").agg(F.min("id.d1").alias("x"), F.max("id.d1").alias("y")).filter("x <> y").select("key")
     shared = scratch.save(shared, "shared")
     met = exploded.join(_small(shared), "key").groupBy("key", "id").agg(F.count("*").alias("n"))
     met = scratch.save(met, "met")
-    sizes = met.groupBy("key").agg(F.count("*").alias("size"))
-    met = scratch.save(met.join(sizes, "key"), "sized")
+    buckets = met.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("n", "id"))["id"].alias("rep"))
+    met = scratch.save(met.join(_small(scratch.save(buckets, "buckets")), "key"), "sized")
     ids = scratch.save(met.select("id").distinct(), "ids")
     sets = _lines(docs).select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
     sets = scratch.save(sets.transform(_sets).drop("line"), "sets")
 
-    commonest = met.groupBy("key").agg(F.max(F.struct("n", "id"))["id"].alias("rep"))
-    starred = scratch.save(met.join(commonest, "key"), "starred")
-    star = starred.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    star = met.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     few = met.filter(F.col("size") <= ALL_PAIRS)
     every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
     pairs = star.union(every).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    verified = scratch.save(_verify(pairs, sets), "verified")
-    links = verified.filter(_similar()).select("a", "b")
-    roots = components(links, scratch, "first")
+    links = scratch.save(_verify(pairs, sets).filter(_similar()).select("a", "b"), "links")
+
+    roots = components(links, scratch, "first-round")
 
     # large buckets whose lines aren't in one component yet
-    large = starred.filter(F.col("size") > ALL_PAIRS).select("key", "id", "rep")
-    named = (
-        large.join(roots.select(F.col("node").alias("id"), F.col("root").alias("own")), "id", "left")
-        .join(roots.select(F.col("node").alias("rep"), F.col("root").alias("reps")), "rep", "left")
-        .select("key", "id", F.coalesce("own", "id").alias("own"), F.coalesce("reps", "rep").alias("reps"))
-    )
+    own = roots.select(F.col("node").alias("id"), F.col("root").alias("own"))
+    named = met.filter(F.col("size") > ALL_PAIRS).select("key", "id", "rep").join(_small(own), "id", "left")
+    named = named.join(_small(own).select(F.col("id").alias("rep"), F.col("own").alias("reps")), "rep", "left")
+    named = named.select("key", "id", F.coalesce("own", "id").alias("own"), F.coalesce("reps", "rep").alias("reps"))
     named = scratch.save(named, "named")
-    outside = named.filter("own <> reps")
-    if outside.isEmpty():
+    apart = named.filter("own <> reps")
+    if apart.isEmpty():
         return roots
-    about = named.join(outside.select("key").distinct(), "key", "left_semi").groupBy("id", "own").agg(F.max(F.col("own") != F.col("reps")).alias("out"))
-    more = _prefix_pairs(sets.join(about, "id"), scratch)
-    extra = scratch.save(_verify(more, sets).filter(_similar()).select("a", "b"), "extra")
+    about = named.join(apart.select("key").distinct(), "key", "left_semi").groupBy("id", "own").agg(F.max(F.col("own") != F.col("reps")).alias("out"))
+    extra = scratch.save(_verify(_prefix_pairs(sets.join(about, "id"), scratch), sets).filter(_similar()).select("a", "b"), "extra")
     if extra.isEmpty():
         return roots
-    all_links = extra.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return components(all_links, scratch, "second")
+    return components(extra.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, "second-round")
 
 
 def _prefix_pairs(lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -223,8 +228,8 @@ def _dropped(signed: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame
     alone = repeated.join(linked.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))
     tied = scratch.save(linked.union(alone), "tied")
     places = scratch.save(signed.select("at", "id").join(_small(tied), "id").select("at", "root"), "places")
-    first = places.groupBy("root").agg(F.min("at").alias("keep"))
-    return places.join(first, "root").filter("at <> keep").select("at")
+    first = scratch.save(places.groupBy("root").agg(F.min("at").alias("keep")), "first")
+    return places.join(_small(first), "root").filter("at <> keep").select("at")
 
 
 def dedup_lines(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -239,8 +244,11 @@ def dedup_lines(docs: DataFrame, spark: SparkSession) -> DataFrame:
     dropped = F.broadcast(dropped) if n + most <= BROADCAST_ROWS else dropped
     names = [c for c in docs.columns if c not in ("n_lines", "n_kept", "_doc", "_th", "_gone")]
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    rest = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))))
+    rest = let(
+        F.split("text", "\n"),
+        lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)),
+    )
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")))
     joined = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_doc"]) & (F.xxhash64(docs["text"]) == dropped["_th"]), "left")
     return (
         joined.withColumn("gone", gone)
