@@ -56,8 +56,11 @@ def bm25_batch(tokens: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n_docs, average = doc_lengths(tokens).agg(F.count("*"), F.avg("n_tokens")).first()
     wanted = queries.select("query_id", F.explode("terms").alias("term")).distinct()
     every = F.concat(*[F.col(f) for f in FIELDS])
+    # one struct from one variable, or the tokens would be extracted for the length and again for the rows
+    once = F.transform(F.array(every), lambda t: F.struct(F.size(t).alias("length"), t.alias("terms")))[0]
     hits = (
-        tokens.select("chunk_id", F.size(every).alias("length"), F.explode(every).alias("term"))
+        tokens.select("chunk_id", once.alias("t"))
+        .select("chunk_id", "t.length", F.explode("t.terms").alias("term"))
         .join(wanted.select("term").distinct(), "term", "left_semi")
         .groupBy("chunk_id", "length", "term")
         .agg(F.count("*").alias("tf"))
