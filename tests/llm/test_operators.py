@@ -466,6 +466,30 @@ def test_lines(spark, all_pairs, monkeypatch):
     assert all(out[r[0]].n_lines == sum(bool(x.strip()) for x in r[1].split("\n")) for r in rows)
 
 
+def character_runs(line):
+    return {line} if len(line) < 10 else {line[i : i + 10] for i in range(len(line) - 9)}
+
+
+@pytest.mark.parametrize("all_pairs", [16, 2])
+def test_lines_by_characters(spark, all_pairs, monkeypatch):
+    """All lines are compared by the characters at every position, whatever their words."""
+    monkeypatch.setattr(linededup, "ALL_PAIRS", all_pairs)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    phrases = " ".join(word(30) for _ in range(8))
+    plain = " ".join(word(12) for _ in range(20))
+    close = [(phrases, phrases[:100] + "X" + phrases[101:]), (plain, plain.replace(" ", "\t", 1)), (word(300), None)]
+    close[2] = (close[2][0], close[2][0][:150] + "X" + close[2][0][151:])
+    rows = [(1000 + 2 * i + k, x, "en", "s", 0) for i, pair in enumerate(close) for k, x in enumerate(pair)] + line_fixture()
+    out = linededup.dedup_lines(table(spark, rows), spark).collect()
+    lines = sorted({x for r in rows for x in r[1].split("\n") if x.strip()})
+    runs = {x: character_runs(x) for x in lines}
+    want = groups(lines, [(a, b) for a, b in itertools.combinations(lines, 2) if 5 * len(runs[a] & runs[b]) >= 4 * len(runs[a] | runs[b])])
+    kept = collections.Counter(want[x] for r in out for x in r.text.split("\n") if x.strip())
+    assert all(want[a] == want[b] for a, b in close)
+    assert set(kept) == set(want.values()) and set(kept.values()) == {1}
+
+
 def test_lines_awkward(spark, awkward, empty):
     out = linededup.dedup_lines(awkward, spark).collect()
     assert len(out) == len(AWKWARD) and [r.text for r in out if r.doc_id == 1] == [None]

@@ -1,8 +1,7 @@
 """Fuzzy line deduplication by MinHash, keeping one line of each component.
 
-A line's shingles are the runs of characters from each word's start to the next word's end
-(words as cut by spaces); lines of few words use the runs of 10 characters at every
-position instead (both kinds where the counts overlap, so no pair falls between them). One hash per shingle serves all bands: the sorted hashes are cut
+A line's shingles are its runs of 10 characters at every position; a shorter line is its
+own. One hash per shingle serves all bands: the sorted hashes are cut
 at 3 fixed points, and a band key combines the 3 hashes that follow or precede a cut or an
 end, which agrees for two lines with a chance of about J^3, so that pairs of similarity 0.8
 share at least one of the 8 keys in 99.7 %. Lines that meet are verified by their exact Jaccard
@@ -32,14 +31,14 @@ from trawl.llm.components import components
 SHINGLE, CUTS, ROWS = 10, 3, 3
 #: Similarity as a fraction: shared / union >= NUM / DEN.
 NUM, DEN = 4, 5
-#: Lines with fewer word-start shingles than MANY also use all positions; with fewer than FEW only those.
-FEW, MANY = 6, 8
+#: Band keys of a line.
+KEYS = 2 * (CUTS + 1)
 ALL_PAIRS = 16
 #: Rows of some 16 to 60 bytes that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 BLANKS = " \t\n\x0b\x0c\r"
-_EVERYWHERE = rf"(?s)(?=(.{{{SHINGLE}}}))"
+_RUNS = rf"(?s)(?=(.{{{SHINGLE}}}))"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -51,30 +50,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _runs(line: Column) -> Column:
-    """Distinct digests of the runs from a word's start to the next word's end (the last word: its own)."""
-    runs = let(F.split(line, " "), lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b)))
-    return F.array_distinct(runs)
-
-
-def _everywhere(line: Column) -> Column:
+def _shingles(line: Column) -> Column:
     """Distinct digests of the runs of SHINGLE characters; a shorter line is its own."""
-    found = F.regexp_extract_all(line, F.lit(_EVERYWHERE), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(_RUNS), F.lit(1))
     own = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
     return F.array_distinct(F.transform(own, lambda x: F.xxhash64(x)))
 
 
-def _sets(lines: DataFrame) -> DataFrame:
-    """Adds ``at_words`` and ``everywhere``, each null where it doesn't apply."""
-    return (
-        lines.withColumn("s", _runs(F.col("line")))
-        .withColumn("at_words", F.when(F.size("s") >= FEW, F.col("s")))
-        .withColumn("everywhere", F.when(F.size("s") < MANY, _everywhere(F.col("line"))))
-        .drop("s")
-    )
-
-
-def _band_keys(s: Column, kind: int) -> Column:
+def _band_keys(s: Column) -> Column:
     """Band keys of an array of distinct digests: ROWS of them after and before every cut, and at both ends.
 
     The cuts are sorted along with the digests, so that a native search finds them. Where
@@ -88,14 +71,14 @@ def _band_keys(s: Column, kind: int) -> Column:
         n, at = F.size(m), [F.get(places, i) for i in range(CUTS)]
         firsts = [[F.get(m, r) for r in range(ROWS)], [F.get(m, n - 1 - r) for r in range(ROWS)]]
         firsts += [[F.get(m, p + r) for r in range(ROWS)] for p in at] + [[F.get(m, p - 2 - r) for r in range(ROWS)] for p in at]
-        return F.array(*[F.xxhash64(F.lit(kind), *f) for f in firsts])
+        return F.array(*[F.xxhash64(*f) for f in firsts])
 
     def sparse(s: Column, places: Column) -> Column:
         last = F.greatest(F.size(s) - ROWS, F.lit(0))
         after = [F.least(F.get(places, i) - i - 1, last) for i in range(CUTS)]
         before = [F.greatest(F.get(places, i) - i - 2, F.lit(ROWS - 1)) for i in range(CUTS)]
         starts = [(F.lit(0), 1), (F.greatest(F.size(s) - 1, F.lit(ROWS - 1)), -1), *[(x, 1) for x in after], *[(x, -1) for x in before]]
-        return F.array(*[F.xxhash64(F.lit(kind), *[F.get(s, x + step * r) for r in range(ROWS)]) for x, step in starts])
+        return F.array(*[F.xxhash64(*[F.get(s, x + step * r) for r in range(ROWS)]) for x, step in starts])
 
     def of(m: Column) -> Column:
         places = F.array(*[F.array_position(m, F.lit(c)).cast("int") for c in cuts])
@@ -108,14 +91,7 @@ def _band_keys(s: Column, kind: int) -> Column:
 
 
 def _keys(line: Column) -> Column:
-    none = F.array().cast("array<bigint>")
-
-    def of(s: Column) -> Column:
-        by_runs = F.when(F.size(s) >= FEW, _band_keys(s, 0)).otherwise(none)
-        everywhere = F.when(F.size(s) < MANY, let(_everywhere(line), lambda e: _band_keys(e, 1))).otherwise(none)
-        return F.array_distinct(F.concat(by_runs, everywhere))
-
-    return let(_runs(line), of)
+    return let(_shingles(line), lambda s: F.array_distinct(_band_keys(s)))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -123,45 +99,31 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) with shared and union: the exact Jaccard similarity of their shingle sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("at_words").alias("aw"), F.col("everywhere").alias("ae"))
-    right = sets.select(F.col("id").alias("b"), F.col("at_words").alias("bw"), F.col("everywhere").alias("be"))
-    both = F.when(
-        F.col("ae").isNotNull() & F.col("be").isNotNull(), F.struct(F.col("ae").alias("x"), F.col("be").alias("y"))
-    ).otherwise(F.struct(F.col("aw").alias("x"), F.col("bw").alias("y")))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", both.alias("s"))
-        .filter(F.col("s.x").isNotNull() & F.col("s.y").isNotNull())
-        .select("a", "b", F.size(F.array_intersect("s.x", "s.y")).alias("shared"), (F.size("s.x") + F.size("s.y")).alias("sizes"))
-        .select("a", "b", "shared", (F.col("sizes") - F.col("shared")).alias("union"))
-    )
-
+def _verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity is NUM / DEN or more.
 
-def _similar() -> Column:
-    return DEN * F.col("shared") >= NUM * F.col("union")
+    Shingles are cut from the joined lines, which take an eighth of their digests' room.
+    """
 
+    def similar(s: Column) -> Column:
+        return let(F.size(F.array_intersect(s["x"], s["y"])), lambda n: DEN * n >= NUM * (F.size(s["x"]) + F.size(s["y"]) - n))
 
-FLAT = 8
+    left = lines.select(F.col("id").alias("a"), F.col("line").alias("x"))
+    right = lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    both = F.struct(_shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y"))
+    return pairs.join(left, "a").join(right, "b").filter(let(both, similar)).select("a", "b")
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place, id and band keys, in flat columns and a rest."""
-
-    def flat(k: Column) -> Column:
-        rest = F.when(F.size(k) > FLAT, F.slice(k, FLAT + 1, 2 * FLAT))
-        return F.struct(*[F.get(k, i).alias(f"k{i}") for i in range(FLAT)], rest.alias("rest"))
-
+    """Every line with a word: its place, id and band keys, in flat columns."""
+    flat = let(_keys(F.col("line")), lambda k: F.struct(*[F.get(k, i).alias(f"k{i}") for i in range(KEYS)])).alias("k")
     at = F.struct("doc_id", "th", "line_no").alias("at")
-    return _lines(docs).select(at, "id", let(_keys(F.col("line")), flat).alias("k")).select("at", "id", "k.*")
+    return _lines(docs).select(at, "id", flat).select("at", "id", "k.*")
 
 
 def line_components(docs: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) for linked lines other than the roots of their components."""
-    rest = F.coalesce("rest", F.array().cast("array<bigint>"))
-    keys = F.concat(F.array(*[F.col(f"k{i}") for i in range(FLAT)]), rest)
+    keys = F.array(*[F.col(f"k{i}") for i in range(KEYS)])
     exploded = signed.select("id", F.explode(keys).alias("key")).filter("key is not null")
     shared = exploded.groupBy("key").agg(F.min("id.d1").alias("x"), F.max("id.d1").alias("y")).filter("x <> y").select("key")
     shared = scratch.save(shared, "shared")
@@ -170,14 +132,14 @@ def line_components(docs: DataFrame, signed: DataFrame, scratch: Scratch) -> Dat
     buckets = met.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("n", "id"))["id"].alias("rep"))
     met = scratch.save(met.join(_small(scratch.save(buckets, "buckets")), "key"), "sized")
     ids = scratch.save(met.select("id").distinct(), "ids")
-    sets = _lines(docs).select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    sets = scratch.save(sets.transform(_sets).drop("line"), "sets")
+    lines = _lines(docs).select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    lines = scratch.save(lines, "lines")
 
     star = met.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     few = met.filter(F.col("size") <= ALL_PAIRS)
     every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
     pairs = star.union(every).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = scratch.save(_verify(pairs, sets).filter(_similar()).select("a", "b"), "links")
+    links = scratch.save(_verify(pairs, lines), "links")
 
     roots = components(links, scratch, "first-round")
 
@@ -191,7 +153,7 @@ def line_components(docs: DataFrame, signed: DataFrame, scratch: Scratch) -> Dat
     if apart.isEmpty():
         return roots
     about = named.join(apart.select("key").distinct(), "key", "left_semi").groupBy("id", "own").agg(F.max(F.col("own") != F.col("reps")).alias("out"))
-    extra = scratch.save(_verify(_prefix_pairs(sets.join(about, "id"), scratch), sets).filter(_similar()).select("a", "b"), "extra")
+    extra = scratch.save(_verify(_prefix_pairs(lines.join(about, "id"), scratch), lines), "extra")
     if extra.isEmpty():
         return roots
     return components(extra.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, "second-round")
@@ -204,20 +166,19 @@ def _prefix_pairs(lines: DataFrame, scratch: Scratch) -> DataFrame:
     with shingles ordered from rare to frequent, the first one they share is thus among the
     first n - o + 1 of one and the first m - o + 1 of the other.
     """
-    kinds = F.array(*[F.struct(F.lit(i).cast("byte").alias("kind"), F.col(c).alias("s")) for i, c in enumerate(("at_words", "everywhere"))])
-    flat = lines.select("id", "own", "out", F.explode(kinds).alias("k")).filter("k.s is not null")
-    flat = flat.select("id", "own", "out", "k.kind", F.size("k.s").alias("n"), F.explode("k.s").alias("h"))
-    spread = flat.groupBy("kind", "h").agg(F.count("*").alias("df"))
+    flat = lines.select("id", "own", "out", _shingles(F.col("line")).alias("s"))
+    flat = flat.select("id", "own", "out", F.size("s").alias("n"), F.explode("s").alias("h"))
+    spread = flat.groupBy("h").agg(F.count("*").alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", "h")))
     length = F.col("n") - F.ceil(NUM * F.col("n") / DEN).cast("int") + 1
-    ranked = flat.join(spread, ["kind", "h"]).groupBy("id", "own", "out", "kind", "n").agg(order.alias("all"))
-    prefix = ranked.select("id", "own", "out", "kind", "n", F.posexplode(F.slice("all", F.lit(1), length)).alias("pos", "x"))
-    prefix = scratch.save(prefix.select("id", "own", "out", "kind", "n", "pos", "x.h"), "prefix")
-    x = prefix.filter("out").select("kind", "h", *[F.col(c).alias(f"{c}_a") for c in ("id", "own", "n", "pos")])
-    y = prefix.select("kind", "h", *[F.col(c).alias(f"{c}_b") for c in ("id", "own", "n", "pos")])
+    ranked = flat.join(spread, "h").groupBy("id", "own", "out", "n").agg(order.alias("all"))
+    prefix = ranked.select("id", "own", "out", "n", F.posexplode(F.slice("all", F.lit(1), length)).alias("pos", "x"))
+    prefix = scratch.save(prefix.select("id", "own", "out", "n", "pos", "x.h"), "prefix")
+    x = prefix.filter("out").select("h", *[F.col(c).alias(f"{c}_a") for c in ("id", "own", "n", "pos")])
+    y = prefix.select("h", *[F.col(c).alias(f"{c}_b") for c in ("id", "own", "n", "pos")])
     shared = F.ceil(NUM * (F.col("n_a") + F.col("n_b")) / (NUM + DEN))
     near = (F.col("pos_a") + shared <= F.col("n_a")) & (F.col("pos_b") + shared <= F.col("n_b")) & (F.col("own_a") != F.col("own_b"))
-    met = x.join(y, ["kind", "h"]).filter(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    met = x.join(y, "h").filter(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
