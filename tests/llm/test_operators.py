@@ -327,6 +327,29 @@ def test_decontamination(spark, empty):
     assert decontaminate.matches(table(spark, docs), bench.limit(0), spark).count() == 0
 
 
+def test_decontamination_by_every_window(spark):
+    """The best window lies between the alignments of single shingles; texts shorter than their item."""
+    items, docs, rng = [], [], random.Random(8)
+    for i, (n, ends, middle) in enumerate(((60, 1, 2), (99, 3, 6), (120, 4, 8))):
+        v = [f"i{i}w{k}" for k in range(n)]
+        w = ["x"] * ends + v[ends : n // 2] + ["y"] * middle + v[n // 2 : n - ends] + ["z"] * ends
+        items.append((i, " ".join(v)))
+        docs.append((i, " ".join([*(f"a{k}" for k in range(40)), *w, *(f"b{k}" for k in range(40))]), "en", "s", 0))
+    for i in range(10, 30):
+        v = [f"i{i}w{k}" for k in range(54)]
+        items.append((i, " ".join(v)))
+        docs.append((i, " ".join(v[(a := rng.randint(0, 10)) : a + 44]), "en", "s", 0))
+    # every shingle but the text's is rarer than it: six items share the text
+    same = [f"s{k}" for k in range(44)]
+    for i in range(40, 46):
+        items.append((i, " ".join([f"i{i}w{k}" for k in range(5)] + same + [f"i{i}v{k}" for k in range(5)])))
+    docs.append((40, " ".join(same), "en", "s", 0))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), spark).collect()}
+    want = {(d[0], i): s for d in docs for i, t in items if (s := windows_like(d[1], t)) >= 0.8}
+    assert set(got) == set(want) and {(0, 0), (1, 1), (2, 2), (40, 40)} <= set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_native_simhash(spark):
     rng = random.Random(2)
     rows = [(i, [rng.getrandbits(64) - (1 << 63) for _ in range(n)]) for i, n in enumerate((1, 2, 3, 30, 31, 200))]

@@ -8,15 +8,15 @@ counts) of 0.8 or more.
 
 1. Anchors: such a window shares a shingle with the item, namely one of the item's rarest
    ones (prefix filtering). Documents' exploded shingle digests meet these in an equi-join;
-   each meeting aligns one item-sized window.
+   every item-sized window that covers a meeting is a candidate. Those with too few shingles
+   of the item to be similar, whatever their counts, go before anything is signed.
 2. SimHash: windows and items get 64-bit fingerprints of their weighted shingles. Fingerprints
    are cut into RADIUS + 1 blocks; fingerprints within RADIUS bits agree in one block at
    least, so the equi-join on (item, block number, block) finds all of them.
 3. Verification: exact weighted similarity of what lies within RADIUS.
 
 At similarity 0.8 some 10 of 64 bits differ (standard deviation 3), hence the radius.
-Only windows that share no shingle with any item, whose similarity is 0, are never
-fingerprinted. Defined cases: null and empty texts and items match nothing; a text shorter
+Only windows that can't be similar are never fingerprinted. Defined cases: null and empty texts and items match nothing; a text shorter
 than the item is one window; rows that agree in id and text are one result; null ids are
 kept; repeated items are judged each. Extra columns are ignored.
 """
@@ -123,22 +123,53 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _anchors(items: DataFrame) -> DataFrame:
-    """(digest, size, item, length, place): where an item's anchoring shingles lie in it."""
+    """(digest, size, item, length): an item's anchoring shingles."""
     placed = items.select("item", "length", "size", F.size("h").alias("n"), F.posexplode("h").alias("place", "digest"))
     spread = placed.groupBy("digest", "size").agg(F.count_distinct("item").alias("items"))
     ranked = placed.join(spread, ["digest", "size"]).groupBy("item", "length", "size", "n").agg(
         F.array_sort(F.collect_list(F.struct("items", "digest", "place"))).alias("all")
     )
-    # equal-sized multisets of similarity t share at least 2t/(1+t) of their shingles
-    needed = F.ceil(2 * NUM * F.col("n") / (DEN + NUM)).cast("int")
+    # a multiset of similarity t shares at least t of the item's shingles, however short the text
+    needed = F.ceil(NUM * F.col("n") / DEN).cast("int")
     return (
         ranked.withColumn("prefix", F.col("n") - needed + 1)
         .select("item", "length", "size", "prefix", F.posexplode("all").alias("rank", "x"))
         .filter((F.col("rank") < F.col("prefix")) | (F.col("x.items") <= COMMON))
-        .select(F.col("x.digest").alias("digest"), "size", "item", "length", F.col("x.place").alias("place"))
+        .select(F.col("x.digest").alias("digest"), "size", "item", "length")
+        .distinct()
     )
 
 
+def _windows(h: Column, own: Column, ats: Column, length: Column, size: Column) -> Column:
+    """(start, x) of a text's windows that cover one of the anchors ``ats`` and may be similar to an item.
+
+    h: the text's shingles; own: the item's. Starts are listed once, however many anchors a
+    window covers. x: the window's shingles.
+    """
+    n = F.size(own)
+    last = F.greatest(F.size(h) - n, F.lit(0))  # of the starts
+
+    def covering(p: Column) -> Column:
+        """``p``: anchors in order, so that each adds the starts beyond those of the one before."""
+
+        def added(at: Column, k: Column) -> Column:
+            before = F.when(k > 0, F.least(F.get(p, k - 1), last) + 1).otherwise(F.lit(0))
+            a, b = F.greatest(at - length + size, before, F.lit(0)), F.least(at, last)
+            return F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<int>"))
+
+        return F.flatten(F.transform(p, added))
+
+    def over(marks: Column) -> Column:
+        def enough(a: Column) -> Column:
+            here = F.slice(marks, a + 1, n)
+            return (DEN + NUM) * F.size(F.filter(here, lambda m: m)) >= NUM * (n + F.size(here))
+
+        starts = F.filter(let(F.array_sort(ats), covering), enough)
+        return F.transform(starts, lambda a: F.struct(a.alias("start"), F.slice(h, a + 1, n).alias("x")))
+
+    return let(F.transform(h, lambda s: F.array_contains(own, s)), over)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, radius: int = RADIUS) -> DataFrame:
     """doc_id, th (digest of the text), item_id, similarity and start (word of the best window)."""
     scratch = Scratch(spark)
@@ -150,19 +181,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, radius:
     by_size = F.array(*[F.struct(F.lit(s).alias("size"), shingles(F.col("w"), F.lit(s)).alias("h")) for s in sizes])
     hits = (
         texts.select("doc_id", "th", normal_words(F.col("text")).alias("w"))
-        .select("doc_id", "th", F.size("w").alias("n_words"), F.explode(by_size).alias("s"))
-        .select("doc_id", "th", "n_words", "s.size", F.posexplode("s.h").alias("at", "digest"))
+        .select("doc_id", "th", F.explode(by_size).alias("s"))
+        .select("doc_id", "th", "s.size", F.posexplode("s.h").alias("at", "digest"))
         .join(anchors, ["digest", "size"])
         .select(
             "doc_id",
             "th",
             "item",
-            F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n_words") - F.col("length"))).alias("start"),
+            "at",
         )
         if sizes
-        else texts.select("doc_id", "th", F.lit(0).cast("long").alias("item"), F.lit(0).alias("start")).limit(0)
+        else texts.select("doc_id", "th", F.lit(0).cast("long").alias("item"), F.lit(0).alias("at")).limit(0)
     )
-    hits = scratch.save(hits.distinct().groupBy("doc_id", "th", "item").agg(F.collect_set("start").alias("starts")), "hits")
+    hits = scratch.save(hits.groupBy("doc_id", "th", "item").agg(F.collect_set("at").alias("ats")), "hits")
 
     # the texts of documents with an anchor, once each
     met = hits.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
@@ -170,11 +201,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, radius:
     found = found.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
     found = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), normal_words(F.col("text")).alias("w"))
     item = items.select("item", "length", "size", "h", "fp")
+    near = lambda h: _windows(h, F.col("h"), F.col("ats"), F.col("length"), F.col("size"))
     windows = (
         hits.join(found, hits["doc_id"].eqNullSafe(found["d"]) & (hits["th"] == found["t"]))
-        .join(item.select("item", "length", "size"), "item")
-        .select("doc_id", "th", "item", "length", "size", "w", F.explode("starts").alias("start"))
-        .select("doc_id", "th", "item", "start", shingles(F.slice("w", F.col("start") + 1, F.col("length")), F.col("size")).alias("x"))
+        .join(item.select("item", "length", "size", "h"), "item")
+        .select("doc_id", "th", "item", F.explode(let(shingles(F.col("w"), F.col("size")), near)).alias("n"))
+        .select("doc_id", "th", "item", "n.start", "n.x")
         .withColumn("print", simhash(F.col("x")))
     )
     windows = scratch.save(windows, "windows")
