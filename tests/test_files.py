@@ -85,6 +85,31 @@ def test_split_and_truncate(spark):
     assert got == "a" + "é" * 47 + chunking.TRUNCATED
 
 
+@pytest.mark.parametrize(("name", "largest"), [("file_chunk_policy_whole", 2000), ("class_chunk_policy_whole", None)])
+def test_chunk_policy_covers_all_rows(spark, name, largest):
+    """Byte cuts by brute force, within multi-byte text too."""
+    import hashlib
+
+    from tests.conftest import TINY
+    from trawl.plans import catalogue
+    from trawl.sources.corpus import corpus
+
+    def want(text):
+        b = text.encode()
+        if int(len(b) / 3.5) <= 100:
+            return False, hashlib.sha256(b).hexdigest()
+        head = b[:320]
+        at = head.rfind(b"\n")
+        cut = head[:at] if at > 0 else head.decode("utf-8", "ignore").encode()
+        return True, hashlib.sha256(cut + b"\n// ... [truncated]").hexdigest()
+
+    rows = [(r.path, r.content) for r in corpus(spark, TINY).select("path", "content").collect()]
+    multi = [t for _, t in rows if len(t[:320].encode()) > len(t[:320])]
+    assert multi
+    expected = sorted((p, *want(t)) for p, t in rows if largest is None or len(t.encode()) <= largest)
+    assert sorted(map(tuple, catalogue.QUERIES[name](spark, TINY).collect())) == expected
+
+
 def test_declarations(spark):
     from trawl.plans.file_queries import SNIPPETS
 

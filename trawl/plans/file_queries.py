@@ -93,9 +93,13 @@ def _policy(most: str) -> str:
     sha256(case when floor(octet_length(encode(content)) / 3.5) > 100 then {cut} else content end) as digest from corpus where {most} and octet_length(encode({head})) = length({head})"""
 
 
+def _all_digests(chunks: DataFrame) -> DataFrame:
+    return chunks.select("path", "is_partial", F.sha2("content", 256).alias("digest"))
+
+
 def _digests(chunks: DataFrame) -> DataFrame:
     head = F.substring("original", 1, 320)
-    return chunks.filter(F.octet_length(head) == F.length(head)).select("path", "is_partial", F.sha2("content", 256).alias("digest"))
+    return _all_digests(chunks.filter(F.octet_length(head) == F.length(head)))
 
 
 @query(_policy("octet_length(encode(content)) <= 2000"))
@@ -108,6 +112,18 @@ def class_chunk_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(chunking.class_policy(_files(spark, sf_dir).withColumn("original", F.col("content")), 100))
 
 
+@query()
+def file_chunk_policy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file_chunk_policy`` over all rows, those cut within multi-byte text included; tests compare with brute force."""
+    return _all_digests(chunking.file_policy(_files(spark, sf_dir), 100, 2000))
+
+
+@query()
+def class_chunk_policy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``class_chunk_policy`` over all rows, likewise."""
+    return _all_digests(chunking.class_policy(_files(spark, sf_dir), 100))
+
+
 @query(f"""with recursive {CORPUS_SQL},
 l as (select path, unnest(string_split(content, chr(10))) as line, unnest(range(len(string_split(content, chr(10)))))::int as i from corpus where floor(octet_length(encode(content)) / 3.5) > 500),
 a as (select path, list(floor(octet_length(encode(line)) / 3.5)::int order by i) as s from l group by path),
