@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import decontaminate, langid, linededup, mixing, simhash
+from trawl.llm import decontaminate, langid, linededup, mixing, neardocs, simhash
 from trawl.llm.base import Scratch, read
 
 #: Documents whose language is less certain than this go.
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component."""
-    return simhash.keep_one(docs, spark)
+    """Keeps one document of each near-duplicate component: those op9 finds, then 5-word shingles of similarity 0.8 or more."""
+    return neardocs.keep_one(Scratch(spark).save(simhash.keep_one(docs, spark), "op9"), spark)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

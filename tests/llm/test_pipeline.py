@@ -40,3 +40,16 @@ def test_stages_awkward(spark, tmp_path):
         for _, stage in p.STAGES:
             out = Scratch(spark).save(stage(spark, out, str(tmp_path)), "x")
         assert out.count() <= rows.count()
+
+
+def test_near_copies_of_similarity_0_8_go(spark):
+    """Pairs beyond the 4 bits of op9, and a clean document."""
+    text = [f"w{k}" for k in range(300)]
+    near = list(text)
+    for k in (50, 150, 250):
+        near[k] = f"x{k}"
+    apart = text[:150] + [f"y{k}" for k in range(150)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate((text, near, apart))], DOCS)
+    bits = [simhash.fingerprint(" ".join(t)) for t in (text, near)]
+    assert ((bits[0] ^ bits[1]) & ((1 << 64) - 1)).bit_count() > simhash.RADIUS
+    assert sorted(r.doc_id for r in p.near_dedup(spark, docs, TINY).collect()) == [0, 2]

@@ -22,6 +22,8 @@ line. The columns of the input stay as they are, but for ``text``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,9 @@ ALL_PAIRS = 16
 #: Rows of some 16 to 60 bytes that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
+#: From a text to the distinct digests of its shingles.
+Cut = Callable[[Column], Column]
+
 BLANKS = " \t\n\x0b\x0c\r"
 _RUNS = rf"(?s)(?=(.{{{SHINGLE}}}))"
 
@@ -90,8 +95,8 @@ def _band_keys(s: Column) -> Column:
     return let(F.sort_array(F.concat(s, all_cuts)), of)
 
 
-def _keys(line: Column) -> Column:
-    return let(_shingles(line), lambda s: F.array_distinct(_band_keys(s)))
+def _keys(line: Column, cut: Cut) -> Column:
+    return let(cut(line), lambda s: F.array_distinct(_band_keys(s)))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, lines: DataFrame, cut: Cut) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard similarity is NUM / DEN or more.
 
     Shingles are cut from the joined lines, which take an eighth of their digests' room.
@@ -110,18 +115,17 @@ def _verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     left = lines.select(F.col("id").alias("a"), F.col("line").alias("x"))
     right = lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    both = F.struct(_shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y"))
+    both = F.struct(cut(F.col("x")).alias("x"), cut(F.col("y")).alias("y"))
     return pairs.join(left, "a").join(right, "b").filter(let(both, similar)).select("a", "b")
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place, id and band keys, in flat columns."""
-    flat = let(_keys(F.col("line")), lambda k: F.struct(*[F.get(k, i).alias(f"k{i}") for i in range(KEYS)])).alias("k")
-    at = F.struct("doc_id", "th", "line_no").alias("at")
-    return _lines(docs).select(at, "id", flat).select("at", "id", "k.*")
+def sign(lines: DataFrame, cut: Cut) -> DataFrame:
+    """Every line's place, id and band keys, in flat columns."""
+    flat = let(_keys(F.col("line"), cut), lambda k: F.struct(*[F.get(k, i).alias(f"k{i}") for i in range(KEYS)])).alias("k")
+    return lines.select("at", "id", flat).select("at", "id", "k.*")
 
 
-def line_components(docs: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
+def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, cut: Cut) -> DataFrame:
     """(id, root) for linked lines other than the roots of their components."""
     keys = F.array(*[F.col(f"k{i}") for i in range(KEYS)])
     exploded = signed.select("id", F.explode(keys).alias("key")).filter("key is not null")
@@ -132,14 +136,14 @@ def line_components(docs: DataFrame, signed: DataFrame, scratch: Scratch) -> Dat
     buckets = met.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("n", "id"))["id"].alias("rep"))
     met = scratch.save(met.join(_small(scratch.save(buckets, "buckets")), "key"), "sized")
     ids = scratch.save(met.select("id").distinct(), "ids")
-    lines = _lines(docs).select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    lines = lines.select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
     lines = scratch.save(lines, "lines")
 
     star = met.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     few = met.filter(F.col("size") <= ALL_PAIRS)
     every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
     pairs = star.union(every).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = scratch.save(_verify(pairs, lines), "links")
+    links = scratch.save(_verify(pairs, lines, cut), "links")
 
     roots = components(links, scratch, "first-round")
 
@@ -153,20 +157,20 @@ def line_components(docs: DataFrame, signed: DataFrame, scratch: Scratch) -> Dat
     if apart.isEmpty():
         return roots
     about = named.join(apart.select("key").distinct(), "key", "left_semi").groupBy("id", "own").agg(F.max(F.col("own") != F.col("reps")).alias("out"))
-    extra = scratch.save(_verify(_prefix_pairs(lines.join(about, "id"), scratch), lines), "extra")
+    extra = scratch.save(_verify(_prefix_pairs(lines.join(about, "id"), scratch, cut), lines, cut), "extra")
     if extra.isEmpty():
         return roots
     return components(extra.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, "second-round")
 
 
-def _prefix_pairs(lines: DataFrame, scratch: Scratch) -> DataFrame:
+def _prefix_pairs(lines: DataFrame, scratch: Scratch, cut: Cut) -> DataFrame:
     """Pairs (a, b) of different components, one of them ``out``, that may be similar.
 
     Two sets of n and m shingles and similarity t share at least o = t / (1 + t) * (n + m);
     with shingles ordered from rare to frequent, the first one they share is thus among the
     first n - o + 1 of one and the first m - o + 1 of the other.
     """
-    flat = lines.select("id", "own", "out", _shingles(F.col("line")).alias("s"))
+    flat = lines.select("id", "own", "out", cut(F.col("line")).alias("s"))
     flat = flat.select("id", "own", "out", F.size("s").alias("n"), F.explode("s").alias("h"))
     spread = flat.groupBy("h").agg(F.count("*").alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", "h")))
@@ -182,7 +186,7 @@ def _prefix_pairs(lines: DataFrame, scratch: Scratch) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _dropped(signed: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+def dropped(signed: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """Places of the lines that go: all of a component but the first."""
     linked = roots.select(F.col("node").alias("id"), "root").union(roots.select(F.col("root").alias("id"), "root").distinct())
     repeated = signed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
@@ -196,13 +200,14 @@ def _dropped(signed: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame
 def dedup_lines(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """The rows of ``docs`` with deduplicated texts, and n_lines, n_kept (lines with a word)."""
     scratch = Scratch(spark)
+    lines = _lines(docs).withColumn("at", F.struct("doc_id", "th", "line_no"))
     # digests don't repeat enough for dictionaries
-    signed = scratch.save(_signed(docs), "signed", {"parquet.enable.dictionary": "false"})
-    roots = scratch.save(line_components(docs, signed, scratch), "roots")
-    dropped = _dropped(signed, roots, scratch).groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.th").alias("_th"))
-    dropped = scratch.save(dropped.agg(F.collect_set("at.line_no").alias("_gone")), "dropped")
-    n, most = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
-    dropped = F.broadcast(dropped) if n + most <= BROADCAST_ROWS else dropped
+    signed = scratch.save(sign(lines, _shingles), "signed", {"parquet.enable.dictionary": "false"})
+    roots = scratch.save(line_components(lines, signed, scratch, _shingles), "roots")
+    out = dropped(signed, roots, scratch).groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.th").alias("_th"))
+    out = scratch.save(out.agg(F.collect_set("at.line_no").alias("_gone")), "dropped")
+    n, most = out.agg(F.count("*"), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
+    out = F.broadcast(out) if n + most <= BROADCAST_ROWS else out
     names = [c for c in docs.columns if c not in ("n_lines", "n_kept", "_doc", "_th", "_gone")]
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
     rest = let(
@@ -210,7 +215,7 @@ def dedup_lines(docs: DataFrame, spark: SparkSession) -> DataFrame:
         lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)),
     )
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")))
-    joined = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_doc"]) & (F.xxhash64(docs["text"]) == dropped["_th"]), "left")
+    joined = docs.join(out, docs["doc_id"].eqNullSafe(out["_doc"]) & (F.xxhash64(docs["text"]) == out["_th"]), "left")
     return (
         joined.withColumn("gone", gone)
         .withColumn("n_lines", n.cast("long"))
