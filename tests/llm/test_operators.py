@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import SF, TINY, compare
-from trawl.llm import backoff, decontaminate, htmlmain, langid, linededup, mixing, quality, queries, simhash, toxicity, urlfilter
+from trawl.llm import backoff, decontaminate, htmlmain, langid, linededup, minhash, mixing, quality, queries, simhash, toxicity, urlfilter
 from trawl.llm.base import Scratch
 from trawl.llm.components import components
 
@@ -440,18 +440,6 @@ def test_simhash_awkward(spark, awkward, empty):
 # --- 10 ------------------------------------------------------------------------------------
 
 
-def line_sets(line):
-    w = line.split(" ")
-    runs = {tuple(w[i : i + 2]) for i in range(len(w))}
-    every = {line} if len(line) < 10 else {line[i : i + 10] for i in range(len(line) - 9)}
-    return (runs if len(runs) >= 6 else None), (every if len(runs) < 8 else None)
-
-
-def similar_lines(a, b):
-    x, y = (a[1], b[1]) if a[1] and b[1] else (a[0], b[0])
-    return bool(x and y) and 5 * len(x & y) >= 4 * len(x | y)
-
-
 def line_fixture(seed=6):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
@@ -468,27 +456,6 @@ def line_fixture(seed=6):
     return rows
 
 
-@pytest.mark.parametrize("all_pairs", [16, 2])
-def test_lines(spark, all_pairs, monkeypatch):
-    """``all_pairs`` of 2 sends most buckets through the handling of large ones."""
-    monkeypatch.setattr(linededup, "ALL_PAIRS", all_pairs)
-    rows = line_fixture()
-    out = {r.doc_id: r for r in linededup.dedup_lines(table(spark, rows), spark).collect()}
-    lines = sorted({x for r in rows for x in r[1].split("\n") if x.strip()})
-    sets = {x: line_sets(x) for x in lines}
-    want = groups(lines, [(a, b) for a, b in itertools.combinations(lines, 2) if similar_lines(sets[a], sets[b])])
-    kept = collections.Counter(want[x] for r in out.values() for x in r.text.split("\n") if x.strip())
-    # the banding may miss a pair in a thousand; this fixture's seed doesn't
-    assert set(kept) == set(want.values()) and set(kept.values()) == {1}
-    first = {}
-    for r in rows:
-        for x in r[1].split("\n"):
-            if x.strip():
-                first.setdefault(want[x], r[0])
-    assert all(first[want[x]] == i for i, r in out.items() for x in r.text.split("\n") if x.strip())
-    assert all(out[r[0]].n_lines == sum(bool(x.strip()) for x in r[1].split("\n")) for r in rows)
-
-
 def character_runs(line):
     return {line} if len(line) < 10 else {line[i : i + 10] for i in range(len(line) - 9)}
 
@@ -511,6 +478,45 @@ def test_lines_by_characters(spark, all_pairs, monkeypatch):
     kept = collections.Counter(want[x] for r in out for x in r.text.split("\n") if x.strip())
     assert all(want[a] == want[b] for a, b in close)
     assert set(kept) == set(want.values()) and set(kept.values()) == {1}
+    first = {}
+    for r in rows:
+        for x in r[1].split("\n"):
+            if x.strip():
+                first.setdefault(want[x], r[0])
+    assert all(first[want[x]] == r.doc_id for r in out for x in r.text.split("\n") if x.strip())
+    assert all(r.n_lines == sum(bool(x.strip()) for x in t[1].split("\n")) for r in out for t in rows if t[0] == r.doc_id)
+
+
+def test_line_recall(spark):
+    """Pairs of 20-word lines with two one-character edits."""
+    rng, rows, similar = random.Random(12), [], 0
+    for i in range(600):
+        a = " ".join("".join(rng.choice("abcdefghijklm") for _ in range(9)) for _ in range(20))
+        b = list(a)
+        for k in rng.sample(range(len(a)), 2):
+            b[k] = "X"
+        x, y = character_runs(a), character_runs("".join(b))
+        if 5 * len(x & y) >= 4 * len(x | y):
+            similar += 1
+            rows += [(2 * i, a, "en", "s", 0), (2 * i + 1, "".join(b), "en", "s", 0)]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, DOCS), spark)
+    assert out.filter("n_kept = 0").count() >= 0.99 * similar and similar > 300
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 64])
+def test_overlaps_and_signatures(piece, monkeypatch):
+    """Long texts are handled in pieces: sets and keys are the same."""
+    rng = random.Random(1)
+    xs = ["".join(rng.choice("abcdefg hi\u00e9") for _ in range(rng.choice((0, 1, 5, 9, 10, 11, 30, 300, 900)))) for _ in range(200)]
+    ys = [x[: len(x) // 2] + rng.choice(("", "X", "XY")) + x[len(x) // 2 :] for x in xs]
+    keys, repeat = minhash.signatures(xs, linededup.CHARACTERS.arrays)
+    monkeypatch.setattr(minhash, "PIECE", piece)
+    again = minhash.signatures(xs, linededup.CHARACTERS.arrays)
+    assert (keys == again[0]).all() and (repeat == again[1]).all()
+    shared, union = minhash.overlaps(xs, ys, linededup.CHARACTERS.arrays)
+    for x, y, n, m in zip(xs, ys, shared, union, strict=True):
+        a, b = (character_runs(t) if t else set() for t in (x, y))
+        assert (n, m) == (len(a & b), len(a | b))
 
 
 def test_lines_awkward(spark, awkward, empty):

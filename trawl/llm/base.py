@@ -36,6 +36,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables written to the folder all executors share (``spark.checkpoint.dir``).
 
@@ -69,13 +81,7 @@ _roots: dict[str, str] = {}
 
 
 def _own_root(spark: SparkSession) -> str:
-    """Only where the session names no shared folder, as in local tests."""
+    """Only in local sessions that name no shared folder, as in tests; on a cluster every machine would write to its own disk."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return _roots.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="trawl-"))
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of plans that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

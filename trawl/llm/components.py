@@ -14,19 +14,27 @@ from pyspark.sql import functions as F
 from trawl.llm.base import Scratch
 
 
-def _parents(edges: DataFrame, node: str, parent: str) -> DataFrame:
-    return edges.groupBy(F.col("hi").alias(node)).agg(F.min("lo").alias(parent))
+#: Rows (node, parent) of up to some 50 bytes that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _parents(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(at, top): the smallest smaller neighbour of every node.
+
+    Written, so that beyond the broadcast bound both sides of its joins are exchanged for the
+    join alone and Spark can split a hub's edges over tasks.
+    """
+    up = scratch.save(edges.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("top")), name)
+    return F.broadcast(up) if up.count() <= BROADCAST_ROWS else up
+
+
+def _large_star(edges: DataFrame, up: DataFrame) -> DataFrame:
     """Every node goes to the smallest node its smaller neighbours know."""
-    up = _parents(edges, "at", "top")
     return edges.join(up, edges["lo"] == up["at"], "left").select("hi", F.coalesce("top", "lo").alias("lo")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, up: DataFrame) -> DataFrame:
     """The smaller neighbours of a node, and the node itself, go to the smallest of them."""
-    up = _parents(edges, "at", "top")
     both = edges.join(up, edges["hi"] == up["at"]).select(
         F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("top").alias("lo")), F.struct("hi", F.col("top").alias("lo")))).alias("e")
     )
@@ -47,5 +55,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         if seen == state or seen[0] == 0:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         state, round_ = seen, round_ + 1
-        now = scratch.save(_small_star(_large_star(now)), f"{name}-{round_}")
-        scratch.drop(f"{name}-{round_ - 1}")
+        large = scratch.save(_large_star(now, _parents(now, scratch, f"{name}-up")), f"{name}-large")
+        now = scratch.save(_small_star(large, _parents(large, scratch, f"{name}-down")), f"{name}-{round_}")
+        scratch.drop(f"{name}-{round_ - 1}", f"{name}-up", f"{name}-large", f"{name}-down")

@@ -1,12 +1,11 @@
 """Fuzzy line deduplication by MinHash, keeping one line of each component.
 
 A line's shingles are its runs of 10 characters at every position; a shorter line is its
-own. One hash per shingle serves all bands: the sorted hashes are cut
-at 3 fixed points, and a band key combines the 3 hashes that follow or precede a cut or an
-end, which agrees for two lines with a chance of about J^3, so that pairs of similarity 0.8
-share at least one of the 8 keys in 99.7 %. Lines that meet are verified by their exact Jaccard
-similarity and linked; a distributed union-find gives the components. Equal lines are one
-line from the start.
+own. ``minhash`` gives every line 8 band keys of 3 digests each, so that pairs of similarity
+0.8 share a key in 99.7 %. Lines that meet are verified by their exact Jaccard similarity and
+linked; a distributed union-find gives the components. Equal lines are one line from the
+start. Signatures and similarities are numpy over Arrow batches (a native form takes several
+times the CPU, see the README); everything between is DataFrames.
 
 In a bucket every line is compared with the commonest; buckets up to ``ALL_PAIRS`` lines
 compare all pairs. In larger ones, lines still outside the component of the commonest meet
@@ -17,86 +16,56 @@ and no link between components is lost.
 Of a component the line that comes first, by (doc_id, text digest, line number), stays.
 Lines without a word are never touched. Defined cases: null texts stay null and have no
 lines; rows that agree in id and text keep the same lines; documents may end up without a
-line. The columns of the input stay as they are, but for ``text``.
+line. The columns of the input stay as they are, but for ``text``; columns named n_lines and
+n_kept are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.base import Scratch, let
+from trawl.llm import minhash
+from trawl.llm.base import Scratch, fresh, let
 from trawl.llm.components import components
 
-SHINGLE, CUTS, ROWS = 10, 3, 3
+SHINGLE = 10
 #: Similarity as a fraction: shared / union >= NUM / DEN.
 NUM, DEN = 4, 5
-#: Band keys of a line.
-KEYS = 2 * (CUTS + 1)
 ALL_PAIRS = 16
 #: Rows of some 16 to 60 bytes that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
-#: From a text to the distinct digests of its shingles.
-Cut = Callable[[Column], Column]
-
 BLANKS = " \t\n\x0b\x0c\r"
-_RUNS = rf"(?s)(?=(.{{{SHINGLE}}}))"
+KEYS = [f"k{i}" for i in range(minhash.KEYS)]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (digest of the text), line_no, line, id (two digests of the line, 128 bits)."""
-    return (
-        docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .filter(F.btrim("line", F.lit(BLANKS)) != "")
-        .withColumn("id", F.struct(F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(1), F.col("line")).alias("d2")))
-    )
+class Measure:
+    """What a text's shingles are: for signatures and similarities, and as a column for prefix filtering."""
 
+    def __init__(self, arrays: tuple, column):
+        self.arrays, self.column = arrays, column
 
-def _shingles(line: Column) -> Column:
+
+def _character_runs(line: Column) -> Column:
     """Distinct digests of the runs of SHINGLE characters; a shorter line is its own."""
-    found = F.regexp_extract_all(line, F.lit(_RUNS), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
     own = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
     return F.array_distinct(F.transform(own, lambda x: F.xxhash64(x)))
 
 
-def _band_keys(s: Column) -> Column:
-    """Band keys of an array of distinct digests: ROWS of them after and before every cut, and at both ends.
-
-    The cuts are sorted along with the digests, so that a native search finds them. Where
-    there are few digests, other cuts would come between them and are taken out (a cut's
-    place less the cuts before it is the next digest's).
-    """
-    cuts = [-(1 << 63) + (i + 1) * ((1 << 64) // (CUTS + 1)) for i in range(CUTS)]
-    all_cuts = F.array(*[F.lit(c).cast("long") for c in cuts])
-
-    def dense(m: Column, places: Column) -> Column:
-        n, at = F.size(m), [F.get(places, i) for i in range(CUTS)]
-        firsts = [[F.get(m, r) for r in range(ROWS)], [F.get(m, n - 1 - r) for r in range(ROWS)]]
-        firsts += [[F.get(m, p + r) for r in range(ROWS)] for p in at] + [[F.get(m, p - 2 - r) for r in range(ROWS)] for p in at]
-        return F.array(*[F.xxhash64(*f) for f in firsts])
-
-    def sparse(s: Column, places: Column) -> Column:
-        last = F.greatest(F.size(s) - ROWS, F.lit(0))
-        after = [F.least(F.get(places, i) - i - 1, last) for i in range(CUTS)]
-        before = [F.greatest(F.get(places, i) - i - 2, F.lit(ROWS - 1)) for i in range(CUTS)]
-        starts = [(F.lit(0), 1), (F.greatest(F.size(s) - 1, F.lit(ROWS - 1)), -1), *[(x, 1) for x in after], *[(x, -1) for x in before]]
-        return F.array(*[F.xxhash64(*[F.get(s, x + step * r) for r in range(ROWS)]) for x, step in starts])
-
-    def of(m: Column) -> Column:
-        places = F.array(*[F.array_position(m, F.lit(c)).cast("int") for c in cuts])
-        thin = F.size(m) - CUTS < 2 * ROWS * (CUTS + 1)
-        return let(
-            places, lambda p: F.when(thin, let(F.array_except(m, all_cuts), lambda s: sparse(s, p))).otherwise(dense(m, p))
-        )
+CHARACTERS = Measure(minhash.characters(SHINGLE), _character_runs)
 
-    return let(F.sort_array(F.concat(s, all_cuts)), of)
 
-
-def _keys(line: Column, cut: Cut) -> Column:
-    return let(cut(line), lambda s: F.array_distinct(_band_keys(s)))
+def _lines(docs: DataFrame) -> DataFrame:
+    """at (doc_id, th: digest of the text, line_no), id (two digests of the line, 128 bits), line."""
+    at = F.struct("doc_id", "th", "line_no").alias("at")
+    id_ = F.struct(F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(1), F.col("line")).alias("d2")).alias("id")
+    return (
+        docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        .filter(F.btrim("line", F.lit(BLANKS)) != "")
+        .select(at, id_, "line")
+    )
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -104,30 +73,29 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verify(pairs: DataFrame, lines: DataFrame, cut: Cut) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is NUM / DEN or more.
-
-    Shingles are cut from the joined lines, which take an eighth of their digests' room.
-    """
-
-    def similar(s: Column) -> Column:
-        return let(F.size(F.array_intersect(s["x"], s["y"])), lambda n: DEN * n >= NUM * (F.size(s["x"]) + F.size(s["y"]) - n))
-
+def _verify(pairs: DataFrame, lines: DataFrame, measure: Measure) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity is NUM / DEN or more."""
     left = lines.select(F.col("id").alias("a"), F.col("line").alias("x"))
     right = lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    both = F.struct(cut(F.col("x")).alias("x"), cut(F.col("y")).alias("y"))
-    return pairs.join(left, "a").join(right, "b").filter(let(both, similar)).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").select("a.d1", "a.d2", F.col("b.d1").alias("e1"), F.col("b.d2").alias("e2"), "x", "y")
+    near = both.mapInArrow(minhash.similar(measure.arrays, NUM, DEN), "d1 long, d2 long, e1 long, e2 long")
+    return near.select(F.struct("d1", "d2").alias("a"), F.struct(F.col("e1").alias("d1"), F.col("e2").alias("d2")).alias("b"))
 
 
-def sign(lines: DataFrame, cut: Cut) -> DataFrame:
+def sign(lines: DataFrame, measure: Measure) -> DataFrame:
     """Every line's place, id and band keys, in flat columns."""
-    flat = let(_keys(F.col("line"), cut), lambda k: F.struct(*[F.get(k, i).alias(f"k{i}") for i in range(KEYS)])).alias("k")
-    return lines.select("at", "id", flat).select("at", "id", "k.*")
+    flat = lines.select("at.*", "id.*", "line")
+    own = [f for f in flat.schema.fields if f.name != "line"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), *(f"{k} long" for k in KEYS)])
+    names = [*(f.name for f in own), *KEYS]
+    signed = flat.mapInArrow(minhash.signed(measure.arrays, flat.columns.index("line"), names), schema)
+    places = [f.name for f in own if f.name not in ("d1", "d2")]
+    return signed.select(F.struct(*places).alias("at"), F.struct("d1", "d2").alias("id"), *KEYS)
 
 
-def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, cut: Cut) -> DataFrame:
+def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, measure: Measure) -> DataFrame:
     """(id, root) for linked lines other than the roots of their components."""
-    keys = F.array(*[F.col(f"k{i}") for i in range(KEYS)])
+    keys = F.array(*KEYS)
     exploded = signed.select("id", F.explode(keys).alias("key")).filter("key is not null")
     shared = exploded.groupBy("key").agg(F.min("id.d1").alias("x"), F.max("id.d1").alias("y")).filter("x <> y").select("key")
     shared = scratch.save(shared, "shared")
@@ -143,7 +111,7 @@ def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, cut:
     few = met.filter(F.col("size") <= ALL_PAIRS)
     every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
     pairs = star.union(every).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = scratch.save(_verify(pairs, lines, cut), "links")
+    links = scratch.save(_verify(pairs, lines, measure), "links")
 
     roots = components(links, scratch, "first-round")
 
@@ -157,20 +125,20 @@ def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, cut:
     if apart.isEmpty():
         return roots
     about = named.join(apart.select("key").distinct(), "key", "left_semi").groupBy("id", "own").agg(F.max(F.col("own") != F.col("reps")).alias("out"))
-    extra = scratch.save(_verify(_prefix_pairs(lines.join(about, "id"), scratch, cut), lines, cut), "extra")
+    extra = scratch.save(_verify(_prefix_pairs(lines.join(about, "id"), scratch, measure), lines, measure), "extra")
     if extra.isEmpty():
         return roots
     return components(extra.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, "second-round")
 
 
-def _prefix_pairs(lines: DataFrame, scratch: Scratch, cut: Cut) -> DataFrame:
+def _prefix_pairs(lines: DataFrame, scratch: Scratch, measure: Measure) -> DataFrame:
     """Pairs (a, b) of different components, one of them ``out``, that may be similar.
 
     Two sets of n and m shingles and similarity t share at least o = t / (1 + t) * (n + m);
     with shingles ordered from rare to frequent, the first one they share is thus among the
     first n - o + 1 of one and the first m - o + 1 of the other.
     """
-    flat = lines.select("id", "own", "out", cut(F.col("line")).alias("s"))
+    flat = lines.select("id", "own", "out", measure.column(F.col("line")).alias("s"))
     flat = flat.select("id", "own", "out", F.size("s").alias("n"), F.explode("s").alias("h"))
     spread = flat.groupBy("h").agg(F.count("*").alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", "h")))
@@ -200,26 +168,30 @@ def dropped(signed: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
 def dedup_lines(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """The rows of ``docs`` with deduplicated texts, and n_lines, n_kept (lines with a word)."""
     scratch = Scratch(spark)
-    lines = _lines(docs).withColumn("at", F.struct("doc_id", "th", "line_no"))
+    lines = _lines(docs)
     # digests don't repeat enough for dictionaries
-    signed = scratch.save(sign(lines, _shingles), "signed", {"parquet.enable.dictionary": "false"})
-    roots = scratch.save(line_components(lines, signed, scratch, _shingles), "roots")
-    out = dropped(signed, roots, scratch).groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.th").alias("_th"))
-    out = scratch.save(out.agg(F.collect_set("at.line_no").alias("_gone")), "dropped")
-    n, most = out.agg(F.count("*"), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
+    signed = scratch.save(sign(lines, CHARACTERS), "signed", {"parquet.enable.dictionary": "false"})
+    roots = scratch.save(line_components(lines, signed, scratch, CHARACTERS), "roots")
+    doc, th, gone = fresh(docs, "doc", "th", "gone")
+    out = dropped(signed, roots, scratch).groupBy(F.col("at.doc_id").alias(doc), F.col("at.th").alias(th))
+    out = scratch.save(out.agg(F.collect_set("at.line_no").alias(gone)), "dropped")
+    n, most = out.agg(F.count("*"), F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()
     out = F.broadcast(out) if n + most <= BROADCAST_ROWS else out
-    names = [c for c in docs.columns if c not in ("n_lines", "n_kept", "_doc", "_th", "_gone")]
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    rest = let(
-        F.split("text", "\n"),
-        lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)),
-    )
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")))
-    joined = docs.join(out, docs["doc_id"].eqNullSafe(out["_doc"]) & (F.xxhash64(docs["text"]) == out["_th"]), "left")
-    return (
-        joined.withColumn("gone", gone)
-        .withColumn("n_lines", n.cast("long"))
-        .withColumn("n_kept", F.col("n_lines") - F.size("gone"))
-        .withColumn("_text", F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(rest, "\n")))
-        .select(*[F.col("_text").alias("text") if c == "text" else docs[c] for c in names], "n_lines", "n_kept")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_kept")]
+    joined = docs.join(out, docs["doc_id"].eqNullSafe(out[doc]) & (F.xxhash64(docs["text"]) == out[th]), "left")
+
+    def judged(x: Column) -> Column:
+        """Lines with a word, lines that go and the text that stays, from the lines of a text."""
+        n = F.size(F.filter(x, lambda line: F.btrim(line, F.lit(BLANKS)) != ""))
+        left = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), out[gone])
+        text = F.when(out[gone].isNull(), docs["text"]).otherwise(F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n"))
+        return F.struct(n.cast("long").alias("n"), F.coalesce(F.size(out[gone]), F.lit(0)).alias("gone"), text.alias("text"))
+
+    found = F.when(docs["text"].isNotNull(), let(F.split(docs["text"], "\n"), judged))
+    (new,) = fresh(docs, "judged")
+    n_lines = F.coalesce(F.col(f"`{new}`.n"), F.lit(0).cast("long"))
+    return joined.select(*[docs[c] for c in names if c != "text"], found.alias(new)).select(
+        *[F.col(f"`{new}`.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
+        n_lines.alias("n_lines"),
+        (n_lines - F.coalesce(F.col(f"`{new}`.gone"), F.lit(0))).alias("n_kept"),
     )

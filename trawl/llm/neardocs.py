@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import decontaminate, linededup
-from trawl.llm.base import Scratch, let, words
+from trawl.llm import decontaminate, linededup, minhash
+from trawl.llm.base import Scratch, ascii_lower, fresh, let, words
 
 SHINGLE = 5
 
 
 def shingles(text: Column) -> Column:
     """Distinct digests of the runs of SHINGLE words."""
-    return let(words(F.lower(text)), lambda w: F.array_distinct(decontaminate.shingles(w, F.least(F.lit(SHINGLE), F.size(w)))))
+    return let(words(ascii_lower(text)), lambda w: F.array_distinct(decontaminate.shingles(w, F.least(F.lit(SHINGLE), F.size(w)))))
+
+
+WORDS = linededup.Measure(minhash.word_runs(SHINGLE), shingles)
 
 
 def keep_one(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -26,10 +29,11 @@ def keep_one(docs: DataFrame, spark: SparkSession) -> DataFrame:
     scratch = Scratch(spark)
     id_ = F.struct(F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), F.col("text")).alias("d2")).alias("id")
     at = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.xxhash64("text").alias("th")).alias("at")
-    texts = docs.select(at, id_, F.col("text").alias("line"))
-    signed = scratch.save(linededup.sign(texts, shingles), "signed")
-    roots = scratch.save(linededup.line_components(texts, signed, scratch, shingles), "roots")
-    gone = scratch.save(linededup.dropped(signed, roots, scratch), "gone").select(F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_d"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["_t"]), "left_anti")
+    texts = docs.select(at, id_, F.coalesce("text", F.lit("")).alias("line"))
+    signed = scratch.save(linededup.sign(texts, WORDS), "signed")
+    roots = scratch.save(linededup.line_components(texts, signed, scratch, WORDS), "roots")
+    doc, th = fresh(docs, "doc", "th")
+    gone = scratch.save(linededup.dropped(signed, roots, scratch), "gone").select(F.col("at.doc_id").alias(doc), F.col("at.th").alias(th)).distinct()
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone[doc]) & F.xxhash64(docs["text"]).eqNullSafe(gone[th]), "left_anti")
     repeated = signed.groupBy("at").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
