@@ -85,7 +85,7 @@ def test_split_and_truncate(spark):
     assert got == "a" + "é" * 47 + chunking.TRUNCATED
 
 
-@pytest.mark.parametrize(("name", "largest"), [("file_chunk_policy_whole", 2000), ("class_chunk_policy_whole", None)])
+@pytest.mark.parametrize(("name", "largest"), [("file_chunk_policy", 2000), ("class_chunk_policy", None)])
 def test_chunk_policy_covers_all_rows(spark, name, largest):
     """Byte cuts by brute force, within multi-byte text too."""
     import hashlib

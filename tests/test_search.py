@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trawl.config import Config, ConfigError
 from trawl.functions import text
 from trawl.functions.stemming import porter
-from trawl.operators import fusion, keyword, rerank, splits, vector
+from trawl.operators import fusion, keyword, postings, rerank, splits, vector
 from trawl.plans.search import RequestError, SearchRequest, search
 
 RANKED = "chunk_id string, score double, rank int"
@@ -102,7 +102,7 @@ def test_keyword_like_sqlite(spark, query):
     c.execute("create virtual table t using fts5(chunk_id unindexed, content, name, file_path, tokenize='porter unicode61')")
     c.executemany("insert into t values (?, ?, ?, ?)", ROWS)
     want = c.execute("select chunk_id, -bm25(t) from t where t match ?", (query,)).fetchall()
-    got = keyword.fts_search(keyword.tokenized(spark.createDataFrame(ROWS, CHUNK)), query, 10).collect()
+    got = postings.search(postings.Unstored(keyword.tokenized(spark.createDataFrame(ROWS, CHUNK))), query, 10).collect()
     assert {r.chunk_id: round(r.score, 5) for r in got} == {k: round(v, 5) for k, v in want}
 
 

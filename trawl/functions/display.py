@@ -90,3 +90,16 @@ def eta_text(seconds: Column) -> Column:
         .when(minutes < 60, F.format_string("%dm %ds", minutes, s % 60))
         .otherwise(F.format_string("%dh %dm", hours, minutes % 60))
     )
+
+
+def as_json(columns: list[str]) -> Column:
+    """Columns as one JSON object; null ones are left out."""
+    return F.to_json(F.struct(*columns))
+
+
+def text_table(rows: list[dict], columns: list[str]) -> str:
+    """A few rows as aligned columns under their names."""
+    cells = [columns, *([str(r.get(c) if r.get(c) is not None else "") for c in columns] for r in rows)]
+    wide = [max(len(r[i]) for r in cells) for i in range(len(columns))]
+    lines = ["  ".join(x.ljust(w) for x, w in zip(r, wide, strict=True)).rstrip() for r in cells]
+    return "\n".join([lines[0], "  ".join("-" * w for w in wide), *lines[1:]])

@@ -1,4 +1,4 @@
-"""Keyword search: postings, document lengths, BM25 and a query grammar.
+"""Keyword search: tokens, BM25 and a query grammar; ``postings`` holds the index they work on.
 
 A chunk's searchable fields are content, name and path. Ranking follows the usual BM25
 with k1 = 1.2, b = 0.75, idf = ln((N - n + 0.5)/(n + 0.5)) floored at 1e-6; frequencies and
@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.stemming import fold, stem, stems
@@ -26,12 +26,6 @@ def tokenized(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
     return out.select("chunk_id", *[stems(F.col(f)).alias(f) for f in FIELDS]) if stemmed else out
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(chunk_id, field, term, position) from tokenized chunks."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in FIELDS])
-    return tokens.select("chunk_id", F.explode(fields).alias("f")).select("chunk_id", "f.field", F.posexplode("f.tokens").alias("position", "term"))
-
-
 def doc_lengths(tokens: DataFrame) -> DataFrame:
     n = sum((F.size(f) for f in FIELDS), F.lit(0))
     return tokens.select("chunk_id", n.cast("long").alias("n_tokens"))
@@ -47,36 +41,6 @@ def bm25_part(tf: Column, length: Column, average: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def bm25_batch(tokens: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) for a table of queries (query_id, terms), any term matching.
-
-    Only tokens that occur in some query are exploded past the first join; the corpus is read
-    once for its size and once for the matches, however many queries there are.
-    """
-    n_docs, average = doc_lengths(tokens).agg(F.count("*"), F.avg("n_tokens")).first()
-    wanted = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    every = F.concat(*[F.col(f) for f in FIELDS])
-    # one struct from one variable, or the tokens would be extracted for the length and again for the rows
-    once = F.transform(F.array(every), lambda t: F.struct(F.size(t).alias("length"), t.alias("terms")))[0]
-    hits = (
-        tokens.select("chunk_id", once.alias("t"))
-        .select("chunk_id", "t.length", F.explode("t.terms").alias("term"))
-        .join(wanted.select("term").distinct(), "term", "left_semi")
-        .groupBy("chunk_id", "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    spread = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = (
-        hits.join(spread, "term")
-        .withColumn("part", idf(n_docs, F.col("df")) * bm25_part(F.col("tf"), F.col("length"), average or 1.0))
-        .join(wanted, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum("part"), 6).alias("score"))
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 # --- query grammar -------------------------------------------------------------------------
 
 
@@ -88,28 +52,6 @@ class Phrase:
     prefix: bool = False
     field: str | None = None
 
-    def count(self) -> Column:
-        # bound to a variable, or the tokens would be extracted anew for every position
-        one = (F.transform(F.array(F.col(f)), self._in)[0] for f in FIELDS if self.field in (None, f))
-        return sum(one, F.lit(0))
-
-    def _in(self, tokens: Column) -> Column:
-        n = len(self.tokens)
-        if n == 1:
-            t = self.tokens[0]
-            return F.size(F.filter(tokens, lambda x: x.startswith(t) if self.prefix else x == F.lit(t)))
-        last = F.greatest(F.size(tokens) - n + 1, F.lit(0))
-        starts = F.when(last < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
-
-        def fits(i: Column) -> Column:
-            ok = F.lit(True)
-            for j, t in enumerate(self.tokens):
-                x = F.get(tokens, i - 1 + j)
-                ok = ok & (x.startswith(t) if self.prefix and j == n - 1 else x == F.lit(t))
-            return ok
-
-        return F.size(F.filter(starts, fits))
-
 
 @dataclass(frozen=True)
 class Node:
@@ -175,29 +117,3 @@ def parse(query: str, stemmed: bool = True) -> Node | Phrase | None:
 
 def phrases_of(node: Node | Phrase) -> list[Phrase]:
     return [node] if isinstance(node, Phrase) else phrases_of(node.left) + phrases_of(node.right)
-
-
-def fts_search(tokens: DataFrame, query: str, limit: int, stemmed: bool = True) -> DataFrame:
-    """(chunk_id, score) of the best matches of a raw query over tokenized chunks."""
-    tree = parse(query, stemmed)
-    if tree is None or limit <= 0:
-        return tokens.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
-    phrases = list(dict.fromkeys(phrases_of(tree)))
-    counted = tokens.select(
-        "chunk_id", sum((F.size(f) for f in FIELDS), F.lit(0)).alias("length"), *[p.count().alias(f"tf{i}") for i, p in enumerate(phrases)]
-    )
-    n_docs, average, *spread = counted.agg(
-        F.count("*"), F.avg("length"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)) for i in range(len(phrases))]
-    ).first()
-
-    def holds(node: Node | Phrase) -> Column:
-        if isinstance(node, Phrase):
-            return F.col(f"tf{phrases.index(node)}") > 0
-        left, right = holds(node.left), holds(node.right)
-        return left & right if node.op == "AND" else left | right if node.op == "OR" else left & ~right
-
-    score = F.lit(0.0)
-    for i, n in enumerate(spread):
-        score = score + idf(n_docs, F.lit(n)) * bm25_part(F.col(f"tf{i}"), F.col("length"), average or 1.0)
-    found = counted.filter(holds(tree)).select("chunk_id", F.round(score, 6).alias("score"))
-    return found.orderBy(F.desc("score"), "chunk_id").limit(limit)

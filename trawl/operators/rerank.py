@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,16 +42,30 @@ Reranker = Callable[[DataFrame, str, Column], DataFrame]
 
 @dataclass
 class FallbackReranker:
-    """The primary where it is available and plans without error, else the secondary."""
+    """The primary where it is available and done in time, else the secondary.
+
+    Plans are lazy, so the primary's results are computed within the attempt: at most
+    ``candidates`` rows, the most a re-ranker is given.
+    """
 
     primary: Reranker
     secondary: Reranker = rerank
     available: Callable[[], bool] = lambda: True
+    timeout: float = 2.0
+    candidates: int = 20
 
     def __call__(self, candidates: DataFrame, query: str, now: Column) -> DataFrame:
         if self.available():
+            pool = ThreadPoolExecutor(1)
             try:
-                return self.primary(candidates, query, now)
-            except Exception:  # any failure of a foreign re-ranker falls back
+                few = candidates.orderBy(F.desc("base_score"), "chunk_id").limit(self.candidates)
+                return pool.submit(self._computed, few, query, now).result(self.timeout)
+            except Exception:  # any failure of a foreign re-ranker, or its delay, falls back
                 pass
+            finally:
+                pool.shutdown(wait=False)
         return self.secondary(candidates, query, now)
+
+    def _computed(self, candidates: DataFrame, query: str, now: Column) -> DataFrame:
+        out = self.primary(candidates, query, now)
+        return out.sparkSession.createDataFrame(out.collect(), out.schema)

@@ -86,42 +86,25 @@ def fallback_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _policy(most: str) -> str:
-    # truncation happens on bytes; only rows whose first 320 bytes are ASCII are comparable across engines
-    head = "substr(content, 1, 320)"
-    cut = f"case when regexp_extract({head}, '(?s)^(.+)\\n', 1) <> '' then regexp_extract({head}, '(?s)^(.+)\\n', 1) else {head} end || chr(10) || '// ... [truncated]'"
-    return f"""with {CORPUS_SQL} select path, floor(octet_length(encode(content)) / 3.5) > 100 as is_partial,
-    sha256(case when floor(octet_length(encode(content)) / 3.5) > 100 then {cut} else content end) as digest from corpus where {most} and octet_length(encode({head})) = length({head})"""
-
-
-def _all_digests(chunks: DataFrame) -> DataFrame:
-    return chunks.select("path", "is_partial", F.sha2("content", 256).alias("digest"))
+    # bytes as pairs of hexadecimal digits: up to the last line end, else the characters that are whole
+    character = "[0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB]."
+    cut = f"case when regexp_extract(h, '^((?:..)+)0A', 1) <> '' then regexp_extract(h, '^((?:..)+)0A', 1) else regexp_extract(h, '^((?:{character})*)', 1) end"
+    return f"""with {CORPUS_SQL}, c as (select *, substr(hex(encode(content)), 1, 640) as h, floor(octet_length(encode(content)) / 3.5) > 100 as is_partial from corpus where {most})
+    select path, is_partial, case when is_partial then sha256(unhex({cut} || hex(encode(chr(10) || '// ... [truncated]')))) else sha256(content) end as digest from c"""
 
 
 def _digests(chunks: DataFrame) -> DataFrame:
-    head = F.substring("original", 1, 320)
-    return _all_digests(chunks.filter(F.octet_length(head) == F.length(head)))
+    return chunks.select("path", "is_partial", F.sha2("content", 256).alias("digest"))
 
 
 @query(_policy("octet_length(encode(content)) <= 2000"))
 def file_chunk_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digests(chunking.file_policy(_files(spark, sf_dir).withColumn("original", F.col("content")), 100, 2000))
+    return _digests(chunking.file_policy(_files(spark, sf_dir), 100, 2000))
 
 
 @query(_policy("true"))
 def class_chunk_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digests(chunking.class_policy(_files(spark, sf_dir).withColumn("original", F.col("content")), 100))
-
-
-@query()
-def file_chunk_policy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``file_chunk_policy`` over all rows, those cut within multi-byte text included; tests compare with brute force."""
-    return _all_digests(chunking.file_policy(_files(spark, sf_dir), 100, 2000))
-
-
-@query()
-def class_chunk_policy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``class_chunk_policy`` over all rows, likewise."""
-    return _all_digests(chunking.class_policy(_files(spark, sf_dir), 100))
+    return _digests(chunking.class_policy(_files(spark, sf_dir), 100))
 
 
 @query(f"""with recursive {CORPUS_SQL},
@@ -147,8 +130,41 @@ SNIPPETS = {
 }
 
 
-@query()
+#: By language: how a text's words become a comment line, what stands around them, and the chunks that gives as
+#: (level, name, first line, last line) with n for the number of the text's lines.
+SOURCES = {
+    "python": ("        # ", "class {0}:\n    def first(self):\n", "\n        return 0\n\ndef last():\n    return 1\n", [("class", "{0}", "1", "n + 3"), ("method", "first", "2", "n + 3"), ("method", "last", "n + 5", "n + 6")]),
+    "javascript": ("    // ", "class {0} {{\n  first() {{\n", "\n    return 0;\n  }}\n}}\nfunction last() {{\n  return 1;\n}}\n", [("class", "{0}", "1", "n + 5"), ("method", "first", "2", "n + 4"), ("method", "last", "n + 6", "n + 8")]),
+    "go": ("\t// ", "type {0} struct {{\n", "\n}}\nfunc last() int {{\n\treturn 1\n}}\n", [("class", "{0}", "1", "n + 2"), ("method", "last", "n + 3", "n + 5")]),
+    "java": ("    // ", "public class {0} {{\n  public int first() {{\n", "\n    return 0;\n  }}\n}}\n", [("class", "{0}", "1", "n + 5"), ("method", "first", "2", "n + 4")]),
+}
+_PLAIN = "regexp_replace(content, '[^\\p{L}\\p{N} \\n]', ' ', 'g')"
+
+
+def _declared_sql() -> str:
+    parts = []
+    for lang, (_, _, _, chunks) in SOURCES.items():
+        for level, name, a, b in chunks:
+            own = "'C' || doc_id" if name == "{0}" else f"'{name}'"
+            parts.append(f"select path, '{level}' as level, {own} as name, ({a})::int as start_line, ({b})::int as end_line from t where language = '{lang}'")
+    return f"with {CORPUS_SQL}, t as (select *, len(string_split({_PLAIN}, chr(10))) as n from corpus) " + " union all ".join(parts)
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a source file of its path's language, its lines as comments of a declaration."""
+    rows = corpus(spark, sf_dir)
+    lines = F.split(F.regexp_replace("content", r"[^\p{L}\p{N} \n]", " "), "\n")
+    body = F.lit(None).cast("string")
+    for lang, (mark, before, after, _) in SOURCES.items():
+        name = F.concat(F.lit("C"), F.col("doc_id").cast("string"))
+        head, tail = before.replace("{{", "{"), after.replace("{{", "{").replace("}}", "}")
+        start, rest = head.split("{0}")
+        inner = F.array_join(F.transform(lines, lambda x, m=mark: F.concat(F.lit(m), x)), "\n")
+        body = F.when(F.col("language") == lang, F.concat(F.lit(start), name, F.lit(rest), inner, F.lit(tail))).otherwise(body)
+    return rows.select("path", "language", body.alias("content")).filter("content is not null")
+
+
+@query(_declared_sql())
 def chunk_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes and methods of source snippets; parsing has no SQL form."""
-    files = spark.createDataFrame(list(SNIPPETS.items()), "path string, content string")
-    return chunking.chunk_files(files).select("chunk_id", "parent_id", "path", "language", "level", "name", "signature", "start_line", "end_line")
+    """Classes and methods of all texts, dressed as source files."""
+    return chunking.declaration_chunks(source_files(spark, sf_dir)).select("path", "level", "name", "start_line", "end_line")

@@ -70,7 +70,7 @@ def subproject_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subprojects.assign(corpus(spark, sf_dir), spark.createDataFrame(_SUBS, "id string, path string"))
 
 
-_MARKED = """f as (select 'apps/S_' || source || '/' || case doc_id % 6 when 0 then 'go.mod' when 1 then 'package.json' when 2 then 'x.csproj' when 3 then 'readme.md' when 4 then 'setup.py' else 'node_modules/pom.xml' end as path from documents where doc_id % 7 < 2)"""
+_MARKED = """f as (select 'apps/S_' || source || '/d.' || doc_id % 700 || '/' || case doc_id % 6 when 0 then 'go.mod' when 1 then 'package.json' when 2 then 'x.csproj' when 3 then 'readme.md' when 4 then 'setup.py' else 'node_modules/pom.xml' end as path from documents)"""
 
 
 @query(f"""with {_MARKED}, p as (select regexp_replace(path, '/[^/]*$', '') as dir, regexp_extract(path, '[^/]*$') as m from f),
@@ -80,8 +80,8 @@ select regexp_replace(lower(regexp_extract(dir, '[^/]*$')), '[^a-z0-9-]', '-', '
 case when x[2] = 'go.mod' then 'go' when x[2] = 'package.json' then 'javascript' when x[2] = 'setup.py' then 'python' else 'csharp' end as language_hint from b""")
 def subproject_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("go.mod", "package.json", "x.csproj", "readme.md", "setup.py", "node_modules/pom.xml")])
-    rows = table(spark, sf_dir, "documents").filter("doc_id % 7 < 2")
-    path = F.concat(F.lit("apps/S_"), "source", F.lit("/"), F.get(names, (F.col("doc_id") % 6).cast("int")))
+    rows = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("apps/S_"), "source", F.lit("/d."), (F.col("doc_id") % 700).cast("string"), F.lit("/"), F.get(names, (F.col("doc_id") % 6).cast("int")))
     return subprojects.detect(rows.select(path.alias("path")))
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions import text
-from trawl.operators import keyword, metrics
+from trawl.operators import keyword, metrics, postings
 from trawl.plans.registry import query
 from trawl.session import table
-from trawl.sources.corpus import CORPUS_SQL, corpus
+from trawl.sources.corpus import CORPUS_SQL, corpus, keyword_index
+from trawl.sources.folders import shared_folder
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 _FIELDS = {"content": "content", "name": "name", "path": "path"}
@@ -38,7 +41,7 @@ def fts_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {CORPUS_SQL}, p as (select 'content' as field, unnest({_tokens('content')}) as term from corpus union all select 'name', unnest({_tokens('name')}) from corpus
 union all select 'path', unnest({_tokens('path')}) from corpus) select field, term, count(*) as n from p group by field, term""")
 def token_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.postings(keyword.tokenized(corpus(spark, sf_dir), stemmed=False)).groupBy("field", "term").agg(F.count("*").alias("n"))
+    return _term_counts(keyword_index(spark, sf_dir))
 
 
 @query(f"with {CORPUS_SQL}, {_TOKS} select chunk_id, len(t) as n_tokens from toks")
@@ -58,14 +61,49 @@ select * from (select *, row_number() over (partition by query_id order by score
 @query(_bm25("wanted as (select 0 as query_id, unnest(['handler', 'erst', 'thing', 'para']) as term)"))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame([(0, ["handler", "erst", "thing", "para"])], "query_id int, terms array<string>")
-    return keyword.bm25_batch(keyword.tokenized(corpus(spark, sf_dir), stemmed=False), asked, 20)
+    return postings.search_batch(keyword_index(spark, sf_dir), asked, 20)
 
 
 @query(_bm25(f"wanted as (select distinct item_id as query_id, unnest(list_filter({_tokens('text')}, lambda x: x not in ({_STOP}))) as term from benchmark)"))
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.filter(text.search_tokens(F.col("text")), lambda t: ~t.isin(text.STOPWORDS))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
-    return keyword.bm25_batch(keyword.tokenized(corpus(spark, sf_dir), stemmed=False), asked, 20)
+    return postings.search_batch(keyword_index(spark, sf_dir), asked, 20)
+
+
+_CHANGED = """changed as (select chunk_id, case when doc_id % 5 = 0 then upper(content) || ' freshly indexed' else content end as content, name, path, doc_id from corpus where doc_id % 7 <> 3)"""
+_CHANGED_TERMS = f"""select field, term, count(*) as n from (select 'content' as field, unnest({_tokens('content')}) as term from changed union all select 'name', unnest({_tokens('name')}) from changed
+union all select 'path', unnest({_tokens('path')}) from changed) group by field, term"""
+
+
+def _term_counts(index: postings.KeywordIndex) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"n_{f}").alias("n")) for f in keyword.FIELDS])
+    return index.every().select("term", F.explode(each).alias("x")).filter("x.n > 0").groupBy("x.field", "term").agg(F.sum("x.n").alias("n"))
+
+
+def _changed_index(spark: SparkSession, sf_dir: str) -> postings.KeywordIndex:
+    """Two of three rows inserted first, the rest added; a fifth replaced, a seventh removed."""
+    rows = corpus(spark, sf_dir).select("chunk_id", "content", "name", "path", "doc_id")
+    index = postings.KeywordIndex(spark, f"{shared_folder(spark)}/keywords-{uuid.uuid4().hex}", stemmed=False)
+    index.rebuild(rows.filter("doc_id % 3 <> 1"))
+    index.add(rows.filter("doc_id % 3 = 1"))
+    index.add(rows.filter("doc_id % 5 = 0").withColumn("content", F.concat(F.upper("content"), F.lit(" freshly indexed"))))
+    index.remove(rows.filter("doc_id % 7 = 3"))
+    return index
+
+
+@query(f"with {CORPUS_SQL}, {_CHANGED} {_CHANGED_TERMS}")
+def fts_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserted, replaced and removed chunks, read through segments and tombstones."""
+    return _term_counts(_changed_index(spark, sf_dir))
+
+
+@query(f"with {CORPUS_SQL}, {_CHANGED} {_CHANGED_TERMS}")
+def fts_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after its segments were merged."""
+    index = _changed_index(spark, sf_dir)
+    index.compact()
+    return _term_counts(index)
 
 
 def _found(condition: str) -> str:
@@ -73,8 +111,7 @@ def _found(condition: str) -> str:
 
 
 def _match(spark: SparkSession, sf_dir: str, raw: str) -> DataFrame:
-    rows = keyword.tokenized(corpus(spark, sf_dir), stemmed=False)
-    return keyword.fts_search(rows, raw, 1 << 30, stemmed=False).select("chunk_id")
+    return postings.search(keyword_index(spark, sf_dir), raw, 1 << 30).select("chunk_id")
 
 
 _PHRASE = "len(list_filter(range(1, len({0})), lambda i: {0}[i::int] = 'of' and {0}[(i + 1)::int] = 'the')) > 0"
@@ -107,7 +144,7 @@ def field_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems aren't expressible in DuckDB; tests compare with SQLite's full-text search."""
-    return keyword.fts_search(keyword.tokenized(corpus(spark, sf_dir)), "things OR handling OR connected", 50)
+    return postings.search(keyword_index(spark, sf_dir, stemmed=True), "things OR handling OR connected", 50)
 
 
 @query("select doc_id, floor(octet_length(encode(text)) / 3.5)::bigint as tokens, floor(floor(octet_length(encode(text)) / 3.5) * 3.2)::bigint as safe_chars from documents")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from trawl.functions import display, scoring, vectors
 from trawl.functions.text import preprocess
-from trawl.operators import fusion, keyword, rerank, splits, vector
+from trawl.operators import fusion, postings, rerank, splits, vector
 from trawl.plans.registry import query
 from trawl.plans.search import SearchRequest, search
 from trawl.session import table
-from trawl.sources.corpus import CORPUS_SQL, NOW, corpus, embedded, query_vector
+from trawl.sources.corpus import CORPUS_SQL, NOW, corpus, embedded, keyword_index, query_vector
 
 K, QUERY = 10, "the handler and update tion"
 _Q = "q as (select embedding::double[] as qv from embeddings where vec_id = 7)"
@@ -113,7 +113,7 @@ def _two_lists(spark: SparkSession, sf_dir: str, limit: int) -> tuple[DataFrame,
     rows = _chunks(spark, sf_dir)
     near = vector.knn(rows.filter("embedding is not null").select("chunk_id", "embedding"), query_vector(spark, sf_dir, 7), 2 * limit)
     near = fusion.ranked(near.withColumn("score", F.round(vectors.similarity(F.col("distance"), "hybrid"), 6)), "score")
-    words = keyword.fts_search(keyword.tokenized(rows, stemmed=False), preprocess(QUERY).fts, 2 * limit, stemmed=False)
+    words = postings.search(keyword_index(spark, sf_dir), preprocess(QUERY).fts, 2 * limit)
     return near, fusion.ranked(words, "score")
 
 
@@ -186,13 +186,13 @@ select chunk_id, path, match_source, rrf_score, final_score, array_to_string({_R
 def hybrid_reranked_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: scope, both retrieval arms, fusion, re-ranking, reasons, in one plan."""
     now = F.lit(NOW).cast("timestamp_ntz")
-    out = search(_chunks(spark, sf_dir), _request(spark, sf_dir), now, stemmed=False)
+    out = search(_chunks(spark, sf_dir), _request(spark, sf_dir), now, index=keyword_index(spark, sf_dir))
     return out.select("chunk_id", "path", "match_source", "rrf_score", "final_score", F.array_join("match_reasons", "; ").alias("match_reasons"))
 
 
 @query(f"""with {CORPUS_SQL}, {_Q}, {_EMB}, {_NEAR} select chunk_id, round(greatest(0, 1 - distance / 2), 7) as score from near where level in ('method')""")
 def search_daemon_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(_chunks(spark, sf_dir).filter("embedding is not null"), _request(spark, sf_dir, mode="daemon", levels=("method",)), F.current_timestamp()).select("chunk_id", "score")
+    return search(_chunks(spark, sf_dir), _request(spark, sf_dir, mode="daemon", levels=("method",)), F.current_timestamp()).select("chunk_id", "score")
 
 
 @query(f"""with {CORPUS_SQL}, {_Q}, {_EMB} select chunk_id, round(case when d <= 0 then 1 else 1 / (1 + d) end, 6) as score

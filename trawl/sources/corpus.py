@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.paths import language
+from trawl.operators.postings import KeywordIndex
 from trawl.session import table
+from trawl.sources import folders
 
 EXT = {"en": ".py", "fr": ".js", "de": ".go", "es": ".java"}
 NOW = "2024-01-31 00:00:00"
@@ -54,3 +58,18 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     """One stored vector, standing in for an embedded query."""
     row = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()
     return [float(x) for x in row["embedding"]]
+
+
+_indexes: dict[tuple, KeywordIndex] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> KeywordIndex:
+    """The corpus's stored keyword index; built at the first use and again when the table's files change."""
+    path, fs = folders.hadoop_path(spark, f"{sf_dir}/documents.parquet")
+    about = fs.getContentSummary(path)
+    key = (spark.sparkContext.applicationId, sf_dir, stemmed, about.getLength(), about.getFileCount(), fs.getFileStatus(path).getModificationTime())
+    if key not in _indexes:
+        index = KeywordIndex(spark, f"{folders.shared_folder(spark)}/keywords-{uuid.uuid4().hex}", stemmed)
+        index.rebuild(corpus(spark, sf_dir))
+        _indexes[key] = index
+    return _indexes[key]

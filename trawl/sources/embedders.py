@@ -13,7 +13,7 @@ import urllib.error
 import urllib.request
 from collections import OrderedDict
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 import pandas as pd
@@ -29,6 +29,7 @@ CACHE = 1000
 PROVIDERS = {"ollama": 768, "ollama-remote": 768, "openai": 1536, "voyage": 1024}
 API_PROVIDERS = ("openai", "voyage")
 MODELS = {"v2": (768, 8192), "v4": (1024, 32768)}
+DEFAULT_MODEL = {"ollama": "v2", "ollama-remote": "v2"}
 
 
 class Embedder(Protocol):
@@ -44,6 +45,27 @@ class EmbeddingError(RuntimeError):
         self.retryable, self.retry_after = retryable, retry_after
 
 
+def model_of(embedder: Embedder) -> str:
+    """The model's name where there is one, so that two models of equal size are told apart."""
+    return getattr(embedder, "model", "") or f"{embedder.name}-{embedder.dimensions}"
+
+
+def embedder_for(provider: str, model: str = "", key: str = "", url: str = "", dimensions: int = 0) -> Embedder:
+    """The backend a configuration names; blank settings take the provider's defaults."""
+    if provider == "mock":
+        return MockEmbedder(dimensions or 768)
+    if provider not in PROVIDERS:
+        raise EmbeddingError(f"unknown provider {provider}; one of {sorted(PROVIDERS)}")
+    if provider in API_PROVIDERS and not key:
+        raise EmbeddingError(f"{provider} needs a key")
+    known = MODELS.get(model)
+    size = dimensions or (known[0] if known else PROVIDERS[provider])
+    made = {"openai": openai, "voyage": voyage, "ollama": ollama, "ollama-remote": ollama}[provider]
+    args = {k: v for k, v in (("model", model or DEFAULT_MODEL.get(provider, "")), ("url", url)) if v}
+    out = made(**args, **({"key": key} if provider in API_PROVIDERS else {}))
+    return replace(out, dimensions=size, name=provider)
+
+
 @dataclass(frozen=True)
 class MockEmbedder:
     """Unit vectors from SHA-256: equal texts, equal vectors."""
@@ -122,7 +144,7 @@ class Cached:
 
     def __init__(self, inner: Embedder, size: int = CACHE):
         self.inner, self.size, self.hits, self.misses = inner, size, 0, 0
-        self.name, self.dimensions = inner.name, inner.dimensions
+        self.name, self.dimensions, self.model = inner.name, inner.dimensions, model_of(inner)
         self._kept: OrderedDict[str, list[float]] = OrderedDict()
 
     def embed(self, texts: list[str]) -> list[list[float]]:
