@@ -503,16 +503,34 @@ def test_line_recall(spark):
     assert out.filter("n_kept = 0").count() >= 0.99 * similar and similar > 300
 
 
+@pytest.mark.parametrize("bands", [minhash.COARSE, minhash.FINE])
+def test_band_recall(bands):
+    """Pairs of similarity 0.8 to 0.85."""
+    rng, xs, ys = random.Random(2), [], []
+    while len(xs) < 1000:
+        x = "".join(rng.choice("abcdefghijklm ") for _ in range(rng.randint(100, 400)))
+        y = list(x)
+        for k in rng.sample(range(len(x)), max(1, len(x) // 90)):
+            y[k] = "X"
+        a, b = character_runs(x), character_runs("".join(y))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            xs.append(x)
+            ys.append("".join(y))
+    (kx, rx), (ky, ry) = (minhash.signatures(t, linededup.CHARACTERS.arrays, bands) for t in (xs, ys))
+    assert sum(bool(set(a[~p]) & set(b[~q])) for a, p, b, q in zip(kx, rx, ky, ry, strict=True)) >= 990
+
+
 @pytest.mark.parametrize("piece", [1 << 20, 64])
 def test_overlaps_and_signatures(piece, monkeypatch):
     """Long texts are handled in pieces: sets and keys are the same."""
     rng = random.Random(1)
     xs = ["".join(rng.choice("abcdefg hi\u00e9") for _ in range(rng.choice((0, 1, 5, 9, 10, 11, 30, 300, 900)))) for _ in range(200)]
     ys = [x[: len(x) // 2] + rng.choice(("", "X", "XY")) + x[len(x) // 2 :] for x in xs]
-    keys, repeat = minhash.signatures(xs, linededup.CHARACTERS.arrays)
+    once = [minhash.signatures(xs, linededup.CHARACTERS.arrays, b) for b in (minhash.COARSE, minhash.FINE)]
     monkeypatch.setattr(minhash, "PIECE", piece)
-    again = minhash.signatures(xs, linededup.CHARACTERS.arrays)
-    assert (keys == again[0]).all() and (repeat == again[1]).all()
+    for (keys, repeat), b in zip(once, (minhash.COARSE, minhash.FINE), strict=True):
+        again = minhash.signatures(xs, linededup.CHARACTERS.arrays, b)
+        assert (keys == again[0]).all() and (repeat == again[1]).all()
     shared, union = minhash.overlaps(xs, ys, linededup.CHARACTERS.arrays)
     for x, y, n, m in zip(xs, ys, shared, union, strict=True):
         a, b = (character_runs(t) if t else set() for t in (x, y))

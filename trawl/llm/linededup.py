@@ -8,10 +8,11 @@ start. Signatures and similarities are numpy over Arrow batches (a native form t
 times the CPU, see the README); everything between is DataFrames.
 
 In a bucket every line is compared with the commonest; buckets up to ``ALL_PAIRS`` lines
-compare all pairs. In larger ones, lines still outside the component of the commonest meet
-the bucket's other lines by prefix filtering: similar sets share one of their rarest
-shingles. Large groups of copies thus cost about as many comparisons as they have lines,
-and no link between components is lost.
+compare all pairs. Lines of larger buckets that aren't one component then are dealt anew by
+24 keys of 6 digests; where those share a large bucket without a link again, they meet the
+bucket's other lines by prefix filtering: similar sets share one of their rarest shingles.
+Large groups of copies thus cost about as many comparisons as they have lines, and no link
+between components is given up for a bucket's size.
 
 Of a component the line that comes first, by (doc_id, text digest, line number), stays.
 Lines without a word are never touched. Defined cases: null texts stay null and have no
@@ -37,7 +38,10 @@ ALL_PAIRS = 16
 BROADCAST_ROWS = 1_000_000
 
 BLANKS = " \t\n\x0b\x0c\r"
-KEYS = [f"k{i}" for i in range(minhash.KEYS)]
+
+
+def _names(bands: tuple[int, int]) -> list[str]:
+    return [f"k{i}" for i in range(2 * bands[0])]
 
 
 class Measure:
@@ -82,53 +86,79 @@ def _verify(pairs: DataFrame, lines: DataFrame, measure: Measure) -> DataFrame:
     return near.select(F.struct("d1", "d2").alias("a"), F.struct(F.col("e1").alias("d1"), F.col("e2").alias("d2")).alias("b"))
 
 
-def sign(lines: DataFrame, measure: Measure) -> DataFrame:
+def sign(lines: DataFrame, measure: Measure, bands: tuple[int, int] = minhash.COARSE) -> DataFrame:
     """Every line's place, id and band keys, in flat columns."""
-    flat = lines.select("at.*", "id.*", "line")
+    flat, keys = lines.select("at.*", "id.*", "line"), _names(bands)
     own = [f for f in flat.schema.fields if f.name != "line"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), *(f"{k} long" for k in KEYS)])
-    names = [*(f.name for f in own), *KEYS]
-    signed = flat.mapInArrow(minhash.signed(measure.arrays, flat.columns.index("line"), names), schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), *(f"{k} long" for k in keys)])
+    names = [*(f.name for f in own), *keys]
+    signed = flat.mapInArrow(minhash.signed(measure.arrays, bands, flat.columns.index("line"), names), schema)
     places = [f.name for f in own if f.name not in ("d1", "d2")]
-    return signed.select(F.struct(*places).alias("at"), F.struct("d1", "d2").alias("id"), *KEYS)
+    return signed.select(F.struct(*places).alias("at"), F.struct("d1", "d2").alias("id"), *keys)
 
 
-def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, measure: Measure) -> DataFrame:
-    """(id, root) for linked lines other than the roots of their components."""
-    keys = F.array(*KEYS)
-    exploded = signed.select("id", F.explode(keys).alias("key")).filter("key is not null")
+def _meetings(signed: DataFrame, bands: tuple[int, int], scratch: Scratch, name: str) -> DataFrame:
+    """(key, id, size, rep): the lines of each key that different lines share, their number and the commonest."""
+    exploded = signed.select("id", F.explode(F.array(*_names(bands))).alias("key")).filter("key is not null")
     shared = exploded.groupBy("key").agg(F.min("id.d1").alias("x"), F.max("id.d1").alias("y")).filter("x <> y").select("key")
-    shared = scratch.save(shared, "shared")
+    shared = scratch.save(shared, f"{name}-shared")
     met = exploded.join(_small(shared), "key").groupBy("key", "id").agg(F.count("*").alias("n"))
-    met = scratch.save(met, "met")
+    met = scratch.save(met, f"{name}-met")
     buckets = met.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("n", "id"))["id"].alias("rep"))
-    met = scratch.save(met.join(_small(scratch.save(buckets, "buckets")), "key"), "sized")
-    ids = scratch.save(met.select("id").distinct(), "ids")
-    lines = lines.select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    lines = scratch.save(lines, "lines")
+    return scratch.save(met.join(_small(scratch.save(buckets, f"{name}-buckets")), "key").drop("n"), f"{name}-sized")
 
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """Pairs (a, b): every line with the commonest of its bucket, and all pairs of small buckets."""
     star = met.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     few = met.filter(F.col("size") <= ALL_PAIRS)
     every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
-    pairs = star.union(every).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = scratch.save(_verify(pairs, lines, measure), "links")
+    return star.union(every).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    roots = components(links, scratch, "first-round")
 
-    # large buckets whose lines aren't in one component yet
+def _apart(met: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(id, own, out): the lines of large buckets that hold several components, their component, and whether it isn't the commonest's somewhere."""
     own = roots.select(F.col("node").alias("id"), F.col("root").alias("own"))
     named = met.filter(F.col("size") > ALL_PAIRS).select("key", "id", "rep").join(_small(own), "id", "left")
     named = named.join(_small(own).select(F.col("id").alias("rep"), F.col("own").alias("reps")), "rep", "left")
     named = named.select("key", "id", F.coalesce("own", "id").alias("own"), F.coalesce("reps", "rep").alias("reps"))
-    named = scratch.save(named, "named")
-    apart = named.filter("own <> reps")
-    if apart.isEmpty():
+    named = scratch.save(named, f"{name}-named")
+    mixed = scratch.save(named.filter("own <> reps").select("key").distinct(), f"{name}-mixed")
+    about = named.join(_small(mixed), "key", "left_semi").groupBy("id", "own").agg(F.max(F.col("own") != F.col("reps")).alias("out"))
+    return scratch.save(about, f"{name}-apart")
+
+
+def _linked(links: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The components of further links among components."""
+    return roots if links.isEmpty() else components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, name)
+
+
+def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, measure: Measure) -> DataFrame:
+    """(id, root) for linked lines other than the roots of their components."""
+    met = _meetings(signed, minhash.COARSE, scratch, "coarse")
+    ids = scratch.save(met.select("id").distinct(), "ids")
+    lines = lines.select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    lines = scratch.save(lines, "lines")
+    roots = components(scratch.save(_verify(_candidates(met), lines, measure), "links"), scratch, "coarse")
+
+    # lines of large buckets that aren't in one component are told apart by longer bands
+    about = _apart(met, roots, scratch, "coarse")
+    if about.isEmpty():
         return roots
-    about = named.join(apart.select("key").distinct(), "key", "left_semi").groupBy("id", "own").agg(F.max(F.col("own") != F.col("reps")).alias("out"))
-    extra = scratch.save(_verify(_prefix_pairs(lines.join(about, "id"), scratch, measure), lines, measure), "extra")
-    if extra.isEmpty():
+    rest = lines.join(_small(about.select("id")), "id", "left_semi").select(F.struct(F.lit(0).alias("none")).alias("at"), "id", "line")
+    finer = scratch.save(sign(rest, measure, minhash.FINE), "finer", {"parquet.enable.dictionary": "false"})
+    met = _meetings(finer, minhash.FINE, scratch, "fine")
+    own = about.select("id", "own")
+    pairs = _candidates(met).join(_small(own.select(F.col("id").alias("a"), F.col("own").alias("u"))), "a")
+    pairs = pairs.join(_small(own.select(F.col("id").alias("b"), F.col("own").alias("v"))), "b").filter("u <> v").select("a", "b")
+    roots = _linked(scratch.save(_verify(pairs, lines, measure), "more"), roots, scratch, "fine")
+
+    # what still shares a large bucket without a link meets by prefix filtering
+    about = _apart(met, roots, scratch, "fine")
+    if about.isEmpty():
         return roots
-    return components(extra.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, "second-round")
+    pairs = _prefix_pairs(lines.join(_small(about), "id"), scratch, measure)
+    return _linked(scratch.save(_verify(pairs, lines, measure), "last"), roots, scratch, "last")
 
 
 def _prefix_pairs(lines: DataFrame, scratch: Scratch, measure: Measure) -> DataFrame:

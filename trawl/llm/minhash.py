@@ -1,9 +1,8 @@
 """MinHash over runs of characters or words, in numpy: band keys and exact similarities.
 
-A set's 64-bit digests are thought of as lying on a circle with ``POINTS`` fixed points. A
-band is the ``ROWS`` distinct digests that follow or precede a point, so one digest per
-shingle serves all ``KEYS`` = 2 * POINTS bands; two sets of similarity J share a band with a
-chance of about J^ROWS. Picks of parts merge into picks of the whole (what follows a point in
+A set's digests are thought of as lying on a circle with some fixed points. A band is the
+distinct digests (rows) that follow or precede a point, so one digest per shingle serves two
+bands a point; two sets of similarity J share a band with a chance of about J^rows. Picks of parts merge into picks of the whole (what follows a point in
 a union is among what follows it in the parts), so texts of any length are handled in pieces
 of ``PIECE`` shingles.
 
@@ -23,8 +22,8 @@ from trawl.shipping import ship
 
 ship(__name__)
 
-POINTS, ROWS = 4, 3
-KEYS = 2 * POINTS
+#: (points, rows): 8 bands of 3 digests, which pairs of similarity 0.8 miss in 0.3 %; 24 bands of 6, missed in 0.07 %.
+COARSE, FINE = (4, 3), (12, 6)
 #: Shingles of a piece; texts of a block, and the bits that number them beside a digest.
 PIECE, BLOCK, SHIFT = 1 << 20, 1 << 10, np.uint64(54)
 LOW = np.uint64((1 << 54) - 1)
@@ -127,36 +126,37 @@ def _sorted(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
 
 
-def picks(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(texts, KEYS, ROWS): the distinct digests around the points; texts without a shingle get zeros."""
+def picks(h: np.ndarray, counts: np.ndarray, bands: tuple[int, int]) -> np.ndarray:
+    """(texts, bands, rows): the distinct digests around the points; texts without a shingle get zeros."""
+    points, rows = bands
     both, n = _sorted(h, counts), len(counts)
     number = np.arange(n, dtype=np.uint64) << SHIFT
     starts = np.searchsorted(both, number)
     sizes = np.diff(np.r_[starts, len(both)])
     some = sizes > 0
-    out = np.zeros((n, KEYS, ROWS), np.uint64)
+    out = np.zeros((n, 2 * points, rows), np.uint64)
     first, size = starts[some], sizes[some]
-    for k in range(POINTS):
-        at = np.searchsorted(both, number[some] | np.uint64((k << 54) // POINTS)) - first
-        for r in range(ROWS):
+    for k in range(points):
+        at = np.searchsorted(both, number[some] | np.uint64((k << 54) // points)) - first
+        for r in range(rows):
             out[some, 2 * k, r] = both[first + (at + r) % size] & LOW
             out[some, 2 * k + 1, r] = both[first + (at - 1 - r) % size] & LOW
     return out
 
 
-def _merged(found: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def _merged(found: np.ndarray, owner: np.ndarray, bands: tuple[int, int]) -> np.ndarray:
     """Picks of whole texts from those of their pieces, ``owner`` in order."""
     if len(owner) == (owner[-1] + 1 if len(owner) else 0):
         return found
-    counts = np.bincount(owner) * KEYS * ROWS
-    return picks(found.reshape(-1), counts)
+    counts = np.bincount(owner) * 2 * bands[0] * bands[1]
+    return picks(found.reshape(-1), counts, bands)
 
 
 def band_keys(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, KEYS) keys, and whether each repeats one of its text."""
+    """(texts, bands) keys, and whether each repeats one of its text."""
     f = np.sort(found, axis=2)
     keys = np.zeros(f.shape[:2], np.uint64)
-    for r in range(ROWS):
+    for r in range(found.shape[2]):
         keys = _mixed(keys * _K[0] + f[:, :, r] + np.uint64(1))
     keys.sort(axis=1)
     repeat = np.zeros(keys.shape, bool)
@@ -177,22 +177,22 @@ def _blocks(pieces: list[list]) -> Iterator[tuple[int, int]]:
         yield at, len(pieces)
 
 
-def signatures(texts: list[str], measure: tuple) -> tuple[np.ndarray, np.ndarray]:
+def signatures(texts: list[str], measure: tuple, bands: tuple[int, int] = COARSE) -> tuple[np.ndarray, np.ndarray]:
     """Band keys of whole texts, and which of them repeat."""
     split, cut = measure
     pieces = [split(t) for t in texts]
-    out = [np.zeros((0, KEYS, ROWS), np.uint64)]
+    out = [np.zeros((0, 2 * bands[0], bands[1]), np.uint64)]
     for a, b in _blocks(pieces):
         flat = [p for own in pieces[a:b] for p in own]
         owner = np.repeat(np.arange(b - a), [len(own) for own in pieces[a:b]])
         if len(flat) <= BLOCK:
-            found = picks(*cut(flat))
+            found = picks(*cut(flat), bands)
         else:  # one text of very many pieces
-            found = np.concatenate([picks(*cut([p])) for p in flat])
+            found = np.concatenate([picks(*cut([p]), bands) for p in flat])
         while len(found) > b - a and len(found) > BLOCK:
-            found = np.concatenate([_merged(found[i : i + BLOCK], np.zeros(len(found[i : i + BLOCK]), int)) for i in range(0, len(found), BLOCK)])
+            found = np.concatenate([_merged(found[i : i + BLOCK], np.zeros(len(found[i : i + BLOCK]), int), bands) for i in range(0, len(found), BLOCK)])
             owner = np.zeros(len(found), int)
-        out.append(_merged(found, owner))
+        out.append(_merged(found, owner, bands))
     return band_keys(np.concatenate(out))
 
 
@@ -234,16 +234,16 @@ def overlaps(xs: list[str], ys: list[str], measure: tuple) -> tuple[np.ndarray,
     return shared, union
 
 
-def signed(measure: tuple, text: int, names: list[str], rows: int = 4096):
-    """For mapInArrow: replaces column ``text`` by KEYS columns of band keys, null where they repeat."""
+def signed(measure: tuple, bands: tuple[int, int], text: int, names: list[str], rows: int = 4096):
+    """For mapInArrow: replaces column ``text`` by columns of band keys, null where they repeat."""
 
     def over(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                keys, repeat = signatures(part.column(text).to_pylist(), measure)
+                keys, repeat = signatures(part.column(text).to_pylist(), measure, bands)
                 rest = [c for i, c in enumerate(part.columns) if i != text]
-                cols = [pa.array(keys[:, k].view(np.int64), mask=repeat[:, k]) for k in range(KEYS)] if len(keys) else [pa.array([], pa.int64())] * KEYS
+                cols = [pa.array(np.ascontiguousarray(keys[:, k]).view(np.int64), mask=repeat[:, k]) for k in range(keys.shape[1])]
                 yield pa.RecordBatch.from_arrays([*rest, *cols], names)
 
     return over
