@@ -159,7 +159,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = F.concat(F.lit("C"), F.col("doc_id").cast("string"))
         head, tail = before.replace("{{", "{"), after.replace("{{", "{").replace("}}", "}")
         start, rest = head.split("{0}")
-        inner = F.array_join(F.transform(lines, lambda x, m=mark: F.concat(F.lit(m), x)), "\n")
+        inner = F.concat(F.lit(mark), F.array_join(lines, f"\n{mark}"))
         body = F.when(F.col("language") == lang, F.concat(F.lit(start), name, F.lit(rest), inner, F.lit(tail))).otherwise(body)
     return rows.select("path", "language", body.alias("content")).filter("content is not null")
 

@@ -71,7 +71,7 @@ def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.search_batch(keyword_index(spark, sf_dir), asked, 20)
 
 
-_CHANGED = """changed as (select chunk_id, case when doc_id % 5 = 0 then upper(content) || ' freshly indexed' else content end as content, name, path, doc_id from corpus where doc_id % 7 <> 3)"""
+_CHANGED = """changed as (select chunk_id, case when doc_id % 5 = 0 then content || ' ' || content || ' freshly indexed' else content end as content, name, path, doc_id from corpus where doc_id % 7 <> 3)"""
 _CHANGED_TERMS = f"""select field, term, count(*) as n from (select 'content' as field, unnest({_tokens('content')}) as term from changed union all select 'name', unnest({_tokens('name')}) from changed
 union all select 'path', unnest({_tokens('path')}) from changed) group by field, term"""
 
@@ -82,12 +82,12 @@ def _term_counts(index: postings.KeywordIndex) -> DataFrame:
 
 
 def _changed_index(spark: SparkSession, sf_dir: str) -> postings.KeywordIndex:
-    """Two of three rows inserted first, the rest added; a fifth replaced, a seventh removed."""
+    """Two of three rows inserted first, the rest added; then a fifth replaced and a seventh removed."""
     rows = corpus(spark, sf_dir).select("chunk_id", "content", "name", "path", "doc_id")
     index = postings.KeywordIndex(spark, f"{shared_folder(spark)}/keywords-{uuid.uuid4().hex}", stemmed=False)
     index.rebuild(rows.filter("doc_id % 3 <> 1"))
     index.add(rows.filter("doc_id % 3 = 1"))
-    index.add(rows.filter("doc_id % 5 = 0").withColumn("content", F.concat(F.upper("content"), F.lit(" freshly indexed"))))
+    index.add(rows.filter("doc_id % 5 = 0").withColumn("content", F.concat("content", F.lit(" "), "content", F.lit(" freshly indexed"))))
     index.remove(rows.filter("doc_id % 7 = 3"))
     return index
 
