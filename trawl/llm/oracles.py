@@ -37,24 +37,26 @@ def _quality() -> str:
 
     def level(name: str, keys: str) -> str:
         comma = f"{keys}, " if keys else ""
-        quartiles = ", ".join(
-            f"min(case when rate = '{r}' and 4 * upto >= {q} * total then low end) as {r}_q{q}" for r in quality.RATES for q in (1, 3)
+        found = ", ".join(
+            f"min(case when rate = '{r}' and 100 * upto >= {share} * total then {'high' if upper else 'low'} end) as {r}_{q}"
+            for r in quality.RATES
+            for q, (share, upper) in quality.QUANTILES.items()
         )
         return f"""
 {name}_m as (select {comma}rate, bucket, sum(n) as n from sk group by {comma}rate, bucket),
 {name}_r as (select *, sum(n) over (partition by {comma}rate order by bucket rows unbounded preceding) as upto,
-    sum(n) over (partition by {comma}rate) as total,
-    case when bucket < 64 then bucket else (bucket - (bucket // 32 - 1) * 32) << (bucket // 32 - 1)::int end as low from {name}_m),
-{name} as (select {comma}max(total) as total, {quartiles} from {name}_r {f'group by {keys}' if keys else ''})"""
+    sum(n) over (partition by {comma}rate) as total, case when bucket < 64 then 0 else bucket // 32 - 1 end as sh from {name}_m),
+{name} as (select {comma}max(total) as total, {found} from (select *, (bucket - sh * 32) << sh::int as low, ((bucket - sh * 32 + 1) << sh::int) - 1 as high from {name}_r) {f'group by {keys}' if keys else ''})"""
 
     def pick(c: str) -> str:
         return f"(case when own.total >= {quality.MIN_GROUP} then own.{c} when bylang.total >= {quality.MIN_GROUP} then bylang.{c} else whole.{c} end)"
 
-    within = " and ".join(
-        f"{r} <= {pick(f'{r}_q3')} + {quality.FENCE} * ({pick(f'{r}_q3')} - {pick(f'{r}_q1')}) + {slack}"
-        + (f" and {r} >= {pick(f'{r}_q1')} - {quality.FENCE} * ({pick(f'{r}_q3')} - {pick(f'{r}_q1')}) - {slack}" if low else "")
-        for r, (low, slack) in quality.RATES.items()
-    )
+    def within(r: str, low: bool) -> str:
+        bottom, q1, q3, top = (pick(f"{r}_{q}") for q in quality.QUANTILES)
+        out = f"{r} <= case when {q3} > {q1} then {q3} + {quality.FENCE} * ({q3} - {q1}) else {top} end"
+        return out + (f" and {r} >= case when {q3} > {q1} then {q1} - {quality.FENCE} * ({q3} - {q1}) else {bottom} end" if low else "")
+
+    every = " and ".join(within(r, low) for r, low in quality.RATES.items())
     return rf"""
 with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as text from documents),
 w as (select *, regexp_extract_all(text, '{WORD}') as w,
@@ -73,7 +75,7 @@ s as (select *, greatest(length(bin(v)) - 6, 0) as s from long),
 sk as (select lang, source, rate, s * 32 + (v >> s::int) as bucket, count(*) as n from s group by all),
 {level("own", "lang, source")}, {level("bylang", "lang")}, {level("whole", "")}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not base_failed and coalesce({within}, false) as kept
+    not base_failed and coalesce({every}, false) as kept
 from rated left join own on rated.lang is not distinct from own.lang and rated.source is not distinct from own.source
 left join bylang on rated.lang is not distinct from bylang.lang left join whole on true
 """

@@ -5,7 +5,9 @@ lines and of words in repeated windows). Their distribution in each (language, s
 is kept as a mergeable quantile sketch: a histogram over buckets whose width is at most
 1/32 of their value, so that merging two sketches adds their counts. Sketches of small
 groups are replaced by their language's, or by the whole corpus's, which are merged from
-the groups'. Tukey fences on the sketched quartiles replace fixed cutoffs, and a join
+the groups'. Thresholds are quantiles of the sketches and nothing else: Tukey fences on the
+quartiles where these differ; where they don't, as for rates that are zero in most documents,
+the quantile ``TAIL`` (so that a rule takes a hundredth of its group at most). A join
 brings them back to the documents.
 
 Defined cases: a null or empty text has no words and fails the base rule; null languages
@@ -21,18 +23,19 @@ from pyspark.sql import functions as F
 from trawl.llm.base import WORD, Scratch, let, words
 
 SYMBOLS = r"[#*$%&|<>]"
-#: rate -> (low fence?, slack added to the fences, in the rate's unit)
+#: rate -> whether low values are outliers too
 RATES = {
-    "word_length": (True, 100),  # hundredths of a character
-    "symbols": (False, 500),  # ten-thousandths of the characters in words
-    "dup_lines": (False, 6000),  # ten-thousandths of the lines with words
-    "repeats": (False, 2000),  # ten-thousandths of the words
+    "word_length": True,  # hundredths of a character
+    "symbols": False,  # ten-thousandths of the characters in words
+    "dup_lines": False,  # ten-thousandths of the lines with words
+    "repeats": False,  # ten-thousandths of the words
 }
-FENCE = 3
+#: Quartile distances of the fences, and the tail in hundredths.
+FENCE, TAIL = 3, 1
 #: Groups with fewer documents use the thresholds of their language, or of all documents.
-MIN_GROUP = 100
-#: The rows of the hottest group are dealt to this many tasks in the join.
-SALTS = 32
+MIN_GROUP = 20
+#: Groups (some 100 bytes) whose thresholds may be broadcast; beyond it the join shuffles.
+BROADCAST_GROUPS = 100_000
 
 
 def repeated_words(w: Column, size: int = 5) -> Column:
@@ -117,48 +120,52 @@ def sketch(rated: DataFrame) -> DataFrame:
     )
 
 
-def _quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Merged over ``keys``: group size and quartiles (lower ends of buckets) of each rate, in one row."""
+#: name -> share in hundredths, and whether a bucket's upper end stands for it
+QUANTILES = {"bottom": (TAIL, False), "q1": (25, False), "q3": (75, False), "top": (100 - TAIL, True)}
+
+
+def _quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Merged over ``keys``: group size and QUANTILES of each rate, in one row."""
     group = [*keys, "rate"]
     merged = sketches.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
+    # a rate has some two thousand buckets at most, so a group's rows fit one task
     upto = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
         merged.withColumn("upto", F.sum("n").over(upto))
         .withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
         .withColumn("s", F.expr("if(bucket < 64, 0L, bucket div 32 - 1)"))
         .withColumn("low", F.expr("shiftleft(bucket - s * 32, cast(s as int))"))
+        .withColumn("high", F.expr("shiftleft(bucket - s * 32 + 1, cast(s as int)) - 1"))
     )
     found = [
-        F.min(F.when((F.col("rate") == r) & (4 * F.col("upto") >= q * F.col("total")), F.col("low"))).alias(f"{r}_q{q}")
+        F.min(F.when((F.col("rate") == r) & (100 * F.col("upto") >= share * F.col("total")), F.col("high" if upper else "low"))).alias(f"{r}_{q}")
         for r in RATES
-        for q in (1, 3)
+        for q, (share, upper) in QUANTILES.items()
     ]
     return ranked.groupBy(*keys).agg(F.max("total").alias("total"), *found)
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """(lang, source) -> low and high fence of each rate."""
-    own = _quartiles(sketches, ["lang", "source"])
-    lang = _quartiles(sketches, ["lang"])
-    every = _quartiles(sketches.withColumn("one", F.lit(1)), ["one"])
+    """(t_lang, t_source) -> low and high threshold of each rate."""
+    own, lang = _quantiles(sketches, ["lang", "source"]), _quantiles(sketches, ["lang"])
     names = [c for c in own.columns if c not in ("lang", "source")]
+    every = _quantiles(sketches, []).first()  # one row
     lang = lang.select(F.col("lang").alias("l_lang"), *[F.col(c).alias(f"l_{c}") for c in names])
-    every = every.select(F.col("one").alias("a_one"), *[F.col(c).alias(f"a_{c}") for c in names])
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(every, F.lit(1) == F.col("a_one"), "left")
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
 
     def pick(c: str) -> Column:
         return (
             F.when(F.col("total") >= MIN_GROUP, F.col(c))
             .when(F.col("l_total") >= MIN_GROUP, F.col(f"l_{c}"))
-            .otherwise(F.col(f"a_{c}"))
+            .otherwise(F.lit(every[c]).cast("long"))
         )
 
-    fences = []
-    for r, (low, slack) in RATES.items():
-        q1, q3 = pick(f"{r}_q1"), pick(f"{r}_q3")
-        fences.append((q3 + FENCE * (q3 - q1) + slack).alias(f"{r}_high"))
-        fences.append((q1 - FENCE * (q3 - q1) - slack if low else F.lit(-1).cast("long")).alias(f"{r}_low"))
-    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *fences)
+    limits = []
+    for r, low in RATES.items():
+        bottom, q1, q3, top = (pick(f"{r}_{q}") for q in QUANTILES)
+        limits.append(F.when(q3 > q1, q3 + FENCE * (q3 - q1)).otherwise(top).alias(f"{r}_high"))
+        limits.append((F.when(q3 > q1, q1 - FENCE * (q3 - q1)).otherwise(bottom) if low else F.lit(-1).cast("long")).alias(f"{r}_low"))
+    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *limits)
 
 
 def judge(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -166,18 +173,11 @@ def judge(docs: DataFrame, spark: SparkSession) -> DataFrame:
     scratch = Scratch(spark)
     rated = scratch.save(_rates(base_features(docs)), "rated")
     sketches = scratch.save(sketch(rated), "sketches")
-    limits = thresholds(sketches).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # written, so that beyond the bound a hot group's documents can be split over tasks
+    limits = scratch.save(thresholds(sketches), "limits")
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
     within = F.lit(True)
     for r in RATES:
         within = within & F.col(r).between(F.col(f"{r}_low"), F.col(f"{r}_high"))
-    same = (
-        (F.col("salt") == F.col("d_salt"))
-        & F.col("lang").eqNullSafe(F.col("t_lang"))
-        & F.col("source").eqNullSafe(F.col("t_source"))
-    )
-    return (
-        rated.withColumn("d_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        .join(limits, same, "left")
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
-        .select(*rated.columns, "kept")
-    )
+    same = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
+    return rated.join(limits, same, "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False))).select(*rated.columns, "kept")
