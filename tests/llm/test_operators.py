@@ -78,6 +78,31 @@ def test_quality_counts(spark, awkward):
     assert len(got) == len(AWKWARD) and all(r.base_failed and not r.kept for r in got if r.doc_id in (1, 2, 3, 6, 7))
 
 
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_quality_every_rule_rejects(spark, bound, monkeypatch):
+    """Thresholds of each source: what is usual in one is an outlier in the other; every rate rejects by itself."""
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", bound)
+    rng, rows = random.Random(4), []
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+
+    def text(length=5, symbols=0, twice=0, again=0):
+        w = [word(length + rng.randint(-1, 1)) for _ in range(90)] + ["#*$%"[: rng.randint(2, 4)] for _ in range(symbols)]
+        lines = [" ".join(w[i : i + 4]) for i in range(0, len(w), 4)]
+        # words that come again on other lines, and lines that come again
+        lines[1 : 1 + 2 * twice] = [x for line in lines[1 : 1 + 2 * twice] for x in ("same", line)]
+        return "\n".join([*lines, " ".join(w[: 6 * again]) + (" end" if again else "")])
+
+    for i in range(300):
+        rows.append((i, text(), "en", "plain", 0))
+        rows.append((1000 + i, text(length=9, symbols=20 + i % 7, twice=i % 3), "en", "other", 0))
+    odd = {2000: text(length=9), 2001: text(symbols=25), 2002: text(twice=4), 2003: text(again=1)}
+    rows += [(i, t, "en", "plain", 0) for i, t in odd.items()]
+    rows += [(3000 + i, text(length=9, symbols=22, twice=1), "en", "other", 0) for i in range(4)]
+    out = {r.doc_id: r for r in quality.judge(table(spark, rows), spark).collect()}
+    assert not any(out[i].base_failed for i in out) and not any(out[i].kept for i in odd)
+    assert all(out[3000 + i].kept for i in range(4)) and sum(out[i].kept for i in range(300)) > 290 and sum(out[1000 + i].kept for i in range(300)) > 285
+
+
 def test_quality_empty(spark, empty):
     assert quality.judge(empty, spark).count() == 0
 
@@ -230,6 +255,34 @@ def model():
     return htmlmain.train()
 
 
+LOREM = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do. " * 4
+PROSE = LOREM.strip()
+LAYOUTS = [
+    ("<html><body><div class='container'><div class='row'><div class='col-md-8'><h1>A title here</h1><p>{p}</p><p>{p}</p></div><div class='col-md-4'><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li><li><a href=/c>Three</a></li></ul></div></div></div></body></html>", "A title here\n{p}\n{p}"),
+    ("Some <b>text</b> here that is long enough to be an article of its own.", "Some text here that is long enough to be an article of its own."),
+    ("<body><nav><a href=/>Home</a></nav><main><h1>Prices</h1><p>{p}</p><table><tr><th>Item</th><th>Price</th></tr><tr><td>Bread</td><td>2</td></tr></table><p>{p}</p></main><footer>c</footer></body>", "Prices\n{p}\nItem\nPrice\nBread\n2\n{p}"),
+    ("<body><div id='zx81'><h2>About it</h2><figure><img src=x><figcaption>A picture of it.</figcaption></figure><p>{p}</p><p>{p}</p></div><div id='q2'><a href=1>x</a> <a href=2>y</a> <a href=3>z</a></div></body>", "About it\nA picture of it.\n{p}\n{p}"),
+    ("<body><header>My site</header><article><h1>Steps</h1><p>{p}</p><ol><li>Take it out of the box.</li><li>Plug it in and wait a minute.</li></ol></article><aside><h3>More</h3><ul><li><a href=1>a</a></li><li><a href=2>b</a></li></ul></aside></body>", "Steps\n{p}\nTake it out of the box.\nPlug it in and wait a minute."),
+    ("<body><div class='hd'><a href=1>Home</a><a href=2>Shop</a></div><div class='bd'><div class='t7'><h1>News today</h1><p>{p}</p><p>{p}</p></div></div><div class='ft'>Copyright 2020 Someone</div></body>", "News today\n{p}\n{p}"),
+    ("<body><article><p title='a>b' don't>{p}</p><p>Two words</p></article>", "{p}\nTwo words"),
+    *((f"<body><article><h1>A title</h1><p>{{p}}</p></article><a href='{'x' * n}", "A title\n{p}") for n in (1_000, 3_000, 300_000)),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), LAYOUTS)
+def test_html_layouts_by_hand(model, html, text):
+    assert htmlmain.main_texts(model, [html.replace("{p}", PROSE)]) == [text.replace("{p}", PROSE)]
+
+
+@pytest.mark.parametrize("html", ["<a " * 100_000 + "<p>x", "<p title=\"" * 50_000, "<" * 300_000, "<!--" * 80_000, "<div>" * 5_000 + "</p>" * 80_000 + "x", "<p a='" * 50_000 + ">x", "<script>" * 40_000])
+def test_html_takes_linear_time(model, html):
+    import time
+
+    began = time.process_time()
+    htmlmain.main_texts(model, [html])
+    assert time.process_time() - began < 6
+
+
 PAGES = [
     ("<html><body><nav><a href=/>Home</a></nav><article><h1>T &amp; U</h1><p>One  two\n three<p>Four <b>five</b>.</article><footer>(c)</footer></body></html>", "T & U\nOne two three\nFour five."),
     (None, ""),
@@ -247,11 +300,10 @@ def test_html(model, html, text):
 def test_html_layouts(model):
     rng, wrong = random.Random(77), 0
     for _ in range(150):
-        page = htmlmain.Page(htmlmain.layout(rng))
-        y = [0] + [int(htmlmain._LABEL.search(a)[1]) for a in page.names[1:]]
+        page, y = htmlmain.labelled(htmlmain.layout(rng))
         got = htmlmain.decode(page.parent, htmlmain.log_odds(model, htmlmain.node_features(page)))
         wrong += page.text(got) != page.text(y)
-    assert wrong <= 6
+    assert wrong <= 9
 
 
 def test_decoding_is_the_best_consistent_labelling():

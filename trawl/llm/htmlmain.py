@@ -12,8 +12,9 @@ adverts, forms, related links, reader comments), so no outside data are needed.
 
 Text of a block has its character references decoded and its white space (as Unicode
 knows it) collapsed; ``br`` is white space. Defined cases: null, empty and text-less pages
-give an empty text; unclosed, stray and deeply nested tags are accepted; repeated rows
-yield repeated rows. Extra columns are ignored.
+give an empty text; unclosed, stray and deeply nested tags are accepted; markup that isn't
+closed reaches to the page's end and isn't text; repeated rows yield repeated rows. Extra
+columns are ignored; page_id may be of any type.
 """
 
 from __future__ import annotations
@@ -31,16 +32,16 @@ from trawl.shipping import ship
 ship(__name__)
 
 CONTAINER, MAIN, BOILER = 0, 1, 2
-TRAINING_PAGES, SEED = 400, 5
-ROUNDS, DEPTH, BINS, SHRINK, LAMBDA = 30, 3, 32, 0.3, 1.0
+TRAINING_PAGES, SEED = 800, 5
+#: each round sees this share of the nodes
+ROUNDS, DEPTH, BINS, SHRINK, LAMBDA, SHARE = 60, 4, 32, 0.25, 1.0, 0.4
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S
-)
-_UNCLOSED = re.compile(r"<[a-zA-Z][^>]*\Z", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: what ends a tag, or opens a quoted value in it
+_STOPS = re.compile(r">|=\s*([\"'])")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PIECES = re.compile(r"[a-z]+")
-_RAW = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
+_RAW = {t: re.compile(rf"</{t}(?:\s[^>]*)?>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
 
 # HTML's element classes.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label".split())
@@ -52,8 +53,9 @@ TAGS = {
     "article": 0, "main": 0, "h1": 1, "h2": 1, "h3": 1, "h4": 1, "h5": 1, "h6": 1, "p": 2, "blockquote": 2, "pre": 2,
     "ul": 3, "ol": 3, "dl": 3, "li": 4, "dt": 4, "dd": 4, "nav": 5, "menu": 5, "header": 6, "footer": 7, "aside": 8,
     "form": 9, "fieldset": 9, "button": 9, "select": 9, "option": 9, "dialog": 9, "div": 10, "section": 10, "html": 11, "body": 11, "head": 12,
+    "table": 13, "thead": 13, "tbody": 13, "tr": 13, "td": 14, "th": 14, "caption": 14, "figure": 15, "figcaption": 15, "#text": 16,
 }
-N_TAGS = 13
+N_TAGS = 17
 #: words in class, id and role attributes that share a feature
 TOKENS = {
     0: "content article main post entry story body text blog page",
@@ -69,10 +71,59 @@ TOKENS = {
 }
 _TOKEN_OF = {w: k for k, ws in TOKENS.items() for w in ws.split()}
 N_TOKENS = len(TOKENS)
+#: bits of the words that speak of boilerplate
+SPEAKING = sum(1 << k for k in range(1, 9))
+
+
+#: tags whose loose text, where blocks stand beside it, is a block of its own
+LOOSE = "#text"
+
+
+def _tags(source: str):
+    """(start, end, name, closing, attributes) of the markup of a page in one pass; name is empty for comments and the like.
+
+    Markup that nothing ends reaches to the page's end. A quote that isn't closed doesn't quote.
+    """
+    at, size = 0, len(source)
+    last = source.rfind(">")
+    closed = {'"': True, "'": True}
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif m := _NAME.match(source, at + 1):
+            i = m.end()
+            if at > last:
+                yield at, size, "", False, ""
+                return
+            while (stop := _STOPS.search(source, i)) and stop[1]:
+                quote = stop[1]
+                end = source.find(quote, stop.end()) if closed[quote] else -1
+                closed[quote] = end >= 0
+                i = stop.end() if end < 0 else end + 1
+            if not stop:
+                # a closed quote held the last end: there is none after it
+                yield at, size, "", False, ""
+                return
+            end = stop.end()
+            name = m[0].lower()
+            yield at, end, name.lstrip("/"), name[0] == "/", source[m.end() : end - 1]
+        elif source[at + 1 : at + 2] in ("!", "?", "/"):
+            end = source.find(">", at)
+            end = size if end < 0 else end + 1
+            yield at, end, "", False, ""
+        else:
+            at += 1
+            continue
+        at = end
 
 
 class Page:
-    """Block nodes in page order (parents first) and the pieces of text with their node; None is a break."""
+    """Block nodes (parents first) and the pieces of text with their node, in page order; None is a break.
+
+    Text that stands loose beside blocks, or in no block at all, gets nodes of its own behind the others.
+    """
 
     __slots__ = ("parent", "tag", "names", "pieces", "links")
 
@@ -82,47 +133,65 @@ class Page:
         self.names: list[str] = [""]
         self.pieces: list[tuple[int, str] | None] = []
         self.links: list[bool] = []
-        source = _UNCLOSED.sub("", source or "") if source and "<" in source[-2000:] else source or ""
-        at, open_, anchor, end = 0, [0], 0, len(source)
-        while at < end:
-            m = _TOKEN.search(source, at)
-            stop = m.start() if m else end
-            if stop > at:
-                self._text(open_[-1], source[at:stop], anchor > 0)
-            if not m:
-                break
-            at = m.end()
-            name = (m[2] or "").lower()
+        source = source or ""
+        at, open_, anchor, names = 0, [0], 0, {}
+        for start, end, name, closing, attributes in _tags(source):
+            if start < at:  # within a script or the like
+                continue
+            if start > at:
+                self._text(open_[-1], source[at:start], anchor > 0)
+            at = end
             if not name:
                 continue
             if name in INLINE:
                 if name == "a":
-                    anchor = 0 if m[1] else 1
+                    anchor = 0 if closing else 1
                 continue
             if name in VOID:
-                if not m[1]:
+                if not closing:
                     self._text(open_[-1], " ", False)
                 continue
-            if m[1]:
-                for k in range(len(open_) - 1, 0, -1):
-                    if self.tag[open_[k]] == name:
-                        del open_[k:]
-                        break
+            if closing:
+                if names.get(name):
+                    while self.tag[open_[-1]] != name:
+                        names[self.tag[open_.pop()]] -= 1
+                    names[self.tag[open_.pop()]] -= 1
                 self._break()
                 anchor = 0
                 continue
             if name in _RAW:
-                if not m[3].endswith("/"):
+                if not attributes.endswith("/"):
                     at = _RAW[name].search(source, at).end()
                 continue
             if self.tag[open_[-1]] in CLOSES.get(name, ()) or self.tag[open_[-1]] == "p":
-                open_.pop()
+                names[self.tag[open_.pop()]] -= 1
             self._break()
             anchor = 0
             self.parent.append(open_[-1])
             self.tag.append(name)
-            self.names.append(m[3])
+            self.names.append(attributes)
             open_.append(len(self.tag) - 1)
+            names[name] = names.get(name, 0) + 1
+        if at < len(source):
+            self._text(open_[-1], source[at:], anchor > 0)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Gives runs of loose text their own nodes."""
+        blocks = {0, *self.parent, *(i for i, t in enumerate(self.tag) if t in ("html", "body"))}
+        run = -1
+        for i, piece in enumerate(self.pieces):
+            if piece is None:
+                run = -1
+            elif piece[0] in blocks:
+                if run < 0 or self.parent[run] != piece[0]:
+                    if not piece[1].strip():
+                        continue
+                    run = len(self.tag)
+                    self.parent.append(piece[0])
+                    self.tag.append(LOOSE)
+                    self.names.append("")
+                self.pieces[i] = (run, piece[1])
 
     def _text(self, node: int, raw: str, linked: bool) -> None:
         self.pieces.append((node, html.unescape(raw) if "&" in raw else raw))
@@ -181,7 +250,11 @@ def node_features(page: Page) -> np.ndarray:
         chars[p] += chars[i]
         linked[p] += linked[i]
         tags[p] += tags[i]
-    x = np.zeros((n, 2 * (N_TAGS + N_TOKENS) + 12), np.float32)
+    same: dict[tuple[int, str], int] = {}  # children of one tag
+    for i in range(1, n):
+        same[parent[i], page.tag[i]] = same.get((parent[i], page.tag[i]), 0) + 1
+    alike = [0] + [same[parent[i], page.tag[i]] for i in range(1, n)]
+    x = np.zeros((n, 2 * (N_TAGS + N_TOKENS) + 17), np.float32)
     a = {k: np.array(v) for k, v in (("tag", own_tag), ("token", own_token), ("above_tag", above_tag), ("above_token", above_token))}
     for k in range(N_TAGS):
         x[:, k] = a["tag"] == k
@@ -198,6 +271,7 @@ def node_features(page: Page) -> np.ndarray:
         (
             np.log1p(c), li / np.maximum(c, 1), c / tg, np.log1p(tg), np.minimum(depth, 30), np.array(place), rest[up],
             np.array(place) / np.maximum(rest[up], 1), c / np.maximum(c[up], 1), c / max(c[0], 1), np.minimum(paragraphs, 20), np.log1p(direct),
+            a["tag"][up], a["token"][up] & SPEAKING, (li / np.maximum(c, 1))[up], np.log1p(c)[up], np.minimum(alike, 30),
         )
     ):
         x[:, at + k] = v
@@ -264,11 +338,12 @@ def _apply(tree: tuple, x: np.ndarray) -> np.ndarray:
 def boost(x: np.ndarray, y: np.ndarray) -> dict:
     edges = [np.unique(np.quantile(f, np.linspace(0, 1, BINS)[1:-1])) for f in x.T]
     binned = _bin(edges, x)
-    z, trees = np.zeros((len(x), 3), np.float32), []
+    z, trees, rng = np.zeros((len(x), 3), np.float32), [], np.random.default_rng(SEED)
     for _ in range(ROUNDS):
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        grown = [_grow(binned, p[:, k] - (y == k), p[:, k] * (1 - p[:, k])) for k in range(3)]
+        r = np.flatnonzero(rng.random(len(x)) < SHARE)
+        grown = [_grow(binned[r], p[r, k] - (y[r] == k), p[r, k] * (1 - p[r, k])) for k in range(3)]
         for k, tree in enumerate(grown):
             z[:, k] += _apply(tree, binned)
         trees.append(grown)
@@ -292,6 +367,10 @@ def log_odds(model: dict, x: np.ndarray) -> np.ndarray:
 # --- labelled layouts ----------------------------------------------------------------------
 
 
+#: Begins loose text of a training page, followed by its label.
+MARK = "\ue000"
+
+
 def layout(rng: random.Random) -> str:
     """A page whose elements carry their label in a ``y`` attribute, which features don't see."""
 
@@ -299,16 +378,28 @@ def layout(rng: random.Random) -> str:
         return "".join(rng.choice("ba ce di fo gu la me ni ro tu sa en th er".split()) for _ in range(rng.randint(1, 4)))
 
     def prose(low: int, high: int) -> str:
-        return " ".join(word() for _ in range(rng.randint(low, high))).capitalize() + "."
+        return " ".join(word() for _ in range(rng.randint(low, high))).capitalize() + ("." if rng.random() < 0.8 else "")
+
+    def unknown() -> str:
+        """Names that say nothing: grids, generated classes, words of any language."""
+        return rng.choice(("row", "col", f"col-md-{rng.randint(1, 12)}", f"col-{rng.randint(1, 12)}", f"css-{rng.randint(100, 9999)}", "inner", "box", "block", "grid", f"g{rng.randint(1, 99)}", word(), f"{word()}-{word()}"))
+
+    # a page names its blocks, or it doesn't
+    named = rng.random() < 0.6
 
     def element(tag: str, label: int, inner: str, *names: str) -> str:
         name = rng.choice(names) if names else ""
+        if name and not (named or rng.random() < 0.2):
+            name = rng.choice(("", unknown()))
         attribute = f' {rng.choice(("class", "id"))}="{name}"' if name else ""
         return f'<{tag}{attribute} y="{label}">{inner}</{tag}>'
 
     def links(label: int, low: int = 2, high: int = 8) -> str:
-        item = lambda: element("li", label, f"<a href='/'>{word()}</a>")
-        return element("ul", label, "".join(item() for _ in range(rng.randint(low, high))))
+        link = lambda: f"<a href='/'>{word()} {word() if rng.random() < 0.5 else ''}</a>"
+        n = rng.randint(low, high)
+        if rng.random() < 0.2:
+            return "".join(element(rng.choice(("div", "p")), label, link()) for _ in range(n))
+        return element(rng.choice(("ul", "ul", "ol")), label, "".join(element("li", label, link()) for _ in range(n)))
 
     def classed(tag: str, label: int, inner: str, *names: str) -> str:
         """The semantic tag, with or without a name, or a div or section with a name."""
@@ -316,7 +407,7 @@ def layout(rng: random.Random) -> str:
             return element(tag, label, inner, *((*names, "") if rng.random() < 0.5 else ("",)))
         return element(rng.choice(("div", "section", "div")), label, inner, *names)
 
-    b = BOILER
+    b, m = BOILER, MAIN
     para = lambda label, low=1, high=60: element("p", label, prose(low, high))
 
     def text_block(label: int) -> str:
@@ -326,56 +417,119 @@ def layout(rng: random.Random) -> str:
         "nav": lambda: classed("nav", b, links(b), "nav", "menu", "navbar", "breadcrumb", "main-menu"),
         "header": lambda: classed("header", b, prose(1, 6) + (links(b) if rng.random() < 0.5 else ""), "header", "masthead", "topbar"),
         "footer": lambda: classed("footer", b, text_block(b) if rng.random() < 0.6 else links(b), "footer", "site-footer", "copyright"),
-        "aside": lambda: classed("aside", b, links(b) + (text_block(b) if rng.random() < 0.5 else ""), "sidebar", "widget", "related"),
-        "ad": lambda: element("div", b, text_block(b), "ad", "ads", "advert", "sponsored", "promo-banner", "ad-slot"),
-        "notice": lambda: element(rng.choice(("div", "section", "aside")), b, text_block(b), "cookie-notice", "notice", "consent", "alert"),
+        "aside": lambda: classed("aside", b, (element(rng.choice(("h3", "h4")), b, prose(1, 3)) if rng.random() < 0.4 else "") + links(b) + (text_block(b) if rng.random() < 0.4 else ""), "sidebar", "widget", "related"),
+    }
+    keyed = {
+        "ad": lambda: f'<div {rng.choice(("class", "id"))}="{rng.choice(("ad", "ads", "advert", "sponsored", "promo-banner", "ad-slot"))}" y="{b}">{text_block(b)}</div>',
+        "notice": lambda: f'<{(t := rng.choice(("div", "section", "aside")))} class="{rng.choice(("cookie-notice", "notice", "consent", "alert"))}" y="{b}">{text_block(b)}</{t}>',
         "form": lambda: element("form", b, f"<label>{word()}</label><input>{prose(1, 9)}" + element("button", b, word()), "search", "newsletter", ""),
-        "comments": lambda: element(rng.choice(("div", "section", "ol")), b, "".join(element("div", b, text_block(b), "comment", "reply", "") for _ in range(rng.randint(1, 6))), "comments", "comment-list", "discussion"),
+        "comments": lambda: f'<{(t := rng.choice(("div", "section", "ol")))} class="{rng.choice(("comments", "comment-list", "discussion"))}" y="{b}">' + "".join(element("div", b, text_block(b), "comment", "reply", "") for _ in range(rng.randint(1, 6))) + f"</{t}>",
     }
+    extras |= keyed
 
-    def article() -> str:
-        m = MAIN
-        inner = element(rng.choice(("h1", "h1", "h2")), m, prose(1, 12)) if rng.random() < 0.85 else ""
-        for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 14, 25))):
+    def table(label: int) -> str:
+        rows = [element("tr", label, "".join(element(rng.choice(("td", "td", "th")), label, prose(1, 5)) for _ in range(rng.randint(1, 4)))) for _ in range(rng.randint(1, 5))]
+        body = "".join(rows)
+        return element("table", label, element("tbody", label, body) if rng.random() < 0.5 else body)
+
+    def figure(label: int) -> str:
+        return element("figure", label, "<img src='x'>" + element("figcaption", label, prose(2, 15)))
+
+    def linked() -> str:
+        """A paragraph of an article with links in it."""
+        return element("p", m, f"{prose(2, 30)} <a href='/'>{prose(1, 4)}</a> {prose(2, 30)}")
+
+    def body_of_article() -> str:
+        inner = ""
+        for _ in range(rng.choice((1, 1, 2, 2, 3, 5, 8, 14, 25))):
             kind = rng.random()
-            if kind < 0.75:
+            if kind < 0.62:
                 inner += para(m, 1, 120)
-            elif kind < 0.8:
-                inner += element("h2", m, prose(1, 6))
-            elif kind < 0.85:
+            elif kind < 0.68:
+                inner += linked()
+            elif kind < 0.73:
+                inner += element(rng.choice(("h2", "h3")), m, prose(1, 6))
+            elif kind < 0.78:
                 inner += element(rng.choice(("blockquote", "pre")), m, prose(3, 40))
-            elif kind < 0.9:
-                inner += element("ul", m, "".join(element("li", m, prose(1, 15)) for _ in range(rng.randint(2, 6))))
-            elif kind < 0.93:
+            elif kind < 0.83:
+                inner += element(rng.choice(("ul", "ol")), m, "".join(element("li", m, prose(1, 15)) for _ in range(rng.randint(2, 6))))
+            elif kind < 0.86:
                 inner += element("div", m, text_block(m), "", "figure", "caption")
+            elif kind < 0.89:
+                inner += rng.choice((table, figure))(m)
+            elif kind < 0.91:
+                inner += element("dl", m, "".join(element("dt", m, prose(1, 3)) + element("dd", m, prose(2, 15)) for _ in range(rng.randint(1, 4))))
             else:
                 inner += extras[rng.choice(("ad", "ad", "aside", "notice", "form", "nav"))]()
-        if rng.random() < 0.1:
-            inner += prose(5, 60)
+        return inner + (prose(5, 60) if rng.random() < 0.1 else "")
+
+    def article() -> str:
+        inner = element(rng.choice(("h1", "h1", "h2")), m, prose(1, 12)) if rng.random() < 0.85 else ""
+        # paragraphs, or plain text and line ends only
+        inner += body_of_article() if rng.random() < 0.93 else "<br>".join(prose(10, 60) for _ in range(rng.randint(1, 5)))
         if rng.random() < 0.15:
             inner += extras["comments"]()
         if rng.random() < 0.12:
             inner = element("header", m, element("h1", m, prose(2, 9))) + inner
         return classed(rng.choice(("article", "article", "main", "div")), m, inner, "content", "post", "entry-content", "article-body", "story", "main")
 
+    def columns() -> str:
+        """A grid whose columns hold the article and links, in either order, perhaps under a heading of their own."""
+        column = lambda inner, label: element("div", label, inner, unknown())
+        inner = body_of_article()
+        heading = element(rng.choice(("h1", "h2")), m, prose(1, 12))
+        above = rng.random() < 0.3
+        own = column(inner if above else heading + inner, m) if rng.random() < 0.6 else column(article(), CONTAINER)
+        side = column(links(b, 3, 10) if rng.random() < 0.6 else extras["aside"](), b)
+        both = own + side if rng.random() < 0.7 else side + own
+        row = element("div", CONTAINER, (extras["comments"]() if rng.random() < 0.05 else "") + both, unknown(), "row")
+        return (heading if above else "") + row
+
+    def bare() -> str:
+        """Headings and paragraphs, or nothing but text, without an element around the article."""
+        if rng.random() < 0.25:
+            return f"{MARK}{m}{prose(5, 60)}<br>{prose(3, 40)}"
+        return element("h1", m, prose(1, 9)) + body_of_article()
+
+    kind = rng.random()
+    if kind < 0.04:  # nothing but text
+        return f"{MARK}{m}{prose(8, 60)}" + f"<br>{prose(3, 40)}" * rng.randint(0, 2)
+    main = article() if kind < 0.55 else columns() if kind < 0.85 else bare()
     before = [rng.choice(("nav", "header", "ad", "notice", "form", "aside", "nav")) for _ in range(rng.randint(0, 4))]
     after = [rng.choice(("footer", "comments", "aside", "ad", "form", "notice", "footer")) for _ in range(rng.randint(0, 4))]
-    body = "".join(extras[k]() for k in before) + article() + "".join(extras[k]() for k in after)
-    for _ in range(rng.choice((0, 0, 0, 1, 2))):
-        body = element("div", CONTAINER, body, "container", "wrapper", "page", "site", "", "layout row")
+    loose = lambda: f"{MARK}{b}{prose(1, 4)}" if rng.random() < 0.06 else ""
+    page = loose() + "".join(extras[k]() for k in before) + main + "".join(extras[k]() for k in after) + loose()
+    for _ in range(rng.choice((0, 0, 0, 1, 2, 3))):
+        page = element("div", CONTAINER, page, "container", "wrapper", "page", "site", "", "layout row", unknown())
+    if rng.random() < 0.06:  # a fragment
+        return page
     head = f'<head y="{b}"><title>{prose(1, 8)}</title><style>p{{}}</style></head>'
-    return f'<!DOCTYPE html><html y="{CONTAINER}">{head}<body y="{CONTAINER}">{body}</body></html>'
+    return f'<!DOCTYPE html><html y="{CONTAINER}">{head}<body y="{CONTAINER}">{page}</body></html>'
 
 
 _LABEL = re.compile(r'\by="(\d)"')
 
 
+def labelled(source: str) -> tuple[Page, list[int]]:
+    """A training page and its nodes' labels; marks of loose text are taken out."""
+    page = Page(source)
+    y = [CONTAINER] + [int(m[1]) if (m := _LABEL.search(a)) else -1 for a in page.names[1:]]
+    for i, piece in enumerate(page.pieces):
+        if piece and (k := piece[1].find(MARK)) >= 0:
+            y[piece[0]] = int(piece[1][k + 1])
+            page.pieces[i] = (piece[0], piece[1][:k] + piece[1][k + 2 :])
+    for i, label in enumerate(y):
+        if label < 0:
+            y[i] = y[page.parent[i]]
+    return page, y
+
+
 def train() -> dict:
     rng, xs, ys = random.Random(SEED), [], []
     for _ in range(TRAINING_PAGES):
-        page = Page(layout(rng))
+        page, y = labelled(layout(rng))
         xs.append(node_features(page)[1:])
-        ys += [int(_LABEL.search(a)[1]) for a in page.names[1:]]
+        ys += y[1:]
     return boost(np.concatenate(xs), np.array(ys))
 
 
@@ -402,4 +556,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 sizes = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(apply, "page_id long, url string, text string, n_chars long")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "html").mapInArrow(apply, f"page_id {kind}, url string, text string, n_chars long")
