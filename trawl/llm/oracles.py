@@ -84,6 +84,10 @@ left join bylang on rated.lang is not distinct from bylang.lang left join whole
 QUALITY = _quality()
 
 
+#: Rounds and calibrations after which these data change no more.
+ROUNDS, CALIBRATIONS = 24, 12
+
+
 def _mixing() -> str:
     from trawl.llm import mixing
 
@@ -95,13 +99,13 @@ def _mixing() -> str:
     joins = " ".join(f"join s_{m} on cells.{m} is not distinct from s_{m}.{m}" for m in mixing.MARGINS)
     ctes.append(f"r0 as materialized (select cells.*, tokens::double as fitted, sum(tokens) over ()::double as total, {shares} from cells {joins})")
     last = 0
-    for _ in range(mixing.ROUNDS):
+    for _ in range(ROUNDS):
         for m in mixing.MARGINS:
             ctes.append(f"r{last + 1} as materialized (select * replace (fitted * total * share_{m} / sum(fitted) over (partition by {m}) as fitted) from r{last})")
             last += 1
     ctes.append(f"w as materialized (select source, lang, topic, tokens, fitted / tokens as weight from r{last})")
     ctes.append("c0 as (select 0.0::double as c)")
-    for k in range(mixing.CALIBRATIONS):
+    for k in range(CALIBRATIONS):
         ctes.append(
             f"c{k + 1} as materialized (select coalesce((select ({mixing.BUDGET} * sum(tokens) - coalesce(sum(case when c * weight >= 1 then tokens end), 0))"
             f" / nullif(sum(case when c * weight < 1 then tokens * weight end), 0) from w, c{k}), (select c from c{k})) as c)"
@@ -116,7 +120,7 @@ cells as materialized (select source, lang, topic, sum(n_tokens)::bigint as toke
 j as (select d.*, case when n_tokens > 0 then weight else 0 end as weight,
     case when n_tokens > 0 then least(1.0, weight * c) else 0 end as probability,
     ('0x' || substr(md5(coalesce(doc_id::varchar, md5(text), '') || ':{mixing.SEED}'), 1, 13))::bigint / 4503599627370496.0 as dice
-    from d left join w on d.source is not distinct from w.source and d.lang is not distinct from w.lang and d.topic = w.topic, c{mixing.CALIBRATIONS})
+    from d left join w on d.source is not distinct from w.source and d.lang is not distinct from w.lang and d.topic = w.topic, c{CALIBRATIONS})
 select doc_id, source, lang, topic, n_tokens, round(weight, 6) as weight, round(probability, 6) as probability, dice < probability as kept from j
 """
 
