@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.sources.folders import hadoop_path, shared_folder
+
 #: A word is a maximal run of characters other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,6 +49,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of some 16 to 60 bytes that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint where the written table's counted rows allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 class Scratch:
     """Tables written to the folder all executors share (``spark.checkpoint.dir``).
 
@@ -57,8 +67,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_root(spark)
-        self.root = f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
     def save(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
@@ -73,15 +82,5 @@ class Scratch:
             self._fs(self.paths.pop(name), lambda fs, p: fs.delete(p, True))
 
     def _fs(self, path: str, act) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        act(p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p)
-
-
-_roots: dict[str, str] = {}
-
-
-def _own_root(spark: SparkSession) -> str:
-    """Only in local sessions that name no shared folder, as in tests; on a cluster every machine would write to its own disk."""
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _roots.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="trawl-"))
+        p, fs = hadoop_path(self.spark, path)
+        act(fs, p)

@@ -11,11 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.base import Scratch
-
-
-#: Rows (node, parent) of up to some 50 bytes that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+from trawl.llm.base import Scratch, small
 
 
 def _parents(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -24,8 +20,7 @@ def _parents(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Written, so that beyond the broadcast bound both sides of its joins are exchanged for the
     join alone and Spark can split a hub's edges over tasks.
     """
-    up = scratch.save(edges.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("top")), name)
-    return F.broadcast(up) if up.count() <= BROADCAST_ROWS else up
+    return small(scratch.save(edges.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("top")), name))
 
 
 def _large_star(edges: DataFrame, up: DataFrame) -> DataFrame:

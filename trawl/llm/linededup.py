@@ -27,15 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import minhash
-from trawl.llm.base import Scratch, fresh, let
+from trawl.llm.base import BROADCAST_ROWS, Scratch, fresh, let, small
 from trawl.llm.components import components
 
 SHINGLE = 10
 #: Similarity as a fraction: shared / union >= NUM / DEN.
 NUM, DEN = 4, 5
 ALL_PAIRS = 16
-#: Rows of some 16 to 60 bytes that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -72,11 +70,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint where the table's counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _verify(pairs: DataFrame, lines: DataFrame, measure: Measure) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard similarity is NUM / DEN or more."""
     left = lines.select(F.col("id").alias("a"), F.col("line").alias("x"))
@@ -102,10 +95,10 @@ def _meetings(signed: DataFrame, bands: tuple[int, int], scratch: Scratch, name:
     exploded = signed.select("id", F.explode(F.array(*_names(bands))).alias("key")).filter("key is not null")
     shared = exploded.groupBy("key").agg(F.min("id.d1").alias("x"), F.max("id.d1").alias("y")).filter("x <> y").select("key")
     shared = scratch.save(shared, f"{name}-shared")
-    met = exploded.join(_small(shared), "key").groupBy("key", "id").agg(F.count("*").alias("n"))
+    met = exploded.join(small(shared), "key").groupBy("key", "id").agg(F.count("*").alias("n"))
     met = scratch.save(met, f"{name}-met")
     buckets = met.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("n", "id"))["id"].alias("rep"))
-    return scratch.save(met.join(_small(scratch.save(buckets, f"{name}-buckets")), "key").drop("n"), f"{name}-sized")
+    return scratch.save(met.join(small(scratch.save(buckets, f"{name}-buckets")), "key").drop("n"), f"{name}-sized")
 
 
 def _candidates(met: DataFrame) -> DataFrame:
@@ -119,12 +112,12 @@ def _candidates(met: DataFrame) -> DataFrame:
 def _apart(met: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, own, out): the lines of large buckets that hold several components, their component, and whether it isn't the commonest's somewhere."""
     own = roots.select(F.col("node").alias("id"), F.col("root").alias("own"))
-    named = met.filter(F.col("size") > ALL_PAIRS).select("key", "id", "rep").join(_small(own), "id", "left")
-    named = named.join(_small(own).select(F.col("id").alias("rep"), F.col("own").alias("reps")), "rep", "left")
+    named = met.filter(F.col("size") > ALL_PAIRS).select("key", "id", "rep").join(small(own), "id", "left")
+    named = named.join(small(own).select(F.col("id").alias("rep"), F.col("own").alias("reps")), "rep", "left")
     named = named.select("key", "id", F.coalesce("own", "id").alias("own"), F.coalesce("reps", "rep").alias("reps"))
     named = scratch.save(named, f"{name}-named")
     mixed = scratch.save(named.filter("own <> reps").select("key").distinct(), f"{name}-mixed")
-    about = named.join(_small(mixed), "key", "left_semi").groupBy("id", "own").agg(F.max(F.col("own") != F.col("reps")).alias("out"))
+    about = named.join(small(mixed), "key", "left_semi").groupBy("id", "own").agg(F.max(F.col("own") != F.col("reps")).alias("out"))
     return scratch.save(about, f"{name}-apart")
 
 
@@ -137,7 +130,7 @@ def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, measu
     """(id, root) for linked lines other than the roots of their components."""
     met = _meetings(signed, minhash.COARSE, scratch, "coarse")
     ids = scratch.save(met.select("id").distinct(), "ids")
-    lines = lines.select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    lines = lines.select("id", "line").join(small(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
     lines = scratch.save(lines, "lines")
     roots = components(scratch.save(_verify(_candidates(met), lines, measure), "links"), scratch, "coarse")
 
@@ -145,19 +138,19 @@ def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, measu
     about = _apart(met, roots, scratch, "coarse")
     if about.isEmpty():
         return roots
-    rest = lines.join(_small(about.select("id")), "id", "left_semi").select(F.struct(F.lit(0).alias("none")).alias("at"), "id", "line")
+    rest = lines.join(small(about.select("id")), "id", "left_semi").select(F.struct(F.lit(0).alias("none")).alias("at"), "id", "line")
     finer = scratch.save(sign(rest, measure, minhash.FINE), "finer", {"parquet.enable.dictionary": "false"})
     met = _meetings(finer, minhash.FINE, scratch, "fine")
     own = about.select("id", "own")
-    pairs = _candidates(met).join(_small(own.select(F.col("id").alias("a"), F.col("own").alias("u"))), "a")
-    pairs = pairs.join(_small(own.select(F.col("id").alias("b"), F.col("own").alias("v"))), "b").filter("u <> v").select("a", "b")
+    pairs = _candidates(met).join(small(own.select(F.col("id").alias("a"), F.col("own").alias("u"))), "a")
+    pairs = pairs.join(small(own.select(F.col("id").alias("b"), F.col("own").alias("v"))), "b").filter("u <> v").select("a", "b")
     roots = _linked(scratch.save(_verify(pairs, lines, measure), "more"), roots, scratch, "fine")
 
     # what still shares a large bucket without a link meets by prefix filtering
     about = _apart(met, roots, scratch, "fine")
     if about.isEmpty():
         return roots
-    pairs = _prefix_pairs(lines.join(_small(about), "id"), scratch, measure)
+    pairs = _prefix_pairs(lines.join(small(about), "id"), scratch, measure)
     return _linked(scratch.save(_verify(pairs, lines, measure), "last"), roots, scratch, "last")
 
 
@@ -190,9 +183,9 @@ def dropped(signed: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     repeated = signed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
     alone = repeated.join(linked.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))
     tied = scratch.save(linked.union(alone), "tied")
-    places = scratch.save(signed.select("at", "id").join(_small(tied), "id").select("at", "root"), "places")
+    places = scratch.save(signed.select("at", "id").join(small(tied), "id").select("at", "root"), "places")
     first = scratch.save(places.groupBy("root").agg(F.min("at").alias("keep")), "first")
-    return places.join(_small(first), "root").filter("at <> keep").select("at")
+    return places.join(small(first), "root").filter("at <> keep").select("at")
 
 
 def dedup_lines(docs: DataFrame, spark: SparkSession) -> DataFrame:

@@ -6,7 +6,8 @@ exceeds the Hamming distance of the fingerprints, so a pair within ``radius`` bi
 at most ``radius`` units over the coordinates: with the coordinates dealt to G groups, at
 least G - radius groups agree entirely. The grid has one cell for every choice of
 G - radius groups and every value of their counts; the range join under Manhattan distance
-is thus an equi-join on cells, and every pair met in a cell is verified on all 64 bits.
+is thus an equi-join on cells. Pairs met in a cell are kept if their Manhattan distance is within
+the radius, and then verified on all 64 bits.
 
 Within a cell pairs aren't listed: members are absorbed breadth-first, each compared with
 what isn't absorbed yet, which yields a spanning forest of the cell's true links. Cells
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.base import Scratch
+from trawl.llm.base import Scratch, fresh, small
 from trawl.llm.components import components
 from trawl.shipping import ship
 
@@ -93,6 +94,23 @@ def _cells(fps: DataFrame, groups: int, radius: int) -> DataFrame:
     return fps.withColumn("counts", counts).select("fp", F.explode(F.array(*cells)).alias("c")).select("fp", "c.choice", "c.cell")
 
 
+_LOW = np.uint64(0x5555555555555555)
+
+
+def embedding(f: np.ndarray) -> np.ndarray:
+    """Bit counts of the two-bit segments as runs of ones, so that their Manhattan distance is that many differing bits."""
+    low, high = f & _LOW, (f >> np.uint64(1)) & _LOW
+    return (low | high) | ((low & high) << np.uint64(1))
+
+
+def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Whether fingerprints are within ``radius``: the lower bound first, then all bits of what it leaves."""
+    near = np.bitwise_count(embedding(x) ^ embedding(y)) <= radius
+    some = np.flatnonzero(near)
+    near[some] = np.bitwise_count((x if x.ndim == 0 else x[some]) ^ (y if y.ndim == 0 else y[some])) <= radius
+    return near
+
+
 def _absorb(f: np.ndarray, radius: int) -> tuple[list, list]:
     """A spanning forest of the links among f."""
     left, a, b = f, [], []
@@ -100,7 +118,7 @@ def _absorb(f: np.ndarray, radius: int) -> tuple[list, list]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = _near(left, x, radius)
             if near.any():
                 found, left = left[near], left[~near]
                 a.append(np.full(len(found), x))
@@ -121,7 +139,7 @@ def _links(radius: int, few: int = 24):
             same = np.flatnonzero(g[d:] == g[:-d]) if len(g) > d else []
             if not len(same):
                 break
-            near = same[np.bitwise_count(x[same] ^ x[same + d]) <= radius]
+            near = same[_near(x[same], x[same + d], radius)]
             a.append(x[near])
             b.append(x[near + d])
         for i in np.flatnonzero(sizes > few):
@@ -175,14 +193,17 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, radius: int = RADIUS)
     """doc_id, th (digest of the text), fp and component_id (smallest doc_id reachable), one row per row of ``docs``."""
     scratch = Scratch(spark)
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    prints = scratch.save(texts.mapInArrow(_fingerprints, "doc_id long, th long, fp long"), "prints")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    prints = scratch.save(texts.mapInArrow(_fingerprints, f"doc_id {kind}, th long, fp long"), "prints")
     fps = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     links = scratch.save(near_links(fps.select("fp"), fps.count(), radius), "links")
     roots = components(links, scratch)
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "th", "fp", "component_id")
+    rooted = scratch.save(rooted, "rooted")
+    # written sides: one component or fingerprint may hold a third of the rows, whose join Spark can split then
+    least = scratch.save(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    named = scratch.save(rooted.join(small(least), "root").select("fp", "component_id"), "named")
+    return prints.join(small(named), "fp").select("doc_id", "th", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, spark: SparkSession, radius: int = RADIUS) -> DataFrame:
@@ -192,7 +213,8 @@ def keep_one(docs: DataFrame, spark: SparkSession, radius: int = RADIUS) -> Data
     # components without any id are told apart by their fingerprints' root, so group those by fingerprint
     own = F.when(F.col("component_id").isNull(), F.col("fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("first")
-    winners = found.groupBy("component_id", own.alias("own")).agg(first).select(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t"))
-    kept = docs.join(winners, docs["doc_id"].eqNullSafe(winners["_d"]) & F.xxhash64(docs["text"]).eqNullSafe(winners["_t"]), "left_semi")
+    d, t = fresh(docs, "doc", "th")
+    winners = found.groupBy("component_id", own.alias("own")).agg(first).select(F.col("first.doc_id").alias(d), F.col("first.th").alias(t))
+    kept = docs.join(winners, docs["doc_id"].eqNullSafe(winners[d]) & F.xxhash64(docs["text"]).eqNullSafe(winners[t]), "left_semi")
     repeated = found.groupBy("doc_id", "th").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
