@@ -83,29 +83,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     )
     expressions = F.flatten(F.transform("suffixes", lambda s: F.transform("heads", lambda h: F.concat(s, h))))
     fits = (F.col("digest") == F.col("rule_digest")) & F.col("path").startswith(F.col("rule_path"))
-    # equal rows are judged once and repeated afterwards; both groupings use one exchange
+    # rows get numbers of their own, so equal rows, however many, don't meet in one task
     return (
-        pages.groupBy("page_id", "url")
-        .agg(F.count("*").cast("int").alias("copies"))
-        .withColumn("host", host)
-        .withColumn("path", path)
+        pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host.alias("host"), path.alias("path"))
         .withColumn("labels", F.split("host", r"\."))
         .withColumn("parts", F.split("path", "/"))
         .withColumn("suffixes", suffixes)
         .withColumn("heads", heads)
-        .select("page_id", "url", "copies", "host", "path", F.explode(expressions).alias("expression"))
+        .select("row", "page_id", "host", "path", F.explode(expressions).alias("expression"))
         .withColumn("digest", F.sha2("expression", 256))
         .withColumn("key", F.substring("digest", 1, 8))
         .join(keyed, "key", "left")
-        .groupBy("page_id", "url", "copies", "host", "path")
+        .groupBy("row", "page_id", "host", "path")
         .agg(F.max(F.when(fits, F.col("rank"))).alias("best"))
-        .select(
-            "page_id",
-            "host",
-            "path",
-            F.col("best.rule").alias("rule"),
-            F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-            F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy"),
-        )
-        .drop("_copy")
+        .select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     )
