@@ -32,6 +32,8 @@ ship(__name__)
 #: Expected numbers of positives and of unlabelled documents that are learnt from.
 POSITIVES, UNLABELLED = 4000, 8000
 BITS, FEATURES, SEED = 20, 512, 11
+#: Distinct words of a text of the sample.
+MOST_WORDS = 4000
 #: A feature occurs in this share of the positives at least, and is this many times as frequent as in the unlabelled.
 SUPPORT, ENRICHED = 0.01, 4
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
@@ -108,6 +110,25 @@ def _presence(docs: list[np.ndarray], table: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
+def _sample(texts: DataFrame, most: int) -> list:
+    """Distinct features of at most ``most`` texts, cut where they are read, so that no text travels.
+
+    A text of more distinct words than MOST_WORDS is represented by those of smallest hash,
+    which bounds the sample in bytes; texts are scored by all their words.
+    """
+
+    def over(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                f = pa.array([np.unique(features(t))[:MOST_WORDS] for t in part.column(2).to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), f], ["doc_id", "th", "f"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.select("doc_id", "th", "text").mapInArrow(over, f"doc_id {kind}, th long, f array<long>")
+    return [r["f"] for r in rows.orderBy("doc_id", "th").limit(most).collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The model from a bounded sample; ``weights`` holds the weight of each hashed word."""
     known = (
@@ -116,18 +137,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = toxic / n if n else 0.0
     model = {"prior": prior, "weights": np.zeros(1 << BITS, np.float32), "bias": None}
-    dice = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
     if not 0 < prior < 1:
         return model
-    chosen = known.filter((F.col("toxic") == 1) & (dice < min(1.0, POSITIVES / toxic))).select("doc_id")
-    texts = docs.select("doc_id", "text").filter(remainder(F.col("doc_id")) != 0)
-    total = docs.filter(remainder(F.col("doc_id")) != 0).count()
-    # some POSITIVES ids of 8 bytes, by construction
-    pos = texts.join(F.broadcast(chosen), "doc_id", "left_semi").toPandas().sort_values(["doc_id", "text"])
-    unl = texts.filter(dice < min(1.0, UNLABELLED / max(total, 1))).toPandas().sort_values(["doc_id", "text"])
+    chance = lambda *c: F.pmod(F.xxhash64(*c, F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
+    chosen = known.filter((F.col("toxic") == 1) & (chance("doc_id") < min(1.0, POSITIVES / toxic))).select("doc_id").limit(2 * POSITIVES)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter(remainder(F.col("doc_id")) != 0)
+    total = texts.count()
+    # at most 2 * POSITIVES ids of 8 bytes
+    pos = _sample(texts.join(F.broadcast(chosen), "doc_id", "left_semi"), 2 * POSITIVES)
+    unl = _sample(texts.filter(chance("doc_id", "th") < min(1.0, UNLABELLED / max(total, 1))), 2 * UNLABELLED)
     if not len(pos) or not len(unl):
         return model
-    p, u = ([np.unique(features(t)) for t in x["text"]] for x in (pos, unl))
+    p, u = ([np.array(f, np.int64) for f in x] for x in (pos, unl))
     top = _select(p, u)
     table = np.full(1 << BITS, -1, np.int32)
     table[top] = np.arange(len(top))
@@ -161,7 +182,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                     ["doc_id", "held_out", "score", "predicted"],
                 )
 
-    return ready.mapInArrow(apply, "doc_id long, held_out boolean, score double, predicted int")
+    return ready.mapInArrow(apply, f"doc_id {ready.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
