@@ -17,12 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from trawl.llm.base import fresh
 from trawl.shipping import ship
 
 ship(__name__)
 
 #: Labelled documents of each language that are learnt from (one window each), in expectation.
 PER_LANGUAGE = 3000
+#: Languages that are learnt.
+MOST_LANGUAGES = 200
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
 WIDEST = max(WIDTHS)
 #: Passes over the sample; small samples are passed over more often, up to LEAST_STEPS batches.
@@ -140,20 +144,27 @@ def predict(model: dict, texts: list[str], at_once: int = 64) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> tuple[list[str], dict]:
-    """Languages and the network, from a bounded sample of the rows that may be learnt from."""
+    """Languages and the network, from a bounded sample of the rows that may be learnt from.
+
+    At most MOST_LANGUAGES languages are learnt, the most frequent ones. The dice are cast on
+    id and text, so that rows under one id have their own; a limit holds whatever they say.
+    """
     may = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder(F.col("doc_id")) != 0))
-    sizes = {r["lang"]: r["count"] for r in may.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in may.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return [], {}
     langs = sorted(sizes)
     rates = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, PER_LANGUAGE / sizes[k])))])
-    dice = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
-    spot = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.greatest(F.length("text") - WINDOW, F.lit(1)))
+    own = F.xxhash64("doc_id", "text")
+    dice = F.pmod(F.xxhash64(own, F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
+    spot = F.pmod(F.xxhash64(own, F.lit(SEED + 1)), F.greatest(F.length("text") - WINDOW, F.lit(1)))
     # windows of many lengths, so that short texts are familiar too
-    length = F.lit(WINDOW) - F.pmod(F.xxhash64("doc_id", F.lit(SEED + 2)), F.lit(WINDOW - 16))
+    length = F.lit(WINDOW) - F.pmod(F.xxhash64(own, F.lit(SEED + 2)), F.lit(WINDOW - 16))
     rows = (
-        may.filter(dice < rates[F.col("lang")])
-        .select("doc_id", "lang", F.substring("text", (spot + 1).cast("int"), length.cast("int")).alias("part"))
+        may.filter(F.col("lang").isin(langs) & (dice < rates[F.col("lang")]))
+        .select("doc_id", "lang", F.substring("text", (spot + 1).cast("int"), length.cast("int")).alias("part"), dice.alias("dice"))
+        .orderBy("dice", "part")
+        .limit(2 * PER_LANGUAGE * len(langs))
         .toPandas()
         .sort_values(["doc_id", "lang", "part"])
     )
@@ -165,26 +176,27 @@ def fit(docs: DataFrame) -> tuple[list[str], dict]:
 def identify(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` and held_out, lang_pred, score; learns from ``docs`` itself."""
     langs, model = fit(docs)
-    keep = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "_letter")]
+    keep = [c for c in docs.columns if c.lower() not in ("held_out", "lang_pred", "score")]
+    (letter,) = fresh(docs, "letter")
     ready = docs.select(
-        *keep,
+        *[docs[c] for c in keep],
         F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"),
+        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter),
     )
     if not langs:
-        return ready.drop("_letter").withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    schema = ready.drop("_letter").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    at_text, at_letter, names = ready.columns.index("text"), ready.columns.index("_letter"), schema.names
+        return ready.drop(letter).withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+    schema = ready.drop(letter).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    at_text, at_letter, names = ready.columns.index("text"), ready.columns.index(letter), schema.names
 
     def apply(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                letter = part.column(at_letter).to_pylist()
-                some = [t for t, ok in zip(part.column(at_text).to_pylist(), letter, strict=True) if ok]
+                some_letter = part.column(at_letter).to_pylist()
+                some = [t for t, ok in zip(part.column(at_text).to_pylist(), some_letter, strict=True) if ok]
                 p = predict(model, some) if some else np.zeros((0, len(langs)))
                 found = iter(zip(p.argmax(axis=1), p.max(axis=1), strict=True))
-                out = [next(found) if ok else None for ok in letter]
+                out = [next(found) if ok else None for ok in some_letter]
                 pred = pa.array([langs[o[0]] if o else UNDETERMINED for o in out], pa.string())
                 score = pa.array([float(o[1]) if o else 0.0 for o in out], pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:at_letter], pred, score], names)
