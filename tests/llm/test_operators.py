@@ -210,17 +210,38 @@ def test_backoff_does_not_depend_on_what_is_frequent(spark, docs, share, monkeyp
 # --- 5 -------------------------------------------------------------------------------------
 
 
-def test_mixing_meets_margins(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+@pytest.mark.parametrize("bound", [mixing.DRIVER_CELLS, 0])
+def test_mixing_meets_margins(spark, docs, bound, monkeypatch):
+    """At the driver and as sums and joins of tables."""
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", bound)
+    if not bound:
+        monkeypatch.setattr(mixing, "TOLERANCE", 1e-4)
     out = mixing.mix(docs, spark)
     cells = out.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t"), F.max("weight").alias("w")).toPandas().fillna("-")
     cells["f"] = cells.t * cells.w
     total = cells.t.sum()
     for m, power in mixing.TEMPER.items():
         actual = cells.groupby(m).t.sum() ** power
-        assert np.allclose(cells.groupby(m).f.sum() / total, actual / actual.sum(), rtol=2e-2)
+        assert np.allclose(cells.groupby(m).f.sum() / total, actual / actual.sum(), rtol=1e-6 if bound else 1e-3)
     expected = out.agg(F.sum(F.col("n_tokens") * F.col("probability"))).first()[0]
-    assert abs(expected / total - mixing.BUDGET) < 1e-3
+    assert abs(expected / total - mixing.BUDGET) < 1e-9
+
+
+@pytest.mark.parametrize("bound", [mixing.DRIVER_CELLS, 0])
+def test_mixing_targets(spark, bound, monkeypatch):
+    """Given targets and a topic of the caller's; a value without a target vanishes, impossible targets are an error."""
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", bound)
+    rows = [(i, "one two three four " * (1 + i % 5), ("en", "fr", None)[i % 3], "abc"[i // 3 % 3], 0) for i in range(180)]
+    docs = spark.createDataFrame(rows, DOCS)
+    share = lambda **k: spark.createDataFrame(list(k.items()), "value string, share double")
+    topic = F.when(F.col("n_chars") > 0, "x").otherwise("y")
+    out = mixing.mix(docs, spark, {"source": share(a=3.0, b=1.0, unknown=9.0), "lang": share(en=0.5, fr=0.5)}, topic).toPandas()
+    f = (out.n_tokens * out.weight).groupby(out.source).sum() / out.n_tokens.sum()
+    assert np.allclose(f, [0.75, 0.25, 0]) and set(out.topic) == {"y"} and not out.kept[out.lang.isna()].any()
+    crossed = spark.createDataFrame([(1, "w w", "en", "a", 0), (2, "w w", "fr", "b", 0)], DOCS)
+    monkeypatch.setattr(mixing, "MOST_ROUNDS", 5)
+    with pytest.raises(mixing.NoFit):
+        mixing.mix(crossed, spark, {"source": share(a=0.9, b=0.1), "lang": share(en=0.1, fr=0.9)}).count()
 
 
 def test_mixing_awkward(spark, awkward, empty):
@@ -232,6 +253,16 @@ def test_mixing_awkward(spark, awkward, empty):
 # --- 6 -------------------------------------------------------------------------------------
 
 
+def test_clashing_names(spark, awkward):
+    """Columns named like any that operators add for themselves."""
+    names = [f"{'_' * k}{n}" for n in ("weight", "source", "gone", "text", "doc", "th", "letter", "judged", "lang", "topic", "odds", "d", "t", "at", "key", "line") for k in (1, 2)]
+    docs = awkward.withColumns({n: F.lit("x") for n in [*names, "gone", "TOPIC", "N_lines", "Kept"]} | {"TOPIC": F.lit("x")})
+    for out in (mixing.mix(docs, spark), linededup.dedup_lines(docs, spark), langid.identify(docs)):
+        assert set(names) <= set(out.columns) and out.count() == len(AWKWARD) and {r["_weight"] for r in out.collect()} == {"x"}
+    bench = spark.createDataFrame([(1, "a benchmark item of several words that nobody else holds")], "item_id long, text string")
+    assert set(names) <= set(decontaminate.clean(docs, bench, spark).columns) & set(simhash.keep_one(docs, spark).columns)
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("com", "/", "allow"), ("a.com", "/p", "block"), ("a.com", "/p/q/", "allow"), ("b.org", "", "block"), ("x.b.org", "", "allow")], "host string, path string, verdict string")
     want = {
@@ -480,6 +511,14 @@ def test_simhash_links_all(spark, tile, monkeypatch):
     assert {x: roots.get(x, x) for x in fps} == want
 
 
+def test_manhattan_bound():
+    rng = np.random.default_rng(5)
+    x, y = (rng.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in range(2))
+    count = lambda v: np.array([[(int(a) >> (2 * s) & 3).bit_count() for s in range(32)] for a in v])
+    distance = np.abs(count(x) - count(y)).sum(axis=1)
+    assert (np.bitwise_count(simhash.embedding(x) ^ simhash.embedding(y)) == distance).all() and (distance <= np.bitwise_count(x ^ y)).all()
+
+
 def test_simhash_awkward(spark, awkward, empty):
     out = simhash.near_duplicates(awkward, spark).collect()
     assert len(out) == len(AWKWARD)

@@ -23,10 +23,12 @@ kept; repeated items are judged each. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.base import Scratch, let, words
+from trawl.llm.base import Scratch, fresh, let, words
 
 SHINGLE, RADIUS = 5, 24
 #: Similarity as a fraction.
@@ -53,9 +55,9 @@ def simhash(h: Column) -> Column:
     """64-bit SimHash of an array of digests.
 
     Bits are counted three at a time in 20-bit lanes of one sum, so an array of up to
-    2^20 - 1 digests takes 22 sums instead of 64.
+    2^20 - 1 digests takes 22 sums instead of 64; a longer one has its bits counted one by one.
     """
-    lanes = 0b111
+    lanes, most = 0b111, 1 << 20
 
     def spread(x: Column) -> Column:
         return (
@@ -78,10 +80,17 @@ def simhash(h: Column) -> Column:
 
         return let(total, over)
 
-    out = bits(0)
-    for k in range(1, 22):
-        out = out.bitwiseOR(bits(k))
-    return out
+    def bit(k: int) -> Column:
+        total = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(1)))
+        return F.when(2 * total > F.size(h), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
+
+    def joined(part: Callable[[int], Column], n: int) -> Column:
+        out = part(0)
+        for k in range(1, n):
+            out = out.bitwiseOR(part(k))
+        return out
+
+    return F.when(F.size(h) < most, joined(bits, 22)).otherwise(joined(bit, 64))
 
 
 def blocks(fp: Column, radius: int) -> Column:
@@ -238,5 +247,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, radius:
 
 def clean(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    bad = matches(docs, benchmark, spark).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & F.xxhash64(docs["text"]).eqNullSafe(bad["_t"]), "left_anti")
+    d, t = fresh(docs, "doc", "th")
+    bad = matches(docs, benchmark, spark).select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[d]) & F.xxhash64(docs["text"]).eqNullSafe(bad[t]), "left_anti")
