@@ -42,21 +42,8 @@ def _names(bands: tuple[int, int]) -> list[str]:
     return [f"k{i}" for i in range(2 * bands[0])]
 
 
-class Measure:
-    """What a text's shingles are: for signatures and similarities, and as a column for prefix filtering."""
-
-    def __init__(self, arrays: tuple, column):
-        self.arrays, self.column = arrays, column
-
-
-def _character_runs(line: Column) -> Column:
-    """Distinct digests of the runs of SHINGLE characters; a shorter line is its own."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    own = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
-    return F.array_distinct(F.transform(own, lambda x: F.xxhash64(x)))
-
-
-CHARACTERS = Measure(minhash.characters(SHINGLE), _character_runs)
+#: Runs of characters; what a measure is, see ``minhash``.
+CHARACTERS = minhash.characters(SHINGLE)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -70,22 +57,22 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _verify(pairs: DataFrame, lines: DataFrame, measure: Measure) -> DataFrame:
+def _verify(pairs: DataFrame, lines: DataFrame, measure: tuple) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard similarity is NUM / DEN or more."""
     left = lines.select(F.col("id").alias("a"), F.col("line").alias("x"))
     right = lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a.d1", "a.d2", F.col("b.d1").alias("e1"), F.col("b.d2").alias("e2"), "x", "y")
-    near = both.mapInArrow(minhash.similar(measure.arrays, NUM, DEN), "d1 long, d2 long, e1 long, e2 long")
+    near = both.mapInArrow(minhash.similar(measure, NUM, DEN), "d1 long, d2 long, e1 long, e2 long")
     return near.select(F.struct("d1", "d2").alias("a"), F.struct(F.col("e1").alias("d1"), F.col("e2").alias("d2")).alias("b"))
 
 
-def sign(lines: DataFrame, measure: Measure, bands: tuple[int, int] = minhash.COARSE) -> DataFrame:
+def sign(lines: DataFrame, measure: tuple, bands: tuple[int, int] = minhash.COARSE) -> DataFrame:
     """Every line's place, id and band keys, in flat columns."""
     flat, keys = lines.select("at.*", "id.*", "line"), _names(bands)
     own = [f for f in flat.schema.fields if f.name != "line"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), *(f"{k} long" for k in keys)])
     names = [*(f.name for f in own), *keys]
-    signed = flat.mapInArrow(minhash.signed(measure.arrays, bands, flat.columns.index("line"), names), schema)
+    signed = flat.mapInArrow(minhash.signed(measure, bands, flat.columns.index("line"), names), schema)
     places = [f.name for f in own if f.name not in ("d1", "d2")]
     return signed.select(F.struct(*places).alias("at"), F.struct("d1", "d2").alias("id"), *keys)
 
@@ -126,7 +113,7 @@ def _linked(links: DataFrame, roots: DataFrame, scratch: Scratch, name: str) ->
     return roots if links.isEmpty() else components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, name)
 
 
-def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, measure: Measure) -> DataFrame:
+def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, measure: tuple) -> DataFrame:
     """(id, root) for linked lines other than the roots of their components."""
     met = _meetings(signed, minhash.COARSE, scratch, "coarse")
     ids = scratch.save(met.select("id").distinct(), "ids")
@@ -154,16 +141,20 @@ def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, measu
     return _linked(scratch.save(_verify(pairs, lines, measure), "last"), roots, scratch, "last")
 
 
-def _prefix_pairs(lines: DataFrame, scratch: Scratch, measure: Measure) -> DataFrame:
+def _prefix_pairs(lines: DataFrame, scratch: Scratch, measure: tuple) -> DataFrame:
     """Pairs (a, b) of different components, one of them ``out``, that may be similar.
 
     Two sets of n and m shingles and similarity t share at least o = t / (1 + t) * (n + m);
     with shingles ordered from rare to frequent, the first one they share is thus among the
     first n - o + 1 of one and the first m - o + 1 of the other.
     """
-    flat = lines.select("id", "own", "out", measure.column(F.col("line")).alias("s"))
-    flat = flat.select("id", "own", "out", F.size("s").alias("n"), F.explode("s").alias("h"))
-    spread = flat.groupBy("h").agg(F.count("*").alias("df"))
+    flat = lines.select("id.*", F.col("own.d1").alias("o1"), F.col("own.d2").alias("o2"), "out", "line")
+    names = [*flat.columns[:-1], "n", "h"]
+    flat = flat.mapInArrow(minhash.shingled(measure, len(names) - 2, names), "d1 long, d2 long, o1 long, o2 long, out boolean, n long, h long")
+    own = F.struct(F.col("o1").alias("d1"), F.col("o2").alias("d2")).alias("own")
+    flat = scratch.save(flat.select(F.struct("d1", "d2").alias("id"), own, "out", F.col("n").cast("int").alias("n"), "h"), "flat")
+    # written, so that the join can split a frequent digest over tasks
+    spread = small(scratch.save(flat.groupBy("h").agg(F.count("*").alias("df")), "spread"))
     order = F.array_sort(F.collect_list(F.struct("df", "h")))
     length = F.col("n") - F.ceil(NUM * F.col("n") / DEN).cast("int") + 1
     ranked = flat.join(spread, "h").groupBy("id", "own", "out", "n").agg(order.alias("all"))

@@ -7,21 +7,17 @@ more are linked. Texts without a word are copies of each other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import decontaminate, linededup, minhash
-from trawl.llm.base import Scratch, ascii_lower, fresh, let, words
+from trawl.llm import linededup, minhash
+from trawl.llm.base import Scratch, fresh
 
 SHINGLE = 5
 
 
-def shingles(text: Column) -> Column:
-    """Distinct digests of the runs of SHINGLE words."""
-    return let(words(ascii_lower(text)), lambda w: F.array_distinct(decontaminate.shingles(w, F.least(F.lit(SHINGLE), F.size(w)))))
-
-
-WORDS = linededup.Measure(minhash.word_runs(SHINGLE), shingles)
+#: Runs of words, A-Z lower-cased.
+WORDS = minhash.word_runs(SHINGLE)
 
 
 def keep_one(docs: DataFrame, spark: SparkSession) -> DataFrame:
