@@ -126,6 +126,46 @@ def test_declarations(spark):
     assert by_id[zero.parent_id].name == "Calculator" and zero.signature == "def zero():"
 
 
+DECLARED = {
+    "go": ("package x\n\ntype (\n\tA struct {\n\t\tx int\n\t}\n\tB interface {\n\t\tF()\n\t}\n\tC int\n)\n\ntype D struct {\n\ty string // }\n}\n\nfunc (d *D) Get(k string) int {\n\treturn 1\n}\n", "class A 4 6, class B 7 9, class D 13 15, method Get 17 19"),
+    "php": ("<?php\nclass Foo extends Bar {\n  public function go($x) { # }\n    if ($x) { return 1; }\n  }\n  abstract function no();\n}\nfunction main() {\n  return 0;\n}\n", "class Foo 2 7, method go 3 5 Foo, method no 6 6 Foo, method main 8 10"),
+    "ruby": ("module M\n  class Foo < Bar\n    def go(x)\n      if x\n        1\n      end\n    end\n\n    def self.make?\n      new\n    end\n\n    def sq(x) = x * x\n    def one; 1; end\n  end\nend\n", "class M 1 16, class Foo 2 15, method go 3 7 Foo, method make? 9 11 Foo, method sq 13 13 Foo, method one 14 14 Foo"),
+    "lua": ("local M = {}\nfunction M.go(a)\n  if a then\n    return 1\n  end\nend\nlocal function bar()\n  return 2\nend\n", "method M.go 2 6, method bar 7 9"),
+    "bash": ("foo() {\n  echo \"${x}\" # }\n}\nfunction bar {\n  if true; then echo; fi\n}\n", "method foo 1 3, method bar 4 6"),
+    "c": ("static int *add(int a,\n    int b) {\n  if (a) { return b; }\n  return 0;\n}\nint main(void)\n{\n  return 0;\n}\nstruct S { int x; };\n", "method add(int a,\n    int b) 1 5, method main(void) 6 9"),
+    "cpp": ("namespace n {\nclass A {\n public:\n  int get() const { return x; }\n};\nint A::put(int y) {\n  return y;\n}\n}\n", "method get() const 4 4, method A::put(int y) 6 8"),
+    "swift": ("public class Foo: Bar {\n  init(x: Int) {\n    self.x = x\n  }\n  func go(\n    a: Int\n  ) -> Int {\n    return 1\n  }\n}\nprotocol P {\n  func q()\n  func r() -> Int\n}\n", "class Foo 1 10, method init 2 4 Foo, method go 5 9 Foo, class P 11 14, method q 12 12 P, method r 13 13 P"),
+    "scala": ("object Main extends App {\n  def go(x: Int): Int = {\n    x + 1\n  }\n  def two = 2\n  class In(a: Int)\n}\n", "class Main 1 7, method go 2 4 Main, method two 5 5 Main, class In 6 6"),
+    "groovy": ("class A {\n  def go(x) {\n    return x\n  }\n  String s() { 'x}' }\n}\n", "class A 1 6, method go 2 4 A, method s 5 5 A"),
+    "rust": ("pub struct P {\n  x: i32,\n}\nimpl<'a> P {\n  pub fn x(&'a self) -> i32 {\n    self.x\n  }\n}\nfn main() {}\n", "class P 1 3, method x 5 7, method main 9 9"),
+    "javascript": ("export default class A {\n  async go(x) {\n    if (x) { return `}`; }\n  }\n  get y() { return 1; }\n}\nexport function f(a) {\n  return a;\n}\nfunction long(" + "parameter, " * 400 + "z) {\n  return 2;\n}\nclass B {\n  m(" + "parameter,\n" * 300 + "z) {\n  }\n}\n", "class A 1 6, method go 2 4 A, method y 5 5 A, method f 7 9, method long 10 12, class B 13 316, method m 14 315 B"),
+    "typescript": ("export interface I {\n  x: number;\n}\ntype T = { a: string };\nexport class A<T> {\n  go(x: number): string {\n    return '';\n  }\n}\n", "class I 1 3, class T 4 4, class A 5 9, method go 6 8 A"),
+    "java": ("@X\npublic class A<T> extends B {\n  public A(int n) {\n    this.n = n;\n  }\n  public <R> List<R> go(Map<K, V> m) throws E {\n    for (int i = 0; i < 1; i++) { }\n    return null;\n  }\n  enum E { A, B }\n}\n", "class A 2 11, method A 3 5 A, method go 6 9 A, class E 10 10"),
+    "csharp": ("namespace N {\n  public record struct R(int X);\n  public class A {\n    public int P { get; set; }\n    public A() : base(1) {\n    }\n    public async Task<int> Go(int x) {\n      return 1;\n    }\n  }\n}\n", "class R 2 2, class A 3 10, method P 4 4 A, method A 5 6 A, method Go 7 9 A"),
+    "python": ("@dec\nclass A:\n    @x\n    def é(self): return 'é'\n    async def b(self):\n        pass\ntry:\n    def c(): pass\nexcept E:\n    class D: pass\n", "class A 2 6, method é 4 4 A, method b 5 6 A, method c 8 8, class D 10 10"),
+}
+
+
+@pytest.mark.parametrize("language", DECLARED)
+def test_declarations_by_language(language):
+    text, want = DECLARED[language]
+    found = chunking.declarations(text, language)
+    line = lambda at: text.count("\n", 0, at) + 1
+    got = [f"{x.level} {x.name} {line(x.start)} {line(x.end - 1)}" + (f" {found[x.parent].name}" if x.parent >= 0 else "") for x in found]
+    assert ", ".join(got) == want
+    assert all(not text[x.start].isspace() and not text[x.end - 1].isspace() for x in found)
+
+
+@pytest.mark.parametrize("text", ["foo(\n" * 30_000, "foo (bar\n" * 30_000, "a b c d e f g h i j k l m n o p q\n" * 20_000, "{" * 200_000, "x" * 500_000, "/*" * 20_000])
+def test_declarations_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    for language in ("javascript", "java", "c", "typescript", "swift", "ruby"):
+        chunking.declarations(text, language)
+    assert time.process_time() - began < 20
+
+
 def test_broken_source_falls_back_to_its_file():
     assert chunking.declarations("def broken(:\n", "python") == [] and chunking.declarations("x", "cobol") == []
 

@@ -7,10 +7,9 @@ parser, so these two run over Arrow batches.
 
 from __future__ import annotations
 
-import ast
 import bisect
 import hashlib
-import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import paths
 from trawl.functions.identity import chunk_id, content_hash
+from trawl.operators.declarations import PARSED, declarations
 from trawl.shipping import ship
 
 ship(__name__)
@@ -138,101 +138,6 @@ def split_methods(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 
 # --- classes and methods -------------------------------------------------------------------
 
-# How declarations of brace languages begin.
-_MODIFIERS = r"(?:(?:export|default|public|private|protected|internal|static|final|abstract|sealed|partial|async|virtual|override|readonly|pub(?:\([a-z]+\))?|unsafe|const)\s+)*"
-_DECLARATIONS = {
-    "go": ([r"type\s+(?P<name>\w+)\s+(?:struct|interface)\b"], [r"func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)\s*[\[(]"]),
-    "javascript": ([rf"{_MODIFIERS}class\s+(?P<name>\w+)"], [rf"{_MODIFIERS}function\s*\*?\s*(?P<name>\w+)\s*\(", r"(?:static\s+|async\s+|get\s+|set\s+)*(?P<name>(?!if|for|while|switch|catch|function|return)[#\w]+)\s*\([^;{]*\)\s*\{"]),
-    "java": ([rf"{_MODIFIERS}(?:class|interface|enum|record|@interface)\s+(?P<name>\w+)"], [rf"{_MODIFIERS}(?:<[^>]+>\s*)?(?:(?!return\b|new\b|else\b|throw\b)[\w<>\[\],.?]+\s+)?(?P<name>(?!if|for|while|switch|catch|synchronized|return)\w+)\s*\([^;{{]*\)\s*(?:throws\s+[\w.,\s]+)?\{{"]),
-    "csharp": ([rf"{_MODIFIERS}(?:class|struct|interface|enum|record(?:\s+struct)?)\s+(?P<name>\w+)"], [rf"{_MODIFIERS}(?:(?!return\b|new\b|else\b|throw\b)[\w<>\[\],.?]+\s+)?(?P<name>(?!if|for|foreach|while|switch|catch|using|lock|return)\w+)\s*\([^;{{]*\)\s*(?::\s*(?:base|this)\([^)]*\)\s*)?\{{"]),
-    "rust": ([rf"{_MODIFIERS}(?:struct|enum|trait|union)\s+(?P<name>\w+)", r"impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(?P<name>\w+)"], [rf"{_MODIFIERS}fn\s+(?P<name>\w+)"]),
-}
-_DECLARATIONS["typescript"] = ([*_DECLARATIONS["javascript"][0], rf"{_MODIFIERS}interface\s+(?P<name>\w+)", rf"{_MODIFIERS}type\s+(?P<name>\w+)\s*="], [*_DECLARATIONS["javascript"][1], rf"{_MODIFIERS}(?P<name>(?!if|for|while|switch|catch|function|return)\w+)\s*\([^;{{]*\)\s*:\s*[^;{{]+\{{"])
-_DECLARATIONS["jsx"], _DECLARATIONS["tsx"] = _DECLARATIONS["javascript"], _DECLARATIONS["typescript"]
-_COMPILED = {
-    lang: [(kind, re.compile(rf"^\s*{p}")) for kind, ps in (("class", c), ("method", m)) for p in ps] for lang, (c, m) in _DECLARATIONS.items()
-}
-PARSED = ("python", *_DECLARATIONS)
-_LITERAL = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|//[^\n]*|/\*.*?\*/", re.S)
-
-#: (level, name, start line, end line, parent's place in the list or -1 for the file)
-Found = list[tuple[str, str, int, int, int]]
-
-
-def python_declarations(text: str) -> Found:
-    """Classes (parent: the file) and functions (parent: innermost class); functions aren't searched further."""
-    out: Found = []
-
-    def walk(body: list, parent: int) -> None:
-        for node in body:
-            if isinstance(node, ast.ClassDef):
-                out.append(("class", node.name, node.lineno, node.end_lineno, -1))
-                walk(node.body, len(out) - 1)
-            elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-                out.append(("method", node.name, node.lineno, node.end_lineno, parent))
-            else:
-                for part in ("body", "orelse", "finalbody"):
-                    walk(getattr(node, part, None) or [], parent)
-                for handler in getattr(node, "handlers", []):
-                    walk(handler.body, parent)
-
-    try:
-        walk(ast.parse(text).body, -1)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    return out
-
-
-def brace_declarations(text: str, language: str) -> Found:
-    """Declarations at line starts, up to the brace that closes them (or the line's end)."""
-    blank = lambda m: re.sub(r"[^\n]", " ", m[0])  # noqa: E731  literals and comments keep their place
-    bare = _LITERAL.sub(blank, text)
-    lines, out, open_ = bare.split("\n"), [], []
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line) + 1)
-
-    def closing(at: int) -> int:
-        depth, i = 0, at
-        while i < len(bare):
-            c = bare[i]
-            if c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if depth <= 0:
-                    return i
-            elif c == ";" and depth == 0:
-                return i
-            i += 1
-        return len(bare) - 1
-
-    skip = -1
-    for n, line in enumerate(lines):
-        if n <= skip:
-            continue
-        while open_ and n > open_[-1][1]:
-            open_.pop()
-        rest = bare[starts[n] : starts[n] + 2000]
-        found = next(((kind, m) for kind, p in _COMPILED[language] if (m := p.match(rest)) and m.start("name") < len(line)), None)
-        if not found:
-            continue
-        kind, m = found
-        end = bare.count("\n", 0, closing(starts[n] + m.end("name")))
-        if kind == "class":
-            out.append(("class", m["name"], n + 1, end + 1, -1))
-            open_.append((len(out) - 1, end))
-        else:
-            out.append(("method", m["name"], n + 1, end + 1, open_[-1][0] if open_ else -1))
-            skip = end
-    return out
-
-
-def declarations(text: str, language: str) -> Found:
-    if language == "python":
-        return python_declarations(text)
-    return brace_declarations(text, language) if language in _COMPILED else []
-
 
 def declaration_chunks(files: DataFrame) -> DataFrame:
     """Class and method chunks of files (path, content, language) in a parsed language."""
@@ -249,11 +154,13 @@ def declaration_chunks(files: DataFrame) -> DataFrame:
                 found = declarations(text, r.language)
                 file_id = own_id(r.path, "file", 1, len(lines))
                 latest = {}  # of two chunks with one id the later stays
-                for level, name, a, b, parent in found:
+                starts = [0, *accumulate(len(x) + 1 for x in lines)]
+                line_of = lambda at: bisect.bisect_right(starts, at, 0, len(lines))
+                for level, name, start, end, parent in found:
                     up = found[parent] if parent >= 0 else None
-                    parent_id = own_id(r.path, up[0], up[2], up[3]) if up else file_id
-                    content = "\n".join(lines[a - 1 : b])
-                    latest[own_id(r.path, level, a, b)] = (parent_id, r.path, r.language, level, name, lines[a - 1].strip(), a, b, content)
+                    parent_id = own_id(r.path, up.level, line_of(up.start), line_of(up.end - 1)) if up else file_id
+                    content, a, b = text[start:end], line_of(start), line_of(end - 1)
+                    latest[own_id(r.path, level, a, b)] = (parent_id, r.path, r.language, level, name, content.split("\n", 1)[0].strip(), a, b, content)
                 rows += [(k, *v) for k, v in latest.items()]
             yield pd.DataFrame(rows, columns=["chunk_id", "parent_id", "path", "language", "level", "name", "signature", "start_line", "end_line", "content"])
 

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from trawl.functions.paths import EXTENSIONS
+from trawl.sources import yaml
 
 
 class ConfigError(ValueError):
@@ -33,53 +34,23 @@ class LanguageConfig:
         return extension.lower() in self.extensions
 
 
-def _scalar(text: str) -> object:
-    text = text.split(" #")[0].strip()
-    if text.startswith("[") and text.endswith("]"):
-        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
-    return text.strip("'\"")
-
-
 def parse(text: str) -> LanguageConfig:
-    """The subset of YAML these files use: scalars, lists and one level of nesting."""
-    top: dict = {}
-    section = key = None
-    for raw in text.splitlines():
-        line = raw.rstrip()
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        indent, body = len(line) - len(line.lstrip()), line.strip()
-        if body.startswith("- "):
-            where = top if section is None else top.setdefault(section, {})
-            if key is None and section is not None:
-                where = top
-                where[section] = where[section] if isinstance(where.get(section), list) else []
-                where[section].append(_scalar(body[2:]))
-            else:
-                where.setdefault(key, []).append(_scalar(body[2:]))
-            continue
-        name, _, value = body.partition(":")
-        if indent == 0:
-            section, key = (None, name) if value.strip() else (name, None)
-            top[name] = _scalar(value) if value.strip() else {}
-        else:
-            key = name
-            if value.strip():
-                top[section][name] = _scalar(value)
+    top = yaml.parse(text)
+    if not isinstance(top, dict):
+        raise ConfigError("a language configuration is a map")
     chunks = top.get("chunk_mappings") or top.get("chunks") or {}
 
-    def nodes(kind: str) -> tuple[str, ...]:
-        found = chunks.get(kind) or [] if isinstance(chunks, dict) else []
-        return tuple(found if isinstance(found, list) else [found])
+    def listed(value: object) -> tuple[str, ...]:
+        return tuple(str(v) for v in (value if isinstance(value, list) else [value] if value else []))
 
-    extraction = top.get("extraction") if isinstance(top.get("extraction"), dict) else {}
-    extensions = top.get("extensions") or []
+    grammar = (top.get("tree_sitter") or {}).get("grammar") if isinstance(top.get("tree_sitter"), dict) else top.get("grammar")
+    extraction = top.get("extraction") or {}
     return LanguageConfig(
         str(top.get("language") or ""),
-        tuple(str(e).lower() for e in (extensions if isinstance(extensions, list) else [extensions])),
-        str((top.get("tree_sitter") or {}).get("grammar") if isinstance(top.get("tree_sitter"), dict) else top.get("grammar") or ""),
-        nodes("class"),
-        nodes("method"),
+        tuple(e.lower() for e in listed(top.get("extensions"))),
+        str(grammar or ""),
+        listed(chunks.get("class")),
+        listed(chunks.get("method")),
         str(extraction.get("name_field") or "name"),
         top,
     )
@@ -91,7 +62,7 @@ def load(folder: str) -> tuple[list[LanguageConfig], list[str]]:
     for p in sorted(Path(folder).glob("*.y*ml")):
         try:
             good.append(parse(p.read_text()))
-        except (ConfigError, AttributeError, TypeError):
+        except (ConfigError, yaml.YamlError, AttributeError, TypeError):
             bad.append(p.name)
     return good, bad
 
