@@ -14,16 +14,25 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.operators.keyword import FIELDS, Node, Phrase, bm25_part, idf, parse, phrases_of, tokenized
+from trawl.shipping import ship
 from trawl.sources import folders
 
+ship(__name__)
+
 #: Tokens of a folder of postings, and the most folders.
 BUCKET_TOKENS, MOST_BUCKETS = 5_000_000, 4096
 #: Terms that a prefix is written out to; beyond it the rows are filtered by the prefix itself.
 PREFIX_TERMS = 5_000
+#: Terms that are written into a filter; more are joined.
+LISTED_TERMS = 100
 #: Removed chunks (some 30 bytes) that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -32,18 +41,51 @@ def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def bucket_of(term: str, buckets: int) -> int:
+    """The same at the driver."""
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
+POSTING = "term string, chunk_id string, length int, n int, " + ", ".join([*(f"n_{f} int" for f in FIELDS), *(f"p_{f} array<int>" for f in FIELDS)])
+
+
+def _grouped(batches):
+    """Postings of batches of (chunk_id, tokens of each field): a chunk's tokens are in one row, so nothing is shuffled."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            lists = [part.column(1 + i) for i in range(len(FIELDS))]
+            sizes = np.array([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
+            owner = np.concatenate([np.repeat(np.arange(len(part)), n) for n in sizes])
+            field = np.repeat(np.arange(len(FIELDS)), sizes.sum(axis=1))
+            position = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes])
+            terms = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+            code = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            key = owner * max(len(terms.dictionary), 1) + code
+            order = np.lexsort((position, field, key))
+            key, field, position = key[order], field[order], position[order].astype(np.int32)
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
+            counts = [np.bincount(group[field == i], minlength=len(first)).astype(np.int32) for i in range(len(FIELDS))]
+            places = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(position[field == i])) for i, n in enumerate(counts)]
+            row = owner[order][first]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    terms.dictionary.take(pa.array(code[order][first])),
+                    part.column(0).take(pa.array(row)),
+                    pa.array(sizes.sum(axis=0)[row].astype(np.int32)),
+                    pa.array(sum(counts).astype(np.int32)),
+                    *[pa.array(n) for n in counts],
+                    *places,
+                ],
+                ["term", "chunk_id", "length", "n", *[f"n_{f}" for f in FIELDS], *[f"p_{f}" for f in FIELDS]],
+            )
+
+
 def posting_rows(tokens: DataFrame) -> DataFrame:
     """term, chunk_id, length, n (all fields), n_<field> and p_<field> (positions) from tokenized chunks."""
-    length = sum((F.size(f) for f in FIELDS), F.lit(0))
-    fields = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f).alias("tokens")) for i, f in enumerate(FIELDS)])
-    each = (
-        tokens.select("chunk_id", length.alias("length"), F.explode(fields).alias("f"))
-        .select("chunk_id", "length", "f.field", F.posexplode("f.tokens").alias("position", "term"))
-        .groupBy("term", "chunk_id", "length")
-    )
-    own = lambda i, f: F.sort_array(F.collect_list(F.when(F.col("field") == i, F.col("position")))).alias(f"p_{f}")
-    rows = each.agg(F.count("*").cast("int").alias("n"), *[own(i, f) for i, f in enumerate(FIELDS)])
-    return rows.select("term", "chunk_id", "length", "n", *[F.size(f"p_{f}").alias(f"n_{f}") for f in FIELDS], *[f"p_{f}" for f in FIELDS])
+    return tokens.select("chunk_id", *[F.coalesce(f, F.array().cast("array<string>")).alias(f) for f in FIELDS]).mapInArrow(_grouped, POSTING)
 
 
 class Unstored:
@@ -181,10 +223,8 @@ class KeywordIndex:
     def _lengths(self) -> DataFrame:
         return self._live(self._read("lengths", "chunk_id string, length long"))
 
-    _SCHEMA = "term string, chunk_id string, length int, n int, " + ", ".join([*(f"n_{f} int" for f in FIELDS), *(f"p_{f} array<int>" for f in FIELDS)]) + ", bucket int"
-
     def _postings(self) -> DataFrame:
-        return self._read("postings", self._SCHEMA)
+        return self._read("postings", f"{POSTING}, bucket int")
 
     def every(self) -> DataFrame:
         return self._live(self._postings()).drop("bucket", "segment")
@@ -202,13 +242,15 @@ class KeywordIndex:
                 rest.append(p)
             wanted |= {r["term"] for r in found}
         rows = self._postings()
+        if not rest and wanted:
+            rows = rows.filter(F.col("bucket").isin(sorted({bucket_of(t, self.state["buckets"]) for t in wanted})))
+        if not rest and len(wanted) > LISTED_TERMS:
+            # at most PREFIX_TERMS for each prefix, or as many as the caller counted
+            own = F.broadcast(self.spark.createDataFrame([(t,) for t in sorted(wanted)], "term string"))
+            return self._live(rows.join(own, "term", "left_semi")).drop("bucket", "segment")
         hit = F.col("term").isin(sorted(wanted)) if wanted else F.lit(False)
-        if rest:
-            for p in rest:
-                hit = hit | F.col("term").startswith(p)
-        elif wanted:
-            own = self.spark.createDataFrame([(t,) for t in sorted(wanted)], "term string").select(bucket(F.col("term"), self.state["buckets"]).alias("b"))
-            rows = rows.filter(F.col("bucket").isin(sorted({r["b"] for r in own.collect()})))
+        for p in rest:
+            hit = hit | F.col("term").startswith(p)
         return self._live(rows.filter(hit)).drop("bucket", "segment")
 
 
@@ -256,7 +298,8 @@ def search(index: Unstored | KeywordIndex, query: str, limit: int, within: DataF
     if tree is None or limit <= 0:
         return rows.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     counted = _counts(rows, phrases)
-    spread = counted.agg(*[F.count(F.when(F.col(f"tf{i}") > 0, 1)) for i in range(len(phrases))]).first()
+    # one plan: the counts are a subquery that reuses the exchange
+    spread = counted.agg(F.struct(*[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(len(phrases))]).alias("s")).scalar()
 
     def holds(node: Node | Phrase) -> Column:
         if isinstance(node, Phrase):
@@ -265,20 +308,25 @@ def search(index: Unstored | KeywordIndex, query: str, limit: int, within: DataF
         return left & right if node.op == "AND" else left | right if node.op == "OR" else left & ~right
 
     score = F.lit(0.0)
-    for i, n in enumerate(spread):
-        score = score + idf(index.n, F.lit(n)) * bm25_part(F.col(f"tf{i}"), F.col("length"), index.average or 1.0)
+    for i in range(len(phrases)):
+        score = score + idf(index.n, spread[f"n{i}"]) * bm25_part(F.col(f"tf{i}"), F.col("length"), index.average or 1.0)
     found = counted.filter(holds(tree)).select("chunk_id", F.round(score, 6).alias("score"))
     found = found if within is None else found.join(within.select("chunk_id"), "chunk_id", "left_semi")
     return found.orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
-def search_batch(index: Unstored | KeywordIndex, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) for a table of queries (query_id, terms), any term matching.
+def search_batch(index: Unstored | KeywordIndex, queries: DataFrame | list[tuple[int, list[str]]], k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank) for queries (query_id, terms), a table or a short list, any term matching.
 
     The postings are read once, however many queries there are; few terms open their folders only.
     """
-    wanted = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    few = [r["term"] for r in wanted.select("term").distinct().limit(PREFIX_TERMS + 1).collect()]
+    if isinstance(queries, list):
+        pairs = sorted({(q, t) for q, terms in queries for t in terms})
+        few = sorted({t for _, t in pairs})
+        wanted = F.broadcast(index.every().sparkSession.createDataFrame(pairs, "query_id int, term string"))
+    else:
+        wanted = queries.select("query_id", F.explode("terms").alias("term")).distinct()
+        few = [r["term"] for r in wanted.select("term").distinct().limit(PREFIX_TERMS + 1).collect()]
     if len(few) <= PREFIX_TERMS:
         hits = index.rows(few, [])
     else:

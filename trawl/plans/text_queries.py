@@ -60,8 +60,7 @@ select * from (select *, row_number() over (partition by query_id order by score
 
 @query(_bm25("wanted as (select 0 as query_id, unnest(['handler', 'erst', 'thing', 'para']) as term)"))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(0, ["handler", "erst", "thing", "para"])], "query_id int, terms array<string>")
-    return postings.search_batch(keyword_index(spark, sf_dir), asked, 20)
+    return postings.search_batch(keyword_index(spark, sf_dir), [(0, ["handler", "erst", "thing", "para"])], 20)
 
 
 @query(_bm25(f"wanted as (select distinct item_id as query_id, unnest(list_filter({_tokens('text')}, lambda x: x not in ({_STOP}))) as term from benchmark)"))
