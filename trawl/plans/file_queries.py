@@ -113,12 +113,12 @@ a as (select path, list(floor(octet_length(encode(line)) / 3.5)::int order by i)
 w as (select path, s, 0 as k, 0 as b, greatest(1, len(list_filter(range(1, len(s) + 1), lambda j: list_sum(s[1:j::int]) <= 244)))::int as e from a
 union all select path, s, k + 1, n, greatest(n + 1, n + len(list_filter(range(n + 1, len(s) + 1), lambda j: list_sum(s[n + 1:j::int]) <= 244)))::int
 from (select path, s, k, b, e, case when back > b then back else e end::int as n from (select *, len(list_filter(range(1, e), lambda j: list_sum(s[(j + 1)::int:e]) >= 256)) as back from w)) where n < len(s))
-select path, k::int as chunk_index, b + 1 as start_line, e as end_line from w""")
+select path, k::int as chunk_index, b + 1 as start_line, e as end_line, substr(sha256(path || ':method:' || (b + 1) || ':' || e), 1, 32) as chunk_id from w""")
 def method_splitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir).select("chunk_id", "path", F.lit("method").alias("level"), F.lit(1).alias("start_line"), "content")
     windows = chunking.split_methods(rows, 500).filter("is_partial")
     named = rows.select(F.col("chunk_id").alias("parent_chunk_id"), "path")
-    return windows.join(named, "parent_chunk_id").select("path", "chunk_index", "start_line", "end_line")
+    return windows.join(named, "parent_chunk_id").select("path", "chunk_index", "start_line", "end_line", "chunk_id")
 
 
 SNIPPETS = {

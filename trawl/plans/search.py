@@ -127,8 +127,8 @@ def with_parents(results: DataFrame, chunks: DataFrame) -> DataFrame:
     return results.join(F.broadcast(up), "parent_id", "left").orderBy(*order, "chunk_id")
 
 
-def requests(lines: DataFrame) -> DataFrame:
-    """A table of JSON requests (value) as columns; fields that don't parse are null, unknown ones are dropped."""
+def requests(lines: DataFrame, *keys: str) -> DataFrame:
+    """A table of JSON requests (value) as columns beside ``keys``; fields that don't parse are null, unknown ones are dropped."""
     kinds = "query string, limit int, levels array<string>, path_prefix string, scope struct<mode: string, value: string>, hybrid_enabled boolean, rerank_enabled boolean"
-    out = lines.select(F.from_json("value", kinds).alias("r")).select("r.*")
+    out = lines.select(*keys, F.from_json("value", kinds).alias("r")).select(*keys, "r.*")
     return out.withColumn("error", F.when(F.coalesce(F.trim("query"), F.lit("")) == "", "QUERY_EMPTY"))
