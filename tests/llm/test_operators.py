@@ -158,6 +158,59 @@ def test_language_awkward(spark, awkward, empty):
     assert {r.lang_pred for r in langid.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """Scores of given weights: the bias and each distinct word's weight once, over whole texts."""
+    import math
+
+    rng = np.random.default_rng(3)
+    texts = ["Bad bad WORD, word2 été", "x" * 50 + " word " * 5000, "12 !!", "", None, "ein wort und noch ein wort"]
+    words = sorted({w for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower())})
+    weight = dict(zip(words, rng.normal(size=len(words)), strict=True))
+    table_ = np.zeros(1 << toxicity.BITS, np.float32)
+    for w, v in weight.items():
+        (h,) = toxicity.features(w)
+        table_[h] = v
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: r for r in toxicity.score(docs, {"prior": 0.1, "weights": table_, "bias": -0.3}).collect()}
+    for i, t in enumerate(texts):
+        z = -0.3 + sum(np.float64(np.float32(weight[w])) for w in set(re.findall(r"[^\W\d_]+", (t or "").lower())))
+        assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-6 and got[i].predicted == (got[i].score >= 0.5)
+
+
+def test_network_by_brute_force():
+    """Filters of every width at every position, their maxima, softmax, and the mean over windows."""
+    import math
+
+    model = {k: v for k, v in langid._start(3).items() if k != "mask"}
+    text = "Ein kurzer Satz é " * 30
+    raw = langid.to_bytes(text)
+    stride, total, n = langid.WINDOW - (langid.WIDEST - 1), np.zeros(3), 0
+    while n == 0 or n * stride < len(raw) - (langid.WIDEST - 1):
+        window = raw[n * stride : n * stride + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+        h = np.full(model["conv"].shape[1], -np.inf)
+        for at in range(langid.WINDOW - langid.WIDEST + 1):
+            x = np.concatenate([model["embed"][b] for b in window[at : at + langid.WIDEST]])
+            h = np.maximum(h, x @ model["conv"])
+        z = np.maximum(h + model["bias"], 0) @ model["out"] + model["out_bias"]
+        total += z - math.log(sum(math.exp(v) for v in z))
+        n += 1
+    p = np.exp(total / n)
+    assert np.allclose(langid.predict(model, [text])[0], p / p.sum(), atol=1e-4)
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    """However the ids fall: one id for all rows, and more rows than the bound."""
+    monkeypatch.setattr(toxicity, "POSITIVES", 5)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 10)
+    texts = spark.createDataFrame([(1, f"text number {i} of them") for i in range(500)], "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    assert len(toxicity._sample(texts, 10)) == 10
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 5)
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = [(i, "ein text auf deutsch oder so", ("de", "en", "fr")[i % 7 % 3]) for i in range(400)]
+    langs, model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == ["de", "en"] and model["out"].shape[1] == 2
+
+
 def test_windows_cover_the_text():
     for n in (0, 1, 5, 255, 256, 257, 509, 5000):
         raw = bytes(i % 250 + 1 for i in range(n))

@@ -6,7 +6,9 @@ Words are lower-cased (A-Z). With corpus counts c and N words in all, a word is
     ALPHA * c(w) / N      otherwise;      c(w) / N for a text's first word,
 
 and a document's score is the sum of the natural logarithms. The counts come from all
-documents. Order 2; the tables hold unigrams and pairs.
+documents, the scored one included, so that every pair occurs once at least; MIN_COUNT = 2 is
+thus the rule "seen anywhere else", and 1 the plain one, by which nothing is ever backed off
+within the corpus. Order 2; the tables hold unigrams and pairs.
 
 Exploded pairs are dealt by a hash of their first word, so one partition holds both c(v w)
 and c(v): the count tables and their join need one exchange. Pairs travel in packed
