@@ -137,8 +137,18 @@ def test_batch_equals_single(spark):
         assert [got[q, i + 1] for i in range(7)] == [r.chunk_id for r in vector.knn(df.filter("embedding is not null"), v, 7).collect()]
 
 
+def test_queries_in_blocks(spark):
+    rows = [(i, [float(i % 17), float(i % 5)]) for i in range(120)] + [(500, None)]
+    df = spark.createDataFrame(rows, "chunk_id int, embedding array<float>")
+    asked = df.select(F.col("chunk_id").alias("query_id"), "embedding").filter("query_id % 3 = 0 or query_id = 500")
+    key = lambda out: sorted((r.query_id, r["rank"], r.chunk_id) for r in out.collect())
+    want = key(vector.knn_many(df, asked, 4))
+    assert len(want) == 160 and key(vector.knn_many(df, asked, 4, block=7)) == want
+    assert vector.knn_many(df, asked.limit(0), 4).count() == 0
+
+
 def test_request_checks(spark):
-    with pytest.raises(RequestError, match="empty"):
+    with pytest.raises(RequestError, match="QUERY_EMPTY"):
         SearchRequest(" ", [0.0]).checked(Config())
     with pytest.raises(RequestError):
         SearchRequest("x", [0.0], path_prefix="a", subproject="b").checked(Config())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,9 @@ from trawl.shipping import ship
 
 ship(__name__)
 
+#: Queries that are collected and shipped at a time, in expectation.
+QUERY_BLOCK = 4096
+
 
 def with_distance(vectors: DataFrame, query: list[float], column: str = "embedding") -> DataFrame:
     return vectors.withColumn("distance", F.round(l2_distance(F.col(column), literal(query)), 6))
@@ -51,7 +56,7 @@ def knn_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int
     of the survivors are computed exactly, by differences.
     """
     ids = np.array([q for q, _ in queries], dtype=np.int64)
-    matrix = np.array([v for _, v in queries], dtype=np.float64).reshape(len(ids), -1)
+    matrix = np.array([v for _, v in queries], dtype=np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
     squares = (matrix**2).sum(axis=1)
 
     def nearest(batches):
@@ -75,3 +80,21 @@ def knn_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int
     found = found.withColumn("distance", F.round("distance", 6))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def knn_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """``knn_batch`` for a table of queries (query_id, embedding) of any size.
+
+    Queries are dealt to blocks by a hash of their id, and only one block at a time is
+    collected and shipped; each block reads the vectors once.
+    """
+    asked = queries.filter("embedding is not null")
+    blocks = max(1, -(-asked.count() // block))
+    parts = []
+    for b in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").collect()
+        if rows:
+            parts.append(knn_batch(vectors, [(r["query_id"], list(r["embedding"])) for r in rows], k, key))
+    if not parts:
+        return knn_batch(vectors.limit(0), [], k, key)
+    return reduce(DataFrame.unionByName, parts)

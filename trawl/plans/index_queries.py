@@ -110,12 +110,12 @@ def embeddings_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with d as (select doc_id, sha256(text) as h from documents),
 r as (select doc_id, list_transform(range(0, 24), lambda i: ('0x' || substr(h, (2 * (i % 32) + 1)::int, 2))::int / 255.0 * 0.5 + i / 24.0 * 0.5) as raw from d)
-select doc_id, list_transform(raw, lambda x: round(10000 * x / sqrt(list_inner_product(raw, raw)))::int) as embedding from r""")
+select doc_id, list_transform(raw, lambda x: round(100 * x / sqrt(list_inner_product(raw, raw)))::int) as embedding from r""")
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embedding backend over Arrow batches."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     out = embedders.embed_column(rows, embedders.MockEmbedder(24))
-    return out.select("doc_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x * 10000).cast("int")).alias("embedding"))
+    return out.select("doc_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x * 100).cast("int")).alias("embedding"))
 
 
 @query("""select item_id, trim(regexp_replace(text, '["\\\\]', '', 'g')) as query, (item_id % 20)::int as "limit", case when item_id % 2 = 0 then 'src' end as value,

@@ -32,8 +32,8 @@ r as (select *, row_number() over (partition by query_id order by distance, vec_
 select query_id, vec_id, distance, rank from r where rank <= 10""")
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = table(spark, sf_dir, "embeddings")
-    asked = [(r["vec_id"], list(r["embedding"])) for r in every.filter("vec_id % 100 = 0").collect()]
-    return vector.knn_batch(every, asked, K, "vec_id").select("query_id", "vec_id", "distance", "rank")
+    asked = every.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector.knn_many(every, asked, K, "vec_id").select("query_id", "vec_id", "distance", "rank")
 
 
 @query(f"""with {CORPUS_SQL}, {_Q}, {_EMB} select chunk_id, level, path, {_DIST} as distance from emb, q
