@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF, TINY, compare
 from trawl.llm import backoff, decontaminate, htmlmain, langid, linededup, minhash, mixing, quality, queries, simhash, toxicity, urlfilter
+from trawl.llm import base
+from trawl.llm import components as components_
 from trawl.llm.base import Scratch
 from trawl.llm.components import components
 
@@ -689,7 +691,11 @@ def test_lines_awkward(spark, awkward, empty):
     assert linededup.dedup_lines(empty, spark).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_components(spark, bound, monkeypatch):
+    """With and without broadcasts."""
+    monkeypatch.setattr(components_, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(base, "BROADCAST_ROWS", bound)
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 160)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(150)] + [(5, 5), (1, 0), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}

@@ -11,16 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.base import Scratch, small
+from trawl.llm.base import BROADCAST_ROWS, Scratch, small
 
 
-def _parents(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(at, top): the smallest smaller neighbour of every node.
+def _parents(edges: DataFrame, few: bool, scratch: Scratch, name: str) -> DataFrame:
+    """(at, top): the smallest smaller neighbour of every node; broadcast if there are ``few`` edges.
 
-    Written, so that beyond the broadcast bound both sides of its joins are exchanged for the
+    Beyond that bound it is written, so that both sides of its joins are exchanged for the
     join alone and Spark can split a hub's edges over tasks.
     """
-    return small(scratch.save(edges.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("top")), name))
+    up = edges.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("top"))
+    return F.broadcast(up) if few else small(scratch.save(up, name))
 
 
 def _large_star(edges: DataFrame, up: DataFrame) -> DataFrame:
@@ -50,6 +51,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         if seen == state or seen[0] == 0:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         state, round_ = seen, round_ + 1
-        large = scratch.save(_large_star(now, _parents(now, scratch, f"{name}-up")), f"{name}-large")
-        now = scratch.save(_small_star(large, _parents(large, scratch, f"{name}-down")), f"{name}-{round_}")
-        scratch.drop(f"{name}-{round_ - 1}", f"{name}-up", f"{name}-large", f"{name}-down")
+        few = seen[0] <= BROADCAST_ROWS  # parents are no more than edges
+        large = _large_star(now, _parents(now, few, scratch, f"{name}-up"))
+        large = large if few else scratch.save(large, f"{name}-large")
+        now = scratch.save(_small_star(large, _parents(large, few, scratch, f"{name}-down")), f"{name}-{round_}")
+        scratch.drop(*[n for n in (f"{name}-{round_ - 1}", f"{name}-up", f"{name}-large", f"{name}-down") if n in scratch.paths])
