@@ -18,15 +18,15 @@ STATE_DIR = ".trawl"
 MAX_FILE_SIZE = 1 << 20
 # Languages by file extension.
 EXTENSIONS = {
-    "bash": ".sh .bash .bashrc .zsh .zshrc", "c": ".c .h", "cpp": ".cpp .cc .cxx .hpp .hh .hxx .h++", "csharp": ".cs",
-    "css": ".css", "cue": ".cue", "dockerfile": ".dockerfile", "elixir": ".ex .exs", "elm": ".elm", "go": ".go",
-    "groovy": ".groovy .gradle", "hcl": ".hcl .tf .tfvars", "html": ".html .htm", "java": ".java",
-    "javascript": ".js .mjs .cjs", "jsx": ".jsx", "kotlin": ".kt .kts", "lua": ".lua", "markdown": ".md .markdown .mdx",
-    "ocaml": ".ml .mli", "php": ".php .phtml .php3 .php4 .php5 .phps", "protobuf": ".proto", "python": ".py .pyi .pyw",
-    "ruby": ".rb .rake .gemspec", "rust": ".rs", "scala": ".scala .sc", "sql": ".sql", "svelte": ".svelte",
-    "swift": ".swift", "toml": ".toml", "tsx": ".tsx", "typescript": ".ts .mts .cts", "yaml": ".yaml .yml",
+    "bash": [".sh", ".bash", ".bashrc", ".zsh", ".zshrc"], "c": [".c", ".h"], "cpp": [".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx", ".h++"],
+    "csharp": [".cs"], "css": [".css"], "cue": [".cue"], "dockerfile": [".dockerfile"], "elixir": [".ex", ".exs"], "elm": [".elm"], "go": [".go"],
+    "groovy": [".groovy", ".gradle"], "hcl": [".hcl", ".tf", ".tfvars"], "html": [".html", ".htm"], "java": [".java"],
+    "javascript": [".js", ".mjs", ".cjs"], "jsx": [".jsx"], "kotlin": [".kt", ".kts"], "lua": [".lua"], "markdown": [".md", ".markdown", ".mdx"],
+    "ocaml": [".ml", ".mli"], "php": [".php", ".phtml", ".php3", ".php4", ".php5", ".phps"], "protobuf": [".proto"], "python": [".py", ".pyi", ".pyw"],
+    "ruby": [".rb", ".rake", ".gemspec"], "rust": [".rs"], "scala": [".scala", ".sc"], "sql": [".sql"], "svelte": [".svelte"], "swift": [".swift"],
+    "toml": [".toml"], "tsx": [".tsx"], "typescript": [".ts", ".mts", ".cts"], "yaml": [".yaml", ".yml"],
 }
-LANGUAGE_OF = {ext: lang for lang, exts in EXTENSIONS.items() for ext in exts.split()}
+LANGUAGE_OF = {ext: lang for lang, exts in EXTENSIONS.items() for ext in exts}
 #: directories that language detection skips, besides hidden ones
 DETECT_SKIPS = ["node_modules", "vendor", "dist", "build"]
 MINIFIED_ENDS = [".min.js", ".min.css", ".bundle.js", ".bundle.css"]

@@ -9,12 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no search intent.
-STOPWORDS = """
-the a an and or but in on at to for of with by is it this that be as are was were been being have has had do does did
-will would could should may might must shall can i you he she we they me him her us them my your his its our their
-what which who when where how all each every both few more most other some such no not only same so than too very
-just also now here there then
-""".split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "it", "this", "that", "be", "as", "are", "was",
+    "were", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "i",
+    "you", "he", "she", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "what", "which", "who", "when",
+    "where", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "not", "only", "same", "so", "than", "too",
+    "very", "just", "also", "now", "here", "there", "then",
+]
 #: Word of a query: letters, digits and underscores of any script.
 QUERY_WORD = r"[\p{L}\p{N}_]+"
 PHRASE = r'"([^"]+)"'

@@ -68,7 +68,7 @@ def load(folder: str) -> tuple[list[LanguageConfig], list[str]]:
 
 
 def builtin() -> list[LanguageConfig]:
-    return [LanguageConfig(lang, tuple(exts.split()), lang) for lang, exts in EXTENSIONS.items()]
+    return [LanguageConfig(lang, tuple(exts), lang) for lang, exts in EXTENSIONS.items()]
 
 
 def as_table(spark: SparkSession, configs: list[LanguageConfig]) -> DataFrame:
