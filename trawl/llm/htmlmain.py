@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -524,7 +525,9 @@ def labelled(source: str) -> tuple[Page, list[int]]:
     return page, y
 
 
+@cache
 def train() -> dict:
+    """The model; it depends on this module's constants only, so a session fits it once."""
     rng, xs, ys = random.Random(SEED), [], []
     for _ in range(TRAINING_PAGES):
         page, y = labelled(layout(rng))
