@@ -1,5 +1,6 @@
 """Every registered query against its SQL oracle."""
 
+import duckdb
 import pytest
 
 from tests.conftest import TINY, compare
@@ -23,6 +24,13 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_embed_batches_beside_halves(spark, tmp_path):
+    """Texts with an element so near a half that its float rounds to the other side."""
+    rows = ", ".join(f"({i}, 'text {i}')" for i in (92701, 289064, 298803, 386500))
+    duckdb.sql(f"copy (select * from (values {rows}) as t(doc_id, text)) to '{tmp_path}/documents.parquet'")
+    compare(catalogue.QUERIES["embed_batches"](spark, str(tmp_path)), catalogue.ORACLES["embed_batches"], str(tmp_path))
+
+
 def test_topk_is_a_heap_per_partition(spark):
     plan = catalogue.QUERIES["vector_topk"](spark, TINY)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan

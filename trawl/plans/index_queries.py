@@ -114,8 +114,8 @@ select doc_id, list_transform(raw, lambda x: round(100 * x / sqrt(list_inner_pro
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embedding backend over Arrow batches."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    out = embedders.embed_column(rows, embedders.MockEmbedder(24))
-    return out.select("doc_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x * 100).cast("int")).alias("embedding"))
+    out = embedders.embed_column(rows, embedders.MockEmbedder(24), element="double")
+    return out.select("doc_id", F.transform("embedding", lambda x: F.round(x * 100).cast("int")).alias("embedding"))
 
 
 @query("""select item_id, trim(regexp_replace(text, '["\\\\]', '', 'g')) as query, (item_id % 20)::int as "limit", case when item_id % 2 = 0 then 'src' end as value,
