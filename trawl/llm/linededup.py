@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import minhash
+from trawl.llm import minhash, runs
 from trawl.llm.base import BROADCAST_ROWS, Scratch, fresh, let, small
 from trawl.llm.components import components
 
@@ -38,11 +38,8 @@ ALL_PAIRS = 16
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _names(bands: tuple[int, int]) -> list[str]:
-    return [f"k{i}" for i in range(2 * bands[0])]
-
-
-#: Runs of characters; what a measure is, see ``minhash``.
+#: Runs of characters at every position; ``CHARACTERS`` is the same measure in numpy, which tests compare with it.
+RUNS = runs.Characters(SHINGLE, NUM, DEN)
 CHARACTERS = minhash.characters(SHINGLE)
 
 
@@ -57,49 +54,41 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _verify(pairs: DataFrame, lines: DataFrame, measure: tuple) -> DataFrame:
+def _verify(pairs: DataFrame, lines: DataFrame, measure) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard similarity is NUM / DEN or more."""
     left = lines.select(F.col("id").alias("a"), F.col("line").alias("x"))
     right = lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a.d1", "a.d2", F.col("b.d1").alias("e1"), F.col("b.d2").alias("e2"), "x", "y")
-    near = both.mapInArrow(minhash.similar(measure, NUM, DEN), "d1 long, d2 long, e1 long, e2 long")
-    return near.select(F.struct("d1", "d2").alias("a"), F.struct(F.col("e1").alias("d1"), F.col("e2").alias("d2")).alias("b"))
-
-
-def sign(lines: DataFrame, measure: tuple, bands: tuple[int, int] = minhash.COARSE) -> DataFrame:
-    """Every line's place, id and band keys, in flat columns."""
-    flat, keys = lines.select("at.*", "id.*", "line"), _names(bands)
-    own = [f for f in flat.schema.fields if f.name != "line"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), *(f"{k} long" for k in keys)])
-    names = [*(f.name for f in own), *keys]
-    signed = flat.mapInArrow(minhash.signed(measure, bands, flat.columns.index("line"), names), schema)
-    places = [f.name for f in own if f.name not in ("d1", "d2")]
-    return signed.select(F.struct(*places).alias("at"), F.struct("d1", "d2").alias("id"), *keys)
-
-
-def _meetings(signed: DataFrame, bands: tuple[int, int], scratch: Scratch, name: str) -> DataFrame:
-    """(key, id, size, rep): the lines of each key that different lines share, their number and the commonest."""
-    exploded = signed.select("id", F.explode(F.array(*_names(bands))).alias("key")).filter("key is not null")
-    shared = exploded.groupBy("key").agg(F.min("id.d1").alias("x"), F.max("id.d1").alias("y")).filter("x <> y").select("key")
-    shared = scratch.save(shared, f"{name}-shared")
-    met = exploded.join(small(shared), "key").groupBy("key", "id").agg(F.count("*").alias("n"))
-    met = scratch.save(met, f"{name}-met")
-    buckets = met.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("n", "id"))["id"].alias("rep"))
-    return scratch.save(met.join(small(scratch.save(buckets, f"{name}-buckets")), "key").drop("n"), f"{name}-sized")
-
-
-def _candidates(met: DataFrame) -> DataFrame:
-    """Pairs (a, b): every line with the commonest of its bucket, and all pairs of small buckets."""
-    star = met.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    few = met.filter(F.col("size") <= ALL_PAIRS)
+    return measure.similar(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"))
+
+
+def distinct(lines: DataFrame) -> DataFrame:
+    """(id, line, n): different lines and their number."""
+    return lines.groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("n"))
+
+
+def _meetings(keyed: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(key, id) of the keys that 2 to ``ALL_PAIRS`` lines share, and (key, id, rep) of those more share, with the commonest line."""
+    keys = [c for c in keyed.columns if c not in ("id", "n")]
+    exploded = keyed.select("id", "n", F.explode(F.array(*keys)).alias("key")).filter("key is not null")
+    shared = scratch.save(exploded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), f"{name}-shared")
+    met = scratch.save(exploded.join(small(shared), "key"), f"{name}-met")
+    many = met.filter(F.col("size") > ALL_PAIRS)
+    reps = scratch.save(many.groupBy("key").agg(F.max(F.struct("n", "id"))["id"].alias("rep")), f"{name}-reps")
+    many = scratch.save(many.select("key", "id").join(small(reps), "key"), f"{name}-many")
+    return met.filter(F.col("size") <= ALL_PAIRS).select("key", "id"), many
+
+
+def _candidates(few: DataFrame, many: DataFrame) -> DataFrame:
+    """Pairs (a, b): all of small buckets, and every line of the others with its bucket's commonest."""
+    star = many.filter("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
     every = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
-    return star.union(every).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return star.union(every).distinct()
 
 
-def _apart(met: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _apart(many: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, own, out): the lines of large buckets that hold several components, their component, and whether it isn't the commonest's somewhere."""
     own = roots.select(F.col("node").alias("id"), F.col("root").alias("own"))
-    named = met.filter(F.col("size") > ALL_PAIRS).select("key", "id", "rep").join(small(own), "id", "left")
+    named = many.join(small(own), "id", "left")
     named = named.join(small(own).select(F.col("id").alias("rep"), F.col("own").alias("reps")), "rep", "left")
     named = named.select("key", "id", F.coalesce("own", "id").alias("own"), F.coalesce("reps", "rep").alias("reps"))
     named = scratch.save(named, f"{name}-named")
@@ -113,51 +102,46 @@ def _linked(links: DataFrame, roots: DataFrame, scratch: Scratch, name: str) ->
     return roots if links.isEmpty() else components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, name)
 
 
-def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch, measure: tuple) -> DataFrame:
-    """(id, root) for linked lines other than the roots of their components."""
-    met = _meetings(signed, minhash.COARSE, scratch, "coarse")
-    ids = scratch.save(met.select("id").distinct(), "ids")
-    lines = lines.select("id", "line").join(small(ids), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    lines = scratch.save(lines, "lines")
-    roots = components(scratch.save(_verify(_candidates(met), lines, measure), "links"), scratch, "coarse")
+def line_components(lines: DataFrame, scratch: Scratch, measure) -> DataFrame:
+    """(id, root) for linked lines, of ``distinct`` ones, other than the roots of their components."""
+    few, many = _meetings(measure.keyed(lines, runs.COARSE, scratch, "coarse-keys"), scratch, "coarse")
+    pairs = scratch.save(_candidates(few, many), "pairs")
+    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    lines = scratch.save(lines.join(small(ids), "id", "left_semi"), "met-lines")
+    roots = components(scratch.save(_verify(pairs, lines, measure), "links"), scratch, "coarse")
 
     # lines of large buckets that aren't in one component are told apart by longer bands
-    about = _apart(met, roots, scratch, "coarse")
+    about = _apart(many, roots, scratch, "coarse")
     if about.isEmpty():
         return roots
-    rest = lines.join(small(about.select("id")), "id", "left_semi").select(F.struct(F.lit(0).alias("none")).alias("at"), "id", "line")
-    finer = scratch.save(sign(rest, measure, minhash.FINE), "finer", {"parquet.enable.dictionary": "false"})
-    met = _meetings(finer, minhash.FINE, scratch, "fine")
+    rest = lines.join(small(about.select("id")), "id", "left_semi")
+    few, many = _meetings(measure.keyed(rest, runs.FINE, scratch, "fine-keys"), scratch, "fine")
     own = about.select("id", "own")
-    pairs = _candidates(met).join(small(own.select(F.col("id").alias("a"), F.col("own").alias("u"))), "a")
+    pairs = _candidates(few, many).join(small(own.select(F.col("id").alias("a"), F.col("own").alias("u"))), "a")
     pairs = pairs.join(small(own.select(F.col("id").alias("b"), F.col("own").alias("v"))), "b").filter("u <> v").select("a", "b")
     roots = _linked(scratch.save(_verify(pairs, lines, measure), "more"), roots, scratch, "fine")
 
     # what still shares a large bucket without a link meets by prefix filtering
-    about = _apart(met, roots, scratch, "fine")
+    about = _apart(many, roots, scratch, "fine")
     if about.isEmpty():
         return roots
     pairs = _prefix_pairs(lines.join(small(about), "id"), scratch, measure)
     return _linked(scratch.save(_verify(pairs, lines, measure), "last"), roots, scratch, "last")
 
 
-def _prefix_pairs(lines: DataFrame, scratch: Scratch, measure: tuple) -> DataFrame:
+def _prefix_pairs(lines: DataFrame, scratch: Scratch, measure) -> DataFrame:
     """Pairs (a, b) of different components, one of them ``out``, that may be similar.
 
     Two sets of n and m shingles and similarity t share at least o = t / (1 + t) * (n + m);
     with shingles ordered from rare to frequent, the first one they share is thus among the
     first n - o + 1 of one and the first m - o + 1 of the other.
     """
-    flat = lines.select("id.*", F.col("own.d1").alias("o1"), F.col("own.d2").alias("o2"), "out", "line")
-    names = [*flat.columns[:-1], "n", "h"]
-    flat = flat.mapInArrow(minhash.shingled(measure, len(names) - 2, names), "d1 long, d2 long, o1 long, o2 long, out boolean, n long, h long")
-    own = F.struct(F.col("o1").alias("d1"), F.col("o2").alias("d2")).alias("own")
-    flat = scratch.save(flat.select(F.struct("d1", "d2").alias("id"), own, "out", F.col("n").cast("int").alias("n"), "h"), "flat")
+    flat = scratch.save(measure.shingles(lines, "id", "own", "out"), "flat")
     # written, so that the join can split a frequent digest over tasks
     spread = small(scratch.save(flat.groupBy("h").agg(F.count("*").alias("df")), "spread"))
     order = F.array_sort(F.collect_list(F.struct("df", "h")))
     length = F.col("n") - F.ceil(NUM * F.col("n") / DEN).cast("int") + 1
-    ranked = flat.join(spread, "h").groupBy("id", "own", "out", "n").agg(order.alias("all"))
+    ranked = flat.join(spread, "h").groupBy("id", "own", "out").agg(order.alias("all")).withColumn("n", F.size("all"))
     prefix = ranked.select("id", "own", "out", "n", F.posexplode(F.slice("all", F.lit(1), length)).alias("pos", "x"))
     prefix = scratch.save(prefix.select("id", "own", "out", "n", "pos", "x.h"), "prefix")
     x = prefix.filter("out").select("h", *[F.col(c).alias(f"{c}_a") for c in ("id", "own", "n", "pos")])
@@ -168,13 +152,13 @@ def _prefix_pairs(lines: DataFrame, scratch: Scratch, measure: tuple) -> DataFra
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def dropped(signed: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """Places of the lines that go: all of a component but the first."""
+def dropped(places: DataFrame, lines: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of ``places`` (at, id) those of the lines that go: all of a component but the first."""
     linked = roots.select(F.col("node").alias("id"), "root").union(roots.select(F.col("root").alias("id"), "root").distinct())
-    repeated = signed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    repeated = lines.filter("n > 1").select("id")
     alone = repeated.join(linked.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))
     tied = scratch.save(linked.union(alone), "tied")
-    places = scratch.save(signed.select("at", "id").join(small(tied), "id").select("at", "root"), "places")
+    places = scratch.save(places.join(small(tied), "id").select("at", "root"), "places")
     first = scratch.save(places.groupBy("root").agg(F.min("at").alias("keep")), "first")
     return places.join(small(first), "root").filter("at <> keep").select("at")
 
@@ -184,10 +168,11 @@ def dedup_lines(docs: DataFrame, spark: SparkSession) -> DataFrame:
     scratch = Scratch(spark)
     lines = _lines(docs)
     # digests don't repeat enough for dictionaries
-    signed = scratch.save(sign(lines, CHARACTERS), "signed", {"parquet.enable.dictionary": "false"})
-    roots = scratch.save(line_components(lines, signed, scratch, CHARACTERS), "roots")
+    places = scratch.save(lines.select("at", "id"), "all-places", {"parquet.enable.dictionary": "false"})
+    lines = scratch.save(distinct(lines), "lines", {"parquet.enable.dictionary": "false"})
+    roots = scratch.save(line_components(lines, scratch, RUNS), "roots")
     doc, th, gone = fresh(docs, "doc", "th", "gone")
-    out = dropped(signed, roots, scratch).groupBy(F.col("at.doc_id").alias(doc), F.col("at.th").alias(th))
+    out = dropped(places, lines, roots, scratch).groupBy(F.col("at.doc_id").alias(doc), F.col("at.th").alias(th))
     out = scratch.save(out.agg(F.collect_set("at.line_no").alias(gone)), "dropped")
     n, most = out.agg(F.count("*"), F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()
     out = F.broadcast(out) if n + most <= BROADCAST_ROWS else out

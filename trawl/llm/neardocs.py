@@ -10,14 +10,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import linededup, minhash
+from trawl.llm import linededup, minhash, runs
 from trawl.llm.base import Scratch, fresh
 
 SHINGLE = 5
 
 
-#: Runs of words, A-Z lower-cased.
-WORDS = minhash.word_runs(SHINGLE)
+class Words:
+    """The runs of words of ``line``, A-Z lower-cased, in numpy over Arrow batches."""
+
+    def __init__(self, measure: tuple, num: int, den: int):
+        self.measure, self.num, self.den = measure, num, den
+
+    def keyed(self, lines: DataFrame, bands: tuple[int, int], scratch: Scratch, name: str) -> DataFrame:
+        """(id, n, k0, k1, ...) of (id, n, line)."""
+        bands = minhash.COARSE if bands == runs.COARSE else minhash.FINE
+        names = ["d1", "d2", "n", *[f"k{i}" for i in range(2 * bands[0])]]
+        flat = lines.select("id.d1", "id.d2", "n", "line")
+        signed = flat.mapInArrow(minhash.signed(self.measure, bands, 3, names), ", ".join(f"{c} long" for c in names))
+        signed = scratch.save(signed, name, {"parquet.enable.dictionary": "false"})
+        return signed.select(F.struct("d1", "d2").alias("id"), *names[2:])
+
+    def similar(self, both: DataFrame) -> DataFrame:
+        """The pairs (a, b) of (a, b, x, y) whose exact Jaccard similarity is num / den or more."""
+        flat = both.select("a.d1", "a.d2", F.col("b.d1").alias("e1"), F.col("b.d2").alias("e2"), "x", "y")
+        near = flat.mapInArrow(minhash.similar(self.measure, self.num, self.den), "d1 long, d2 long, e1 long, e2 long")
+        return near.select(F.struct("d1", "d2").alias("a"), F.struct(F.col("e1").alias("d1"), F.col("e2").alias("d2")).alias("b"))
+
+    def shingles(self, lines: DataFrame, *names: str) -> DataFrame:
+        """Columns ``names`` and h: the distinct digests of each line."""
+        rest = lines.select(*names, "line")
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields[:-1]), "n long, h long"])
+        return rest.mapInArrow(minhash.shingled(self.measure, len(names), [*names, "n", "h"]), schema).drop("n")
+
+
+WORDS = Words(minhash.word_runs(SHINGLE), linededup.NUM, linededup.DEN)
 
 
 def keep_one(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -26,10 +53,11 @@ def keep_one(docs: DataFrame, spark: SparkSession) -> DataFrame:
     id_ = F.struct(F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), F.col("text")).alias("d2")).alias("id")
     at = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.xxhash64("text").alias("th")).alias("at")
     texts = docs.select(at, id_, F.coalesce("text", F.lit("")).alias("line"))
-    signed = scratch.save(linededup.sign(texts, WORDS), "signed")
-    roots = scratch.save(linededup.line_components(texts, signed, scratch, WORDS), "roots")
+    places = scratch.save(texts.select("at", "id"), "all-places")
+    lines = scratch.save(linededup.distinct(texts), "lines")
+    roots = scratch.save(linededup.line_components(lines, scratch, WORDS), "roots")
     doc, th = fresh(docs, "doc", "th")
-    gone = scratch.save(linededup.dropped(signed, roots, scratch), "gone").select(F.col("at.doc_id").alias(doc), F.col("at.th").alias(th)).distinct()
+    gone = scratch.save(linededup.dropped(places, lines, roots, scratch), "gone").select(F.col("at.doc_id").alias(doc), F.col("at.th").alias(th)).distinct()
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone[doc]) & F.xxhash64(docs["text"]).eqNullSafe(gone[th]), "left_anti")
-    repeated = signed.groupBy("at").count().filter("count > 1")
+    repeated = places.groupBy("at").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
