@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import SF, TINY, compare
-from trawl.llm import backoff, decontaminate, htmlmain, langid, linededup, minhash, mixing, quality, queries, simhash, toxicity, urlfilter
+from trawl.llm import backoff, decontaminate, htmlmain, langid, linededup, minhash, mixing, quality, queries, runs, simhash, toxicity, urlfilter
 from trawl.llm import base
 from trawl.llm import components as components_
 from trawl.llm.base import Scratch
@@ -684,6 +684,59 @@ def test_overlaps_and_signatures(piece, monkeypatch):
         assert (n, m) == (len(a & b), len(a | b))
 
 
+def test_lines_without_python(spark, monkeypatch):
+    """No plan of line dedup, prefix filtering included, runs Python on the executors."""
+    plans, save = [], linededup.Scratch.save
+
+    def noted(self, df, name, options=None):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return save(self, df, name, options)
+
+    monkeypatch.setattr(linededup.Scratch, "save", noted)
+    monkeypatch.setattr(linededup, "ALL_PAIRS", 2)
+    out = linededup.dedup_lines(table(spark, line_fixture()), spark)
+    plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+    assert {"lines", "links", "dropped", "out"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if re.search("InArrow|InPandas|Python|ArrowEval", plan)]
+
+
+@pytest.mark.parametrize("long", [1 << 16, 20])
+def test_runs(spark, long, monkeypatch):
+    """Lines in pieces, compared by arrays or by exploded digests: as by brute force."""
+    monkeypatch.setattr(runs, "PIECE", 7)
+    monkeypatch.setattr(runs, "LONG", long)
+    rng = random.Random(4)
+    xs = ["".join(rng.choice("ab \u00e9\U0001f600") for _ in range(rng.choice((0, 1, 9, 10, 11, 17, 60, 200)))) for _ in range(150)]
+    ys = [x[: len(x) // 2] + rng.choice(("", "", "X", "XY")) + x[len(x) // 2 :] for x in xs]
+    both = spark.createDataFrame([(i, -i, x, y) for i, (x, y) in enumerate(zip(xs, ys, strict=True))], "a long, b long, x string, y string")
+    sets = [(character_runs(x), character_runs(y)) for x, y in zip(xs, ys, strict=True)]
+    want = {(i, -i) for i, (x, y) in enumerate(sets) if 5 * len(x & y) >= 4 * len(x | y)}
+    assert {(r.a, r.b) for r in linededup.RUNS.similar(both).collect()} == want
+    found = linededup.RUNS.shingles(both.select("a", F.col("x").alias("line")), "a").groupBy("a").count().collect()
+    assert {r.a: r["count"] for r in found} == {i: len(x) for i, (x, _) in enumerate(sets)}
+
+
+@pytest.mark.parametrize("bands", [runs.COARSE, runs.FINE])
+@pytest.mark.parametrize("least, most", [(30, 100), (100, 400)])
+def test_key_recall(spark, bands, least, most):
+    """Pairs of similarity 0.8 to 0.85 share a key, short ones too."""
+    rng, rows, n = random.Random(2), [], 0
+    while n < 2000:
+        x = "".join(rng.choice("abcdefghijklm ") for _ in range(rng.randint(least, most)))
+        y = list(x)
+        for k in {0} if least < 100 else rng.sample(range(len(x)), max(1, len(x) // 90)):
+            y[k if least >= 100 else rng.randrange(-3, 3)] = "X"
+        a, b = character_runs(x), character_runs("".join(y))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            rows += [(n, 0, x), (n, 1, "".join(y))]
+            n += 1
+    lines = spark.createDataFrame(rows, "d1 long, d2 long, line string").select(F.struct("d1", "d2").alias("id"), F.lit(1).cast("long").alias("n"), "line")
+    keyed = linededup.RUNS.keyed(lines, bands, Scratch(spark), "keys")
+    keys = keyed.select("id.*", F.explode(F.array(*[f"k{i}" for i in range(bands[0])])).alias("key")).filter("key is not null").distinct()
+    met = keys.groupBy("d1", "key").count().filter("count = 2").select("d1").distinct().count()
+    assert met >= 0.99 * n, met
+
+
 def test_lines_awkward(spark, awkward, empty):
     out = linededup.dedup_lines(awkward, spark).collect()
     assert len(out) == len(AWKWARD) and [r.text for r in out if r.doc_id == 1] == [None]
