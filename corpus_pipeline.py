@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate component: those op9 finds, then 5-word shingles of similarity 0.8 or more."""
-    return neardocs.keep_one(Scratch(spark).save(simhash.keep_one(docs, spark), "op9"), spark)
+    return neardocs.keep_one(simhash.keep_one(docs, spark), spark)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import TINY
 from tests.llm.test_operators import AWKWARD, DOCS
-from trawl.llm import decontaminate, simhash
+from trawl.llm import decontaminate, neardocs, simhash
 from trawl.llm.base import Scratch
 
 
@@ -53,3 +53,41 @@ def test_near_copies_of_similarity_0_8_go(spark):
     bits = [simhash.fingerprint(" ".join(t)) for t in (text, near)]
     assert ((bits[0] ^ bits[1]) & ((1 << 64) - 1)).bit_count() > simhash.RADIUS
     assert sorted(r.doc_id for r in p.near_dedup(spark, docs, TINY).collect()) == [0, 2]
+
+
+def test_tables_go_with_their_stage(spark, monkeypatch):
+    """What a stage leaves on disk is what its result reads: digests and places, no texts."""
+    made, saved, init, save = [], [], Scratch.__init__, Scratch.save
+
+    def noted(self, spark):
+        made.append(self)
+        init(self, spark)
+
+    def kept(self, df, name, options=None):
+        out = save(self, df, name, options)
+        saved.append((name, {"text", "line"} & set(out.columns) and out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "__init__", noted)
+    monkeypatch.setattr(Scratch, "save", kept)
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    out = p.line_dedup(spark, docs, TINY)
+    assert [name for s in made for name in s.paths] == ["dropped"] and out.count() > 0
+    made.clear()
+    saved.clear()
+    out = p.near_dedup(spark, docs, TINY)
+    assert sorted(name for s in made for name in s.paths) == ["gone", "gone", "named", "prints"] and out.count() > 0
+    # of the texts only those that meet others are written
+    assert [name for name, n in saved if n] in ([], ["met-lines"]) and all((n or 0) < docs.count() for _, n in saved)
+
+
+def test_repeated_texts_meet_once(spark):
+    """Texts aren't made distinct before their signatures: copies, near copies of copies and equal rows."""
+    text = [f"w{k}" for k in range(300)]
+    near, apart = ["x"] + text[1:], text[:150] + [f"y{k}" for k in range(150)]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate((near, text, text, text, apart, apart))]
+    rows += [rows[4], (None, "", "en", "s", 0), (9, None, "en", "s", 0), (None, " ".join(near), "en", "s", 0)]
+    out = neardocs.keep_one(spark.createDataFrame(rows, DOCS), spark).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == [(False, 0), (False, 4), (False, 9)]
+    out = simhash.keep_one(spark.createDataFrame(rows, DOCS), spark).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == [(False, 0), (False, 4), (False, 9)]

@@ -81,6 +81,10 @@ class Scratch:
         for name in names:
             self._fs(self.paths.pop(name), lambda fs, p: fs.delete(p, True))
 
+    def keep(self, *names: str) -> None:
+        """Removes all tables but these, which a result still reads."""
+        self.drop(*[n for n in self.paths if n not in names])
+
     def _fs(self, path: str, act) -> None:
         p, fs = hadoop_path(self.spark, path)
         act(fs, p)

@@ -103,11 +103,16 @@ def _linked(links: DataFrame, roots: DataFrame, scratch: Scratch, name: str) ->
 
 
 def line_components(lines: DataFrame, scratch: Scratch, measure) -> DataFrame:
-    """(id, root) for linked lines, of ``distinct`` ones, other than the roots of their components."""
+    """(id, root) for linked lines other than the roots of their components.
+
+    ``lines`` are ``distinct`` ones, or lack n and may repeat: then only those that meet others
+    are made distinct, and the rest is never exchanged.
+    """
     few, many = _meetings(measure.keyed(lines, runs.COARSE, scratch, "coarse-keys"), scratch, "coarse")
     pairs = scratch.save(_candidates(few, many), "pairs")
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    lines = scratch.save(lines.join(small(ids), "id", "left_semi"), "met-lines")
+    met = lines.join(small(ids), "id", "left_semi")
+    lines = scratch.save(met if "n" in lines.columns else distinct(met), "met-lines")
     roots = components(scratch.save(_verify(pairs, lines, measure), "links"), scratch, "coarse")
 
     # lines of large buckets that aren't in one component are told apart by longer bands
@@ -170,10 +175,13 @@ def dedup_lines(docs: DataFrame, spark: SparkSession) -> DataFrame:
     # digests don't repeat enough for dictionaries
     places = scratch.save(lines.select("at", "id"), "all-places", {"parquet.enable.dictionary": "false"})
     lines = scratch.save(distinct(lines), "lines", {"parquet.enable.dictionary": "false"})
-    roots = scratch.save(line_components(lines, scratch, RUNS), "roots")
+    between = Scratch(spark)
+    roots = scratch.save(line_components(lines, between, RUNS), "roots")
+    between.keep()
     doc, th, gone = fresh(docs, "doc", "th", "gone")
     out = dropped(places, lines, roots, scratch).groupBy(F.col("at.doc_id").alias(doc), F.col("at.th").alias(th))
     out = scratch.save(out.agg(F.collect_set("at.line_no").alias(gone)), "dropped")
+    scratch.keep("dropped")
     n, most = out.agg(F.count("*"), F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()
     out = F.broadcast(out) if n + most <= BROADCAST_ROWS else out
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_kept")]

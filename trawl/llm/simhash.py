@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, radius: int = RADIUS)
     # written sides: one component or fingerprint may hold a third of the rows, whose join Spark can split then
     least = scratch.save(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = scratch.save(rooted.join(small(least), "root").select("fp", "component_id"), "named")
+    scratch.keep("prints", "named")
     return prints.join(small(named), "fp").select("doc_id", "th", "fp", "component_id")
 
 
@@ -212,9 +213,15 @@ def keep_one(docs: DataFrame, spark: SparkSession, radius: int = RADIUS) -> Data
     found = scratch.save(near_duplicates(docs, spark, radius), "found")
     # components without any id are told apart by their fingerprints' root, so group those by fingerprint
     own = F.when(F.col("component_id").isNull(), F.col("fp"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("first")
+    at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th").alias("at")
+    rows = found.select(F.struct("component_id", own.alias("own")).alias("component"), at)
+    firsts = rows.groupBy("component").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = scratch.save(firsts, "firsts")
     d, t = fresh(docs, "doc", "th")
-    winners = found.groupBy("component_id", own.alias("own")).agg(first).select(F.col("first.doc_id").alias(d), F.col("first.th").alias(t))
-    kept = docs.join(winners, docs["doc_id"].eqNullSafe(winners[d]) & F.xxhash64(docs["text"]).eqNullSafe(winners[t]), "left_semi")
-    repeated = found.groupBy("doc_id", "th").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    # what goes is joined, not what stays: it is few rows, so that texts aren't exchanged
+    gone = rows.join(small(firsts), "component").filter("at <> first").select(F.col("at.doc_id").alias(d), F.col("at.th").alias(t)).distinct()
+    gone = small(scratch.save(gone, "gone"))
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone[d]) & F.xxhash64(docs["text"]).eqNullSafe(gone[t]), "left_anti")
+    repeated = not found.groupBy("doc_id", "th").count().filter("count > 1").isEmpty()
+    scratch.keep("gone")
+    return kept if not repeated else kept.dropDuplicates(["doc_id", "text"])
