@@ -737,6 +737,56 @@ def test_key_recall(spark, bands, least, most):
     assert met >= 0.99 * n, met
 
 
+@pytest.mark.parametrize("long", [False, True])
+def test_lines_are_not_written(spark, long, monkeypatch):
+    """Of the lines only those that meet others are written, and none of the others is exchanged."""
+    saved, save = {}, linededup.Scratch.save
+
+    def noted(self, df, name, options=None):
+        out = save(self, df, name, options)
+        saved[name] = out.filter("line is not null").count() if "line" in out.columns else 0
+        return out
+
+    monkeypatch.setattr(linededup.Scratch, "save", noted)
+    rng = random.Random(7)
+    rows = [(i, "\n".join(rng.randbytes(40).hex() * (1 + 3 * long) for _ in range(20)), "en", "s", 0) for i in range(20)]
+    rows += [(20, rows[0][1].split("\n")[0] + "\n" + rows[1][1].split("\n")[0][:-1] + "X", "en", "s", 0)]
+    out = {r.doc_id: r for r in linededup.dedup_lines(table(spark, rows), spark).collect()}
+    assert (out[20].n_lines, out[20].n_kept) == (2, 0) and sum(r.n_kept for r in out.values()) == 400
+    assert saved["lines"] <= 4 and max(saved.values()) <= 4
+
+
+def test_sketches_lose_no_pair(spark, monkeypatch):
+    """A pair of similarity 0.8 or more is never ruled out, full sketches and odd lines included; most others are."""
+    rng, lines = random.Random(5), ["", "a", "ab", "a" * 500, "ab" * 300, "é" * 9 + "x"]
+    for n in (12, 40, 200, 900, 9000):
+        for k in (1, 2, 3, 5, 9):
+            x = "".join(rng.choice("abcdefgh ") for _ in range(n))
+            y = list(x)
+            for i in rng.sample(range(n), max(1, n * k // 200)):
+                y[i] = "X"
+            lines += [x, "".join(y)]
+    table_ = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lines)], "d1 long, d2 long, line string").select(F.struct("d1", "d2").alias("id"), "line")
+    pairs = table_.alias("l").join(table_.alias("r"), F.col("l.id.d1") < F.col("r.id.d1")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    runs_ = [character_runs(x) for x in lines]
+    near = {(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 5 * len(runs_[a] & runs_[b]) >= 4 * len(runs_[a] | runs_[b])}
+    found = {(r.a.d1, r.b.d1) for r in linededup.RUNS.possible(pairs, linededup.RUNS.sketched(table_)).collect()}
+    assert near <= found and len(near) > 5
+    # lines of 200 and 900 characters that have nothing in common
+    assert all(a // 2 == b // 2 for a, b in found if 26 <= a < b < 46)
+
+
+def test_long_lines_of_few_digests_meet(spark):
+    """Beyond ``SHORT`` runs, but with few or no digests in the sample."""
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        x = "".join(rng.choice("abc") for _ in range(12)) * 40
+        rows += [(2 * i, x, "en", "s", 0), (2 * i + 1, x[12:], "en", "s", 0)]
+    rows += [(200, "-" * 300, "en", "s", 0), (201, "-" * 400, "en", "s", 0)]
+    out = linededup.dedup_lines(table(spark, rows), spark).collect()
+    assert [r.n_kept for r in sorted(out, key=lambda r: r.doc_id)] == [1, 0] * 61
+
+
 def test_lines_awkward(spark, awkward, empty):
     out = linededup.dedup_lines(awkward, spark).collect()
     assert len(out) == len(AWKWARD) and [r.text for r in out if r.doc_id == 1] == [None]

@@ -33,6 +33,9 @@ class Words:
         signed = scratch.save(signed, name, {"parquet.enable.dictionary": "false"})
         return signed.select(F.struct("d1", "d2").alias("id"), *names[2:])
 
+    def sketched(self, lines: DataFrame) -> None:
+        """No pair is ruled out before it is compared."""
+
     def similar(self, both: DataFrame) -> DataFrame:
         """The pairs (a, b) of (a, b, x, y) whose exact Jaccard similarity is num / den or more."""
         flat = both.select("a.d1", "a.d2", F.col("b.d1").alias("e1"), F.col("b.d2").alias("e2"), "x", "y")

@@ -7,7 +7,12 @@ exploded from one array. No Python runs on the executors.
 A key hashes ``rows`` minima, and a minimum is the digest next to a fixed point by exclusive
 or. Digests divisible by ``EVERY`` come first in that order, so that only they are grouped
 (each minimum is still a MinHash). A line with few of them varies more, so lines with fewer
-than ``FEW`` such digests (counted in 64 bits) have keys of all their digests as well.
+than ``FEW`` such digests (counted in 64 bits) have keys of all their digests as well;
+lines of up to ``SHORT`` runs have them from the start, in the same pass.
+
+A line's sketch is a bitmap of its digests. Bits that two sketches don't share are digests
+that the lines don't share, so pairs whose sketches differ too much can't be similar: no
+estimate, and the others are compared exactly.
 """
 
 from __future__ import annotations
@@ -17,12 +22,16 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.base import Scratch, let, small
+from trawl.llm.base import BROADCAST_ROWS, Scratch, joined, let
 
 #: (keys, rows): 8 keys of 3 minima, which pairs of similarity 0.8 miss in 0.3 %; 16 of 4, missed in 0.02 %.
 COARSE, FINE = (8, 3), (16, 4)
 PIECE = 1 << 14
-EVERY, FEW = 4, 16
+EVERY, FEW, SHORT = 4, 16, 96
+#: Longs of a sketch, a power of two.
+SKETCH = 16
+#: Rows of keys: of a line's sample, of a short line's sample, of all digests.
+SAMPLED, BRIEF, WHOLE = 0, 1, 2
 #: Pairs with a line of more characters are compared by exploded digests, the others by arrays.
 LONG = 1 << 16
 
@@ -53,38 +62,71 @@ class Characters:
         flat = flat.select(*names, "_at", "_piece", F.explode(F.sequence(F.lit(0), F.col("_end"))).alias("_i"))
         return flat.select(*names, self._digest(F.col("_piece"), F.col("_i")).alias("h"), (F.col("_at") + F.col("_i") == 0).alias("first"))
 
-    def _keys(self, flat: DataFrame, bands: tuple[int, int], kind: int, *more: Column) -> DataFrame:
+    def _keys(self, flat: DataFrame, bands: tuple[int, int], *more: Column) -> DataFrame:
+        """Of runs (d1, d2, kind, first, h, and n or not) the keys of each line and kind; without n, the lines' number."""
         n, rows = bands
+        own = ["n"] if "n" in flat.columns else []
+        number = [] if own else [F.count_if("first").alias("n")]
         least = [F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"_m{i}") for i, p in enumerate(_points(n * rows))]
-        found = flat.groupBy("d1", "d2", "n").agg(*least, *more)
+        found = flat.groupBy("d1", "d2", *own, "kind").agg(*least, *number, *more)
+        whole = (F.col("kind") == WHOLE).cast("int") * n
         # neighbouring points go to different keys
-        keys = [F.when(F.col("_m0").isNotNull(), F.xxhash64(F.lit(kind * n + i), *[f"_m{i + r * n}" for r in range(rows)])) for i in range(n)]
-        return found.select("d1", "d2", "n", *[k.alias(f"k{i}") for i, k in enumerate(keys)], *[c for c in found.columns if c == "few"])
+        keys = [F.when(F.col("_m0").isNotNull(), F.xxhash64(whole + i, *[f"_m{i + r * n}" for r in range(rows)])) for i in range(n)]
+        return found.select("d1", "d2", "n", *[k.alias(f"k{i}") for i, k in enumerate(keys)], *[c for c in found.columns if c in ("kind", "few")])
 
     def keyed(self, lines: DataFrame, bands: tuple[int, int], scratch: Scratch, name: str) -> DataFrame:
-        """(id, n, k0, k1, ...) of (id, n, line); lines with few digests in the sample have two rows of different keys."""
-        plain, flat = {"parquet.enable.dictionary": "false"}, lines.select("id.d1", "id.d2", "n", "line")
-        runs, sampled = self.exploded(flat, "d1", "d2", "n"), F.col("h").bitwiseAND(F.lit(EVERY - 1)) == 0
+        """(id, n, k0, k1, ...) of (id, n, line), or of (id, line) that may repeat; short lines and those with few digests in the sample have two rows of different keys."""
+        plain, own = {"parquet.enable.dictionary": "false"}, ["n"] if "n" in lines.columns else []
+        flat = lines.select("id.d1", "id.d2", *own, "line")
+        kinds = F.when(F.length("line") < SHORT + self.run, F.array(F.lit(BRIEF), F.lit(WHOLE))).otherwise(F.array(F.lit(SAMPLED)))
+        runs = self.exploded(flat.select("d1", "d2", *own, "line", F.explode(kinds).alias("kind")), "d1", "d2", *own, "kind")
+        taken = (F.col("h").bitwiseAND(F.lit(EVERY - 1)) == 0) | (F.col("kind") == WHOLE)
         # the first run stands for a line that has no digest in the sample
-        some = runs.filter(F.col("first") | sampled).select("d1", "d2", "n", F.when(sampled, F.col("h")).alias("h"))
+        some = runs.filter(F.col("first") | taken).select("d1", "d2", *own, "kind", "first", F.when(taken, F.col("h")).alias("h"))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63)).cast("int"))
         few = F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0)) < FEW
-        found = scratch.save(self._keys(some, bands, 0, few.alias("few")), f"{name}-some", plain)
-        weak = flat.join(small(found.filter("few").select("d1", "d2")), ["d1", "d2"], "left_semi")
-        every = scratch.save(self._keys(self.exploded(weak, "d1", "d2", "n"), bands, 1), f"{name}-every", plain)
-        keys = [f"k{i}" for i in range(bands[0])]
-        return found.union(every.withColumn("few", F.lit(True))).select(F.struct("d1", "d2").alias("id"), "n", *keys)
+        found = scratch.save(self._keys(some, bands, few.alias("few")), f"{name}-some", plain)
+        keys = [F.struct("d1", "d2").alias("id"), "n", *[f"k{i}" for i in range(bands[0])]]
+        weak = found.filter((F.col("kind") == SAMPLED) & F.col("few")).select("d1", "d2")
+        number = weak.count()
+        if not number:
+            return found.select(*keys)
+        weak = F.broadcast(weak) if number <= BROADCAST_ROWS else weak
+        runs = self.exploded(flat.join(weak, ["d1", "d2"], "left_semi"), "d1", "d2", *own).withColumn("kind", F.lit(WHOLE))
+        every = scratch.save(self._keys(runs, bands), f"{name}-every", plain)
+        return found.select(*keys).union(every.select(*keys))
+
+    def sketched(self, lines: DataFrame) -> DataFrame:
+        """(id, size, b0, b1, ...) of (id, line): the number of runs, which bounds that of digests, and a bitmap of the digests."""
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit")
+        word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(SKETCH - 1)).alias("word")
+        flat = self.exploded(lines.select("id.d1", "id.d2", "line"), "d1", "d2").select("d1", "d2", bit, word)
+        maps = [F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0)).alias(f"b{k}") for k in range(SKETCH)]
+        found = flat.groupBy("d1", "d2").agg(F.count("*").alias("size"), *maps)
+        return found.select(F.struct("d1", "d2").alias("id"), "size", *[f"b{k}" for k in range(SKETCH)])
+
+    def possible(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sketches don't rule out a similarity of num / den.
+
+        Sets of n and m digests, d of them in one only, have (n + m - d) / 2 in common.
+        """
+        for end in "ab":
+            pairs = joined(pairs, end, sketches.select("id", *[F.col(k).alias(f"{end}_{k}") for k in sketches.columns[1:]]))
+        apart = sum(F.bit_count(F.col(f"a_b{k}").bitwiseXOR(F.col(f"b_b{k}"))) for k in range(SKETCH))
+        near = (self.den + self.num) * apart <= (self.den - self.num) * (F.col("a_size") + F.col("b_size"))
+        return pairs.filter(near).select("a", "b")
+
+    def _digests(self, line: str) -> Column:
+        """An array of the digests of all runs."""
+        places = lambda code: F.sequence(F.lit(1), F.greatest(F.length(code) - 4 * self.run, F.lit(0)) + 1, F.lit(4))
+        return let(F.encode(line, "UTF-32"), lambda code: F.transform(places(code), lambda at: F.xxhash64(F.substring(code, at, F.lit(4 * self.run)))))
 
     def similar(self, both: DataFrame) -> DataFrame:
         """The pairs (a, b) of (a, b, x, y) whose exact Jaccard similarity is num / den or more."""
         long = F.greatest(F.length("x"), F.length("y")) > LONG
 
-        def digests(line: str) -> Column:
-            last = lambda code: F.greatest((F.length(code) / 4).cast("int") - self.run, F.lit(0))
-            return let(F.encode(line, "UTF-32"), lambda code: F.transform(F.sequence(F.lit(0), last(code)), lambda i: self._digest(code, i)))
-
         # exploded, so that the arrays are computed once
-        sets = both.filter(~long).select("a", "b", F.inline(F.array(F.struct(digests("x").alias("u"), digests("y").alias("v")))))
+        sets = both.filter(~long).select("a", "b", F.inline(F.array(F.struct(self._digests("x").alias("u"), self._digests("y").alias("v")))))
         shared, union = F.size(F.array_intersect("u", "v")), F.size(F.array_union("u", "v"))
         near = sets.filter(self.den * shared >= self.num * union).select("a", "b")
 
@@ -96,4 +138,6 @@ class Characters:
 
     def shingles(self, lines: DataFrame, *names: str) -> DataFrame:
         """Columns ``names`` and h: the distinct digests of each line."""
-        return self.exploded(lines, *names).select(*names, "h").distinct()
+        long = F.length("line") > LONG
+        flat = lines.filter(~long).select(*names, F.explode(F.array_distinct(self._digests("line"))).alias("h"))
+        return flat.union(self.exploded(lines.filter(long), *names).select(*names, "h").distinct())
