@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import uuid
 
 import numpy as np
 import pytest
@@ -756,6 +757,34 @@ def test_lines_are_not_written(spark, long, monkeypatch):
     assert saved["lines"] <= 4 and max(saved.values()) <= 4
 
 
+def test_similar_runs_its_joins_once(spark):
+    """Where no line is long, pairs are compared in one pass over what was joined; where one may be, in two."""
+    both = spark.createDataFrame([(1, 2, "a" * 30 + "b" * 30, "a" * 30 + "b" * 29), (3, 4, "abcdefghijk", "zyxwvutsrqp")], "a long, b long, x string, y string")
+    plans = {longest: linededup.RUNS.similar(both, longest) for longest in (None, 60, runs.LONG + 1)}
+    assert [[(r.a, r.b) for r in df.collect()] for df in plans.values()] == [[(1, 2)]] * 3
+    unions = [df._jdf.queryExecution().optimizedPlan().toString().count("Union") for df in plans.values()]
+    assert unions[1] == 0 and unions[0] and unions[2]
+
+
+def test_written_tables_need_no_job_to_be_counted(spark, monkeypatch):
+    """Counts come with the write: asking for them runs no job, and components run none but their writes."""
+    group, jobs = spark.sparkContext.setJobGroup, spark.sparkContext.statusTracker().getJobIdsForGroup
+    saved = [Scratch(spark).save(spark.range(n).toDF("x"), "t") for n in (0, 5)]
+    monkeypatch.setattr(base, "BROADCAST_ROWS", 4)
+    name = uuid.uuid4().hex
+    group(name, "")
+    assert [base.rows(t) for t in saved] == [0, 5]
+    hinted = ["ResolvedHint" in base.small(t)._jdf.queryExecution().analyzed().toString() for t in saved]
+    assert hinted == [True, False] and not list(jobs(name))
+    group(uuid.uuid4().hex, "")
+    with monkeypatch.context() as m:
+        for action in ("count", "first", "collect", "isEmpty"):
+            m.delattr(type(saved[0]), action)
+        found = [components(spark.createDataFrame(e, "a long, b long"), Scratch(spark)) for e in ([], [(1, 2), (3, 2), (5, 5), (7, 8)])]
+    assert [base.rows(f) for f in found] == [f.count() for f in found] == [0, 3]
+    assert {tuple(r) for r in found[1].collect()} == {(2, 1), (3, 1), (8, 7)}
+
+
 def test_sketches_lose_no_pair(spark, monkeypatch):
     """A pair of similarity 0.8 or more is never ruled out, full sketches and odd lines included; most others are."""
     rng, lines = random.Random(5), ["", "a", "ab", "a" * 500, "ab" * 300, "é" * 9 + "x"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.sources.folders import hadoop_path, shared_folder
@@ -55,7 +55,19 @@ BROADCAST_ROWS = 1_000_000
 
 def small(df: DataFrame) -> DataFrame:
     """A broadcast hint where the written table's counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows(df) <= BROADCAST_ROWS else df
+
+
+def rows(df: DataFrame) -> int:
+    """The number of rows, counted as ``Scratch`` wrote them or else now."""
+    known = vars(df).get("_rows")
+    return df.count() if known is None else known
+
+
+def numbered(df: DataFrame, n: int) -> DataFrame:
+    """``df``, known to have ``n`` rows, or no more than these."""
+    df._rows = n
+    return df
 
 
 def joined(df: DataFrame, end: str, other: DataFrame) -> DataFrame:
@@ -68,7 +80,9 @@ def joined(df: DataFrame, end: str, other: DataFrame) -> DataFrame:
 class Scratch:
     """Tables written to the folder all executors share (``spark.checkpoint.dir``).
 
-    A written table cuts lineage and survives lost executors. Tables are removed by
+    A written table cuts lineage and survives lost executors. Its rows are counted by the
+    job that writes it: a job of its own for each count is a plan, stages and tasks that
+    the driver keeps in memory. Tables are removed by
     ``drop`` when an operator is through with them, the rest when the JVM ends.
     """
 
@@ -79,10 +93,10 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
         self.paths[name] = path = f"{self.root}/{name}"
-        schema = df.schema
-        df.write.options(**(options or {})).parquet(path)
+        schema, seen = df.schema, Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.options(**(options or {})).parquet(path)
         self._fs(path, lambda fs, p: fs.deleteOnExit(p))
-        return self.spark.read.schema(schema).parquet(path)
+        return numbered(self.spark.read.schema(schema).parquet(path), seen.get["n"])
 
     def drop(self, *names: str) -> None:
         for name in names:

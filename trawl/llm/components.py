@@ -8,10 +8,10 @@ contracted without one task holding it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from trawl.llm.base import BROADCAST_ROWS, Scratch, small
+from trawl.llm.base import BROADCAST_ROWS, Scratch, numbered, small
 
 
 def _parents(edges: DataFrame, few: bool, scratch: Scratch, name: str) -> DataFrame:
@@ -42,17 +42,20 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
 
     Self loops, repeated edges and either direction are fine; null ends are dropped.
     """
-    now = scratch.save(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), f"{name}-0"
-    )
+
+    def save(df: DataFrame, at: int) -> tuple[DataFrame, dict]:
+        """The edges as written, and by the same job their number and digests."""
+        seen, xor = Observation(), [F.bit_xor(F.xxhash64(*ends)).alias("".join(ends)) for ends in (("hi", "lo"), ("lo", "hi"))]
+        return scratch.save(df.observe(seen, F.count(F.lit(1)).alias("n"), *xor), f"{name}-{at}"), seen.get
+
+    now, seen = save(edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), 0)
     state, round_ = None, 0
     while True:
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi"))).first()
-        if seen == state or seen[0] == 0:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        if seen == state or seen["n"] == 0:
+            return numbered(now.select(F.col("hi").alias("node"), F.col("lo").alias("root")), seen["n"])
         state, round_ = seen, round_ + 1
-        few = seen[0] <= BROADCAST_ROWS  # parents are no more than edges
+        few = seen["n"] <= BROADCAST_ROWS  # parents are no more than edges
         large = _large_star(now, _parents(now, few, scratch, f"{name}-up"))
         large = large if few else scratch.save(large, f"{name}-large")
-        now = scratch.save(_small_star(large, _parents(large, few, scratch, f"{name}-down")), f"{name}-{round_}")
+        now, seen = save(_small_star(large, _parents(large, few, scratch, f"{name}-down")), round_)
         scratch.drop(*[n for n in (f"{name}-{round_ - 1}", f"{name}-up", f"{name}-large", f"{name}-down") if n in scratch.paths])

@@ -23,11 +23,11 @@ n_kept are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import minhash, runs
-from trawl.llm.base import BROADCAST_ROWS, Scratch, fresh, joined, let, small
+from trawl.llm.base import BROADCAST_ROWS, Scratch, fresh, joined, let, numbered, rows, small
 from trawl.llm.components import components
 
 SHINGLE = 10
@@ -54,12 +54,17 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _verify(pairs: DataFrame, lines: DataFrame, measure, sketches: DataFrame | None) -> DataFrame:
+def _verify(pairs: DataFrame, lines: DataFrame, measure, sketches: DataFrame | None, longest: int) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard similarity is NUM / DEN or more."""
     pairs = pairs if sketches is None else measure.possible(pairs, sketches)
     for end, line in (("a", "x"), ("b", "y")):
         pairs = joined(pairs, end, lines.select("id", F.col("line").alias(line)))
-    return measure.similar(pairs.select("a", "b", "x", "y"))
+    return measure.similar(pairs.select("a", "b", "x", "y"), longest)
+
+
+def _short(df: DataFrame, most: int, scratch: Scratch, name: str) -> DataFrame:
+    """``df`` of at most ``most`` rows for a join: broadcast if they are few, otherwise written and counted."""
+    return F.broadcast(df) if most <= BROADCAST_ROWS else small(scratch.save(df, name))
 
 
 def distinct(lines: DataFrame) -> DataFrame:
@@ -73,8 +78,8 @@ def _meetings(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     exploded = keyed.select("id", "n", F.explode(F.array(*keys)).alias("key")).filter("key is not null")
     shared = scratch.save(exploded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), f"{name}-shared")
     met = scratch.save(exploded.join(small(shared), "key"), f"{name}-met")
-    reps = scratch.save(met.groupBy("key").agg(F.max(F.struct("n", "id"))["id"].alias("rep")), f"{name}-reps")
-    return scratch.save(met.select("key", "id", "size").join(small(reps), "key"), f"{name}-meetings")
+    reps = _short(met.groupBy("key").agg(F.max(F.struct("n", "id"))["id"].alias("rep")), rows(shared), scratch, f"{name}-reps")
+    return scratch.save(met.select("key", "id", "size").join(reps, "key"), f"{name}-meetings")
 
 
 def _stars(met: DataFrame) -> DataFrame:
@@ -99,19 +104,19 @@ def _unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _apart(met: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, own, out): the lines of large buckets that hold several components, their component, and whether it isn't the commonest's somewhere."""
-    own = small(roots.select(F.col("node").alias("id"), F.col("root").alias("own")))
+    own = small(numbered(roots.select(F.col("node").alias("id"), F.col("root").alias("own")), rows(roots)))
     named = met.filter(F.col("size") > ALL_PAIRS).select("key", "id", "rep").join(own, "id", "left")
     named = named.join(own.select(F.col("id").alias("rep"), F.col("own").alias("reps")), "rep", "left")
     named = named.select("key", "id", F.coalesce("own", "id").alias("own"), F.coalesce("reps", "rep").alias("reps"))
     named = scratch.save(named, f"{name}-named")
-    mixed = scratch.save(named.filter("own <> reps").select("key").distinct(), f"{name}-mixed")
-    about = named.join(small(mixed), "key", "left_semi").groupBy("id", "own").agg(F.max(F.col("own") != F.col("reps")).alias("out"))
+    mixed = _short(named.filter("own <> reps").select("key").distinct(), rows(named), scratch, f"{name}-mixed")
+    about = named.join(mixed, "key", "left_semi").groupBy("id", "own").agg(F.max(F.col("own") != F.col("reps")).alias("out"))
     return scratch.save(about, f"{name}-apart")
 
 
 def _linked(links: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The components of further links among components."""
-    return roots if links.isEmpty() else components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, name)
+    return components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, name) if rows(links) else roots
 
 
 def line_components(lines: DataFrame, scratch: Scratch, measure, keys: DataFrame | None = None, fetch=None) -> DataFrame:
@@ -123,43 +128,45 @@ def line_components(lines: DataFrame, scratch: Scratch, measure, keys: DataFrame
     """
     keys = measure.keyed(lines, runs.COARSE, scratch, "coarse-keys") if keys is None else keys
     met = _meetings(keys, scratch, "coarse")
-    ids = scratch.save(met.select("id").distinct(), "ids")
-    lines = scratch.save(fetch(ids) if fetch else distinct(lines.join(small(ids), "id", "left_semi")), "met-lines")
+    ids, seen = met.select("id").distinct(), Observation()
+    lines = fetch(ids) if fetch else distinct(lines.join(_short(ids, rows(met), scratch, "ids"), "id", "left_semi"))
+    lines = scratch.save(lines.observe(seen, F.max(F.length("line")).alias("longest")), "met-lines")
+    longest = seen.get["longest"] or 0
     sketches = measure.sketched(lines)
     sketches = None if sketches is None else scratch.save(sketches, "sketches")
-    links = _verify(scratch.save(_stars(met), "pairs"), lines, measure, sketches)
+    links = _verify(scratch.save(_stars(met), "pairs"), lines, measure, sketches, longest)
     roots = components(scratch.save(links, "links"), scratch, "coarse")
 
     # the other pairs of small buckets, unless linked by now; lines of large buckets that aren't in one component are told apart by longer bands
     pairs, about, fine = _others(met), _apart(met, roots, scratch, "coarse"), None
-    if not about.isEmpty():
-        rest = lines.join(small(about.select("id")), "id", "left_semi")
+    if rows(about):
+        rest = lines.join(small(numbered(about.select("id"), rows(about))), "id", "left_semi")
         fine = _meetings(measure.keyed(rest, runs.FINE, scratch, "fine-keys"), scratch, "fine")
         pairs = pairs.union(_stars(fine)).union(_others(fine)).distinct()
     pairs = scratch.save(_unlinked(pairs, roots), "more-pairs")
-    roots = _linked(scratch.save(_verify(pairs, lines, measure, sketches), "more"), roots, scratch, "fine")
+    roots = _linked(scratch.save(_verify(pairs, lines, measure, sketches, longest), "more"), roots, scratch, "fine")
     if fine is None:
         return roots
 
     # what still shares a large bucket without a link meets by prefix filtering
     about = _apart(fine, roots, scratch, "fine")
-    if about.isEmpty():
+    if not rows(about):
         return roots
-    pairs = _prefix_pairs(lines.join(small(about), "id"), scratch, measure)
-    return _linked(scratch.save(_verify(pairs, lines, measure, sketches), "last"), roots, scratch, "last")
+    pairs = _prefix_pairs(lines.join(small(about), "id"), scratch, measure, longest)
+    return _linked(scratch.save(_verify(pairs, lines, measure, sketches, longest), "last"), roots, scratch, "last")
 
 
-def _prefix_pairs(lines: DataFrame, scratch: Scratch, measure) -> DataFrame:
+def _prefix_pairs(lines: DataFrame, scratch: Scratch, measure, longest: int) -> DataFrame:
     """Pairs (a, b) of different components, one of them ``out``, that may be similar.
 
     Two sets of n and m shingles and similarity t share at least o = t / (1 + t) * (n + m);
     with shingles ordered from rare to frequent, the first one they share is thus among the
     first n - o + 1 of one and the first m - o + 1 of the other.
     """
-    flat = scratch.save(measure.shingles(lines, "id", "own", "out"), "flat")
+    flat = scratch.save(measure.shingles(lines, "id", "own", "out", longest=longest), "flat")
     # written, so that the join can split a frequent digest over tasks
     spread = small(scratch.save(flat.groupBy("h").agg(F.count("*").alias("df")), "spread"))
-    order = F.array_sort(F.collect_list(F.struct("df", "h")))
+    order = F.sort_array(F.collect_list(F.struct("df", "h")))
     length = F.col("n") - F.ceil(NUM * F.col("n") / DEN).cast("int") + 1
     ranked = flat.join(spread, "h").groupBy("id", "own", "out").agg(order.alias("all")).withColumn("n", F.size("all"))
     prefix = ranked.select("id", "own", "out", "n", F.posexplode(F.slice("all", F.lit(1), length)).alias("pos", "x"))
@@ -179,8 +186,8 @@ def dropped(places: DataFrame, lines: DataFrame, roots: DataFrame, scratch: Scra
     alone = repeated.join(linked.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))
     tied = scratch.save(linked.union(alone), "tied")
     places = scratch.save(places.join(small(tied), "id").select("at", "root"), "places")
-    first = scratch.save(places.groupBy("root").agg(F.min("at").alias("keep")), "first")
-    return places.join(small(first), "root").filter("at <> keep").select("at")
+    first = _short(places.groupBy("root").agg(F.min("at").alias("keep")), rows(tied), scratch, "first")
+    return places.join(first, "root").filter("at <> keep").select("at")
 
 
 def dedup_lines(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -203,10 +210,10 @@ def dedup_lines(docs: DataFrame, spark: SparkSession) -> DataFrame:
     places = spark.read.parquet(scratch.paths["lines"]).select("at", "id")
     doc, th, gone = fresh(docs, "doc", "th", "gone")
     out = dropped(places, repeated, roots, scratch).groupBy(F.col("at.doc_id").alias(doc), F.col("at.th").alias(th))
-    out = scratch.save(out.agg(F.collect_set("at.line_no").alias(gone)), "dropped")
+    out, seen = out.agg(F.collect_set("at.line_no").alias(gone)), Observation()
+    out = scratch.save(out.observe(seen, F.sum(F.size(gone)).alias("most")), "dropped")
     scratch.keep("dropped")
-    n, most = out.agg(F.count("*"), F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()
-    out = F.broadcast(out) if n + most <= BROADCAST_ROWS else out
+    out = F.broadcast(out) if rows(out) + (seen.get["most"] or 0) <= BROADCAST_ROWS else out
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_kept")]
     marked = docs.join(out, docs["doc_id"].eqNullSafe(out[doc]) & (F.xxhash64(docs["text"]) == out[th]), "left")
 

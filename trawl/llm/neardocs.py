@@ -36,13 +36,13 @@ class Words:
     def sketched(self, lines: DataFrame) -> None:
         """No pair is ruled out before it is compared."""
 
-    def similar(self, both: DataFrame) -> DataFrame:
+    def similar(self, both: DataFrame, longest: int | None = None) -> DataFrame:
         """The pairs (a, b) of (a, b, x, y) whose exact Jaccard similarity is num / den or more."""
         flat = both.select("a.d1", "a.d2", F.col("b.d1").alias("e1"), F.col("b.d2").alias("e2"), "x", "y")
         near = flat.mapInArrow(minhash.similar(self.measure, self.num, self.den), "d1 long, d2 long, e1 long, e2 long")
         return near.select(F.struct("d1", "d2").alias("a"), F.struct(F.col("e1").alias("d1"), F.col("e2").alias("d2")).alias("b"))
 
-    def shingles(self, lines: DataFrame, *names: str) -> DataFrame:
+    def shingles(self, lines: DataFrame, *names: str, longest: int | None = None) -> DataFrame:
         """Columns ``names`` and h: the distinct digests of each line."""
         rest = lines.select(*names, "line")
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields[:-1]), "n long, h long"])

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trawl.llm.base import BROADCAST_ROWS, Scratch, joined, let
@@ -85,10 +85,11 @@ class Characters:
         some = runs.filter(F.col("first") | taken).select("d1", "d2", *own, "kind", "first", F.when(taken, F.col("h")).alias("h"))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63)).cast("int"))
         few = F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0)) < FEW
-        found = scratch.save(self._keys(some, bands, few.alias("few")), f"{name}-some", plain)
+        seen, poor = Observation(), (F.col("kind") == SAMPLED) & F.col("few")
+        found = self._keys(some, bands, few.alias("few")).observe(seen, F.count_if(poor).alias("n"))
+        found = scratch.save(found, f"{name}-some", plain)
         keys = [F.struct("d1", "d2").alias("id"), "n", *[f"k{i}" for i in range(bands[0])]]
-        weak = found.filter((F.col("kind") == SAMPLED) & F.col("few")).select("d1", "d2")
-        number = weak.count()
+        weak, number = found.filter(poor).select("d1", "d2"), seen.get["n"]
         if not number:
             return found.select(*keys)
         weak = F.broadcast(weak) if number <= BROADCAST_ROWS else weak
@@ -121,23 +122,30 @@ class Characters:
         places = lambda code: F.sequence(F.lit(1), F.greatest(F.length(code) - 4 * self.run, F.lit(0)) + 1, F.lit(4))
         return let(F.encode(line, "UTF-32"), lambda code: F.transform(places(code), lambda at: F.xxhash64(F.substring(code, at, F.lit(4 * self.run)))))
 
-    def similar(self, both: DataFrame) -> DataFrame:
-        """The pairs (a, b) of (a, b, x, y) whose exact Jaccard similarity is num / den or more."""
-        long = F.greatest(F.length("x"), F.length("y")) > LONG
-
-        # exploded, so that the arrays are computed once
-        sets = both.filter(~long).select("a", "b", F.inline(F.array(F.struct(self._digests("x").alias("u"), self._digests("y").alias("v")))))
-        shared, union = F.size(F.array_intersect("u", "v")), F.size(F.array_union("u", "v"))
-        near = sets.filter(self.den * shared >= self.num * union).select("a", "b")
+    def similar(self, both: DataFrame, longest: int | None = None) -> DataFrame:
+        """The pairs (a, b) of (a, b, x, y) whose exact Jaccard similarity is num / den or more.
 
+        ``longest`` is the most characters of a line, if known: without long lines, the joins that ``both`` stands for run once instead of twice.
+        """
+        if longest is not None and longest <= LONG:
+            return self._near(both)
+        long = F.greatest(F.length("x"), F.length("y")) > LONG
         more = both.filter(long)
         sides = [self.exploded(more, "a", "b", of=c).select("a", "b", "h", F.lit(k).alias("side")) for k, c in enumerate("xy")]
         each = sides[0].union(sides[1]).groupBy("a", "b", "h").agg((F.min("side") < F.max("side")).cast("int").alias("shared"))
         sums = each.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.count("*").alias("union"))
-        return near.union(sums.filter(self.den * F.col("shared") >= self.num * F.col("union")).select("a", "b"))
+        return self._near(both.filter(~long)).union(sums.filter(self.den * F.col("shared") >= self.num * F.col("union")).select("a", "b"))
+
+    def _near(self, both: DataFrame) -> DataFrame:
+        """``similar`` for lines that aren't long."""
+        # exploded, so that the arrays are computed once
+        sets = both.select("a", "b", F.inline(F.array(F.struct(self._digests("x").alias("u"), self._digests("y").alias("v")))))
+        shared, union = F.size(F.array_intersect("u", "v")), F.size(F.array_union("u", "v"))
+        return sets.filter(self.den * shared >= self.num * union).select("a", "b")
 
-    def shingles(self, lines: DataFrame, *names: str) -> DataFrame:
-        """Columns ``names`` and h: the distinct digests of each line."""
+    def shingles(self, lines: DataFrame, *names: str, longest: int | None = None) -> DataFrame:
+        """Columns ``names`` and h: the distinct digests of each line; ``longest`` as for ``similar``."""
         long = F.length("line") > LONG
-        flat = lines.filter(~long).select(*names, F.explode(F.array_distinct(self._digests("line"))).alias("h"))
-        return flat.union(self.exploded(lines.filter(long), *names).select(*names, "h").distinct())
+        none = longest is not None and longest <= LONG
+        flat = (lines if none else lines.filter(~long)).select(*names, F.explode(F.array_distinct(self._digests("line"))).alias("h"))
+        return flat if none else flat.union(self.exploded(lines.filter(long), *names).select(*names, "h").distinct())
