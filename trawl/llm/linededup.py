@@ -170,7 +170,8 @@ def _prefix_pairs(lines: DataFrame, scratch: Scratch, measure, longest: int) ->
     length = F.col("n") - F.ceil(NUM * F.col("n") / DEN).cast("int") + 1
     ranked = flat.join(spread, "h").groupBy("id", "own", "out").agg(order.alias("all")).withColumn("n", F.size("all"))
     prefix = ranked.select("id", "own", "out", "n", F.posexplode(F.slice("all", F.lit(1), length)).alias("pos", "x"))
-    prefix = scratch.save(prefix.select("id", "own", "out", "n", "pos", "x.h"), "prefix")
+    # digests of one line only take their places in the prefix, but meet nothing
+    prefix = scratch.save(prefix.filter("x.df > 1").select("id", "own", "out", "n", "pos", "x.h"), "prefix")
     x = prefix.filter("out").select("h", *[F.col(c).alias(f"{c}_a") for c in ("id", "own", "n", "pos")])
     y = prefix.select("h", *[F.col(c).alias(f"{c}_b") for c in ("id", "own", "n", "pos")])
     shared = F.ceil(NUM * (F.col("n_a") + F.col("n_b")) / (NUM + DEN))
