@@ -69,7 +69,7 @@ def _short(df: DataFrame, most: int, scratch: Scratch, name: str) -> DataFrame:
 
 def distinct(lines: DataFrame) -> DataFrame:
     """(id, line, n): different lines and their number."""
-    return lines.groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("n"))
+    return lines.groupBy("id", "line").agg(F.count("*").alias("n"))  # by both, so that lines are hashed, not sorted
 
 
 def _meetings(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:

@@ -140,8 +140,10 @@ class Characters:
         """``similar`` for lines that aren't long."""
         # exploded, so that the arrays are computed once
         sets = both.select("a", "b", F.inline(F.array(F.struct(self._digests("x").alias("u"), self._digests("y").alias("v")))))
-        shared, union = F.size(F.array_intersect("u", "v")), F.size(F.array_union("u", "v"))
-        return sets.filter(self.den * shared >= self.num * union).select("a", "b")
+        sets = sets.select("a", "b", "u", "v", F.explode(F.array(F.size(F.array_intersect("u", "v")))).alias("s"))
+        # runs that repeat count once in the union: it is no larger than this, and found only where that doesn't do
+        most, union = F.size("u") + F.size("v") - F.col("s"), F.size(F.array_union("u", "v"))
+        return sets.filter((self.den * F.col("s") >= self.num * most) | (self.den * F.col("s") >= self.num * union)).select("a", "b")
 
     def shingles(self, lines: DataFrame, *names: str, longest: int | None = None) -> DataFrame:
         """Columns ``names`` and h: the distinct digests of each line; ``longest`` as for ``similar``."""
